@@ -38,3 +38,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def text_of(col: str = "text") -> Column:
     """The text, null counting as empty."""
     return F.coalesce(F.col(col), F.lit(""))
+
+
+def bounded(keys: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """keys, a written table of few narrow columns, as a side to broadcast if it has at most `most` rows;
+    beyond that it is joined by a shuffle."""
+    return F.broadcast(keys) if keys.count() <= most else keys

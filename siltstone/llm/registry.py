@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, packing, quality, token_counts, url_filter
+from . import exact_dedup, jaccard, line_dedup, mixing, packing, quality, token_counts, url_filter
 from .common import table
 
 #: The rules of the URL query: host, path, verdict.
@@ -28,6 +28,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_components(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
@@ -52,7 +56,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_mix_sources, op5_quality, op6_exact_dedup, op8_url_filter, op9_line_dedup, op10_pack)}
+    return {f.__name__: f for f in (op1_token_counts, op3_mix_sources, op4_ngram_jaccard, op5_quality, op6_exact_dedup, op8_url_filter, op9_line_dedup, op10_pack)}
 
 
 OP3_SQL = r"""
