@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard, line_dedup, mixing, packing, quality, token_counts, url_filter
+from . import exact_dedup, jaccard, line_dedup, mixing, packing, pii, quality, token_counts, url_filter
 from .common import table
 
 #: The rules of the URL query: host, path, verdict.
@@ -41,6 +41,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -56,7 +60,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_mix_sources, op4_ngram_jaccard, op5_quality, op6_exact_dedup, op8_url_filter, op9_line_dedup, op10_pack)}
+    return {f.__name__: f for f in (op1_token_counts, op3_mix_sources, op4_ngram_jaccard, op5_quality, op6_exact_dedup, op7_pii, op8_url_filter, op9_line_dedup, op10_pack)}
 
 
 OP3_SQL = r"""
@@ -89,6 +93,28 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
+OP4_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+                 ELSE list_distinct([array_to_string(words[i:i + 3], ' ') FOR i IN range(1, len(words) - 2)]) END AS shingles
+  FROM split),
+posted AS (
+  SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM sets),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS common
+  FROM posted a JOIN posted b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (
+  SELECT x, y FROM shared WHERE 100 * common >= 85 * (n + m - common)),
+steps AS (
+  SELECT x AS doc_id, y AS other FROM links UNION ALL SELECT y, x FROM links),
+reached AS (
+  SELECT doc_id, doc_id AS other FROM sets UNION SELECT r.doc_id, s.other FROM reached r JOIN steps s ON r.other = s.doc_id)
+SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, c.component_id
+FROM sets s JOIN (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) c ON s.doc_id = c.doc_id
+"""
+
 OP6_SQL = r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS points, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
@@ -161,4 +187,4 @@ FROM split s LEFT JOIN places p ON s.doc_id = p.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op8_url_filter": OP8_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op3_mix_sources": OP3_SQL, "op4_ngram_jaccard": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op8_url_filter": OP8_SQL, "op9_line_dedup": OP9_SQL}
