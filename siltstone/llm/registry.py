@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard, line_dedup, mixing, packing, pii, quality, token_counts, url_filter
+from . import bm25, exact_dedup, jaccard, line_dedup, mixing, packing, pii, quality, token_counts, url_filter
 from .common import table
 
 #: The rules of the URL query: host, path, verdict.
@@ -24,6 +24,13 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op2_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whose id is divisible by 20 is a query, with its whole text, against all documents."""
+    docs = table(spark, sf_dir, "documents")
+    queries = docs.where(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query_id"), "text")
+    return bm25.bm25_topk(docs, queries)
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -60,8 +67,31 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_mix_sources, op4_ngram_jaccard, op5_quality, op6_exact_dedup, op7_pii, op8_url_filter, op9_line_dedup, op10_pack)}
-
+    return {f.__name__: f for f in (op1_token_counts, op2_bm25_topk, op3_mix_sources, op4_ngram_jaccard, op5_quality, op6_exact_dedup, op7_pii, op8_url_filter, op9_line_dedup, op10_pack)}
+
+
+OP2_SQL = r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS term FROM documents),
+tf AS (
+  SELECT doc_id, term, count(*)::DOUBLE AS tf FROM words GROUP BY doc_id, term),
+sizes AS (
+  SELECT doc_id, sum(tf) AS words FROM tf GROUP BY doc_id),
+total AS (
+  SELECT (SELECT count(*) FROM documents)::DOUBLE AS n, (SELECT sum(words) FROM sizes) / (SELECT count(*) FROM documents)::DOUBLE AS mean_words),
+rarity AS (
+  SELECT term, round(10000.0::DOUBLE * ln(1.0::DOUBLE + (any_value(n) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE))) AS rarity FROM tf, total GROUP BY term),
+weights AS (
+  SELECT tf.doc_id, term, round(10000.0::DOUBLE * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * words / mean_words)))) AS weight
+  FROM tf JOIN sizes ON tf.doc_id = sizes.doc_id, total),
+scored AS (
+  SELECT q.doc_id AS query_id, w.doc_id, sum(CAST(r.rarity AS BIGINT) * CAST(w.weight AS BIGINT)) AS points
+  FROM (SELECT DISTINCT doc_id, term FROM tf WHERE doc_id % 20 = 0) q JOIN weights w ON q.term = w.term JOIN rarity r ON r.term = q.term
+  GROUP BY q.doc_id, w.doc_id),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY points DESC, doc_id) AS rank FROM scored WHERE points > 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(points AS DOUBLE) / 1e8::DOUBLE AS score FROM ranked WHERE rank <= 10
+"""
 
 OP3_SQL = r"""
 WITH sized AS (
@@ -187,4 +217,4 @@ FROM split s LEFT JOIN places p ON s.doc_id = p.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": OP3_SQL, "op4_ngram_jaccard": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op8_url_filter": OP8_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op2_bm25_topk": OP2_SQL, "op3_mix_sources": OP3_SQL, "op4_ngram_jaccard": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op8_url_filter": OP8_SQL, "op9_line_dedup": OP9_SQL}

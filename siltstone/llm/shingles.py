@@ -88,11 +88,17 @@ def _shingles(words: np.ndarray, width: int) -> np.ndarray:
 def shingle_sets(texts: list[str | None], width: int = 4) -> Iterator[np.ndarray]:
     """For each text the sorted distinct hashes of its shingles of `width` words, at most 7. Words are runs
     without white space (blank, \\t to \\r), A-Z lower-cased. Null and blank texts have the empty set."""
+    for words in text_words(texts):
+        yield _shingles(words, width)
+
+
+def text_words(texts: list[str | None]) -> list[np.ndarray]:
+    """For each text the hashes of its words in order, by the same rules as shingle_sets."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    at = 0
+    out, at = [], 0
     while at < len(raw):
         if len(raw[at]) > SLICE_BYTES:
-            yield _shingles(_long_words(np.frombuffer(raw[at], np.uint8)), width)
+            out.append(_long_words(np.frombuffer(raw[at], np.uint8)))
             at += 1
             continue
         end, size = at, 0
@@ -100,9 +106,6 @@ def shingle_sets(texts: list[str | None], width: int = 4) -> Iterator[np.ndarray
             size += len(raw[end]) + 1
             end += 1
         starts, words = _words(np.frombuffer(b" ".join(raw[at:end]), np.uint8))
-        limits = np.searchsorted(starts, np.cumsum([len(r) + 1 for r in raw[at:end]]))
-        low = 0
-        for high in limits:
-            yield _shingles(words[low:high], width)
-            low = high
+        out += np.split(words, np.searchsorted(starts, np.cumsum([len(r) + 1 for r in raw[at:end]]))[:-1])
         at = end
+    return out
