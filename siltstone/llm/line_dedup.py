@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import bounded, materialize, text_of
 
 DEPTH, LEAST_TOKENS, AGREE, MIN_DOCS = 4, 3, 0.7, 2
 
@@ -39,8 +39,8 @@ def dropped_lines(docs: DataFrame, *, depth: int, least_tokens: int, agree: floa
     # leaves with several forms get a template; one line stands for all of its form
     mixed = forms.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("leaf")
     open_forms = materialize(forms.join(mixed, "leaf"), "open_forms")
-    wanted = open_forms.select(F.col("first.doc_id").alias("doc_id")).distinct()
-    again = _lines(docs.join(wanted, "doc_id", "left_semi"), depth, least_tokens)
+    wanted = materialize(open_forms.select(F.col("first.doc_id").alias("doc_id")).distinct(), "wanted")
+    again = _lines(docs.join(bounded(wanted), "doc_id", "left_semi"), depth, least_tokens)
     places = open_forms.select("leaf", F.col("form").alias("form_id"), "docs", F.col("first.doc_id").alias("doc_id"), F.col("first.place").alias("place"))
     texts = again.withColumn("form_id", F.xxhash64("form")).join(places, ["leaf", "form_id", "doc_id", "place"]).dropDuplicates(["leaf", "form_id"])
     tokens = materialize(texts.select("leaf", "form_id", "docs", "n", F.posexplode(F.split("form", " ")).alias("at", "token")), "tokens")
