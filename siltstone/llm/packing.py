@@ -7,6 +7,7 @@ each piece goes where the squared counts of open sequences per residual gap sum
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,36 +21,88 @@ from .common import materialize, text_of
 CAPACITY = 2048
 #: Pieces of a group, about. A group's loss is a few open sequences, whatever its size.
 GROUP_ROWS = 20_000
-CACHE_WORDS = 400_000
+#: Words that a Python worker keeps the ids of, about 150 MB.
+CACHE_WORDS = 800_000
 
 _LOADED: dict = {}
 
 
-def word_ids(path: str, cache_words: int = CACHE_WORDS) -> Callable[[list[str]], list[bytes]]:
-    """A function from texts to their ids as little-endian unsigned 32-bit bytes.
+def _letters(word: str) -> tuple[str, str]:
+    """A word's Latin-1 letters, ASCII ones in lower case, and the ASCII punctuation that ends it; no letters if
+    the word is anything else. Both are single pieces to the tokenizer, and lower-casing and normalising such
+    letters changes neither their number nor that they are letters."""
+    stem = word.rstrip(string.punctuation)
+    if stem.isascii():
+        return (stem.lower() if stem.isalpha() else ""), word[len(stem) :]
+    return (stem if stem.isalpha() and max(stem) <= "ÿ" else ""), word[len(stem) :]
+
+
+class WordIds:
+    """From texts to their ids as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space before it looks for pieces and no rule of it looks across a blank, so a
     text's ids are its words' ids one after another. Words are encoded by the library once and kept for the
-    life of the Python worker; the store is emptied when it is full.
+    life of the Python worker; the store is emptied when it is full. Words of letters are one piece each, whose
+    last id alone has the end-of-word mark, so many of them go through the library in one call.
     """
-    if path not in _LOADED:
-        from tokenizers import Tokenizer
 
-        _LOADED[path] = Tokenizer.from_file(path), {}
-    tokenizer, known = _LOADED[path]
+    def __init__(self, path: str, most_words: int = CACHE_WORDS):
+        from tokenizers import Tokenizer
 
-    def encode(texts: list[str]) -> list[bytes]:
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {}
+        self.most_words = most_words
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        for piece, i in vocabulary.items():
+            self.ends[i] = piece.endswith("</w>")
+        self.tails: dict[str, bytes] = {"": b""}
+
+    def _single(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _together(self, stems: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode(" ".join(stems), add_special_tokens=False).ids, "<u4")
+        ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(ends) != len(stems):
+            return self._single(stems)
+        raw, ends = ids.tobytes(), ends.tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        known, stems, others, tails = self.known, {}, [], {""}
+        for word in words:
+            stem, tail = _letters(word)
+            if stem:
+                stems.setdefault(stem, []).append((word, tail))
+                tails.add(tail)
+            else:
+                others.append(word)
+        if len(self.tails) > 10_000:
+            self.tails = {"": b""}
+        if missing := list(tails - self.tails.keys()):
+            self.tails.update(zip(missing, self._single(missing), strict=True))
+        new = list(stems)
+        for at in range(0, len(new), 2_000):
+            for stem, ids in zip(part := new[at : at + 2_000], self._together(part), strict=True):
+                for word, tail in stems[stem]:
+                    known[word] = ids + self.tails[tail]
+        for at in range(0, len(others), 10_000):
+            known.update(zip(part := others[at : at + 10_000], self._single(part), strict=True))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(known) > cache_words:
-            known.clear()
-        new = list(set().union(*split) - known.keys())
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for word, got in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[word] = np.array(got.ids, "<u4").tobytes()
+        if len(self.known) > self.most_words:
+            self.known.clear()
+        known = self.known
+        self._learn(list(set().union(*split) - known.keys()))
         return [b"".join([known[w] for w in words]) for words in split]
 
-    return encode
+
+def word_ids(path: str) -> WordIds:
+    if path not in _LOADED:
+        _LOADED[path] = WordIds(path)
+    return _LOADED[path]
 
 
 def _pieces(path: str, capacity: int, end_id: int, batch_bytes: int = 1 << 22) -> Callable:
@@ -140,7 +193,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, end_
     groups = max(1, round(pieces.count() / group_rows))
     salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit("pack")), F.lit(groups))
 
-    def place(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def place(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], ignore_index=True)
         sequence, offset = sum_of_squares(frame["length"].to_numpy(), capacity)
         frame["sequence_id"] = (int(key[0]) << 32) + sequence
