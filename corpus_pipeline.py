@@ -36,7 +36,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.join(taken.where("taken > 0"), F.col("doc_id").eqNullSafe(F.col("taken_id")))
     parts = F.transform(F.sequence(F.lit(0), F.floor((F.col("taken") - 1) / F.col("size"))), lambda k: F.least(F.col("size"), F.col("taken") - k * F.col("size")))
     rows = rows.withColumn("words", F.explode(parts))
-    first = F.regexp_extract("text", F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), F.col("words").cast("string"), F.lit("}")), 0)
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), 1, F.col("words").cast("int")), "")
     text = F.when(F.col("words") < F.col("size"), first).otherwise(F.col("text"))
     return rows.withColumn("text", text).select(docs.columns)
 
