@@ -11,9 +11,11 @@ B. by the number of remaining sets that hold a token, rare ones first, then by h
 C. as B with another hash.
 
 A pair must share prefix tokens in B, in C and in A before its sets are compared. Within a bucket all sets are
-first compared with one leader; sets that are linked already need no comparison, so a large group of near
-copies costs one comparison for each copy and bucket, not one for each pair. What is still apart after a few
-leaders is compared pair by pair, without any cap.
+first compared with one leader, which differs from bucket to bucket; sets that are linked already need no
+comparison, so a large group of near copies costs one comparison for each copy and bucket, not one for each
+pair. What is still apart after a few leaders is compared pair by pair, without any cap. A pair leaves its
+bucket's join only if bounds on its sets allow a link: their sizes, the tokens that no other set holds, and
+the parity bits of their tokens, as the symmetric difference has at least as many tokens as bits that differ.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from .common import bounded, materialize, text_of
 from .components import connected_components
 
 STAR_ROUNDS = 2
+#: 64-bit words of parity bits of a set; more of them bound larger sets more tightly.
+PARITY_WORDS = 16
 
 
 def _least_shared(n: Column, percent: int) -> Column:
@@ -81,13 +85,30 @@ def _full_sets(width: int) -> Callable:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sets = [s.view(np.int64) for s in shingle_sets(part.column(1).to_pylist(), width)]
+                sets = list(shingle_sets(part.column(1).to_pylist(), width))
+                bits = [np.packbits((np.bincount((s % np.uint64(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1).astype(bool)).view(np.int64) for s in sets]
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], names=["node", "tokens"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * PARITY_WORDS), pa.array(np.concatenate(bits))),
+                    ],
+                    names=["node", "tokens", "bits"],
+                )
 
     return run
 
 
+def _may_link(a: Callable[[str], Column], b: Callable[[str], Column], percent: int) -> Column:
+    """Whether the bounds of two sets (n, held, bits) allow 100 * intersection >= percent * union."""
+    total = a("n") + b("n")
+    # links share at least percent / (100 + percent) of both sizes together, and differ in the rest
+    common = F.floor((total * percent + 99 + percent) / F.lit(100 + percent))
+    differ = sum((F.bit_count(a("bits")[k].bitwiseXOR(b("bits")[k])) for k in range(PARITY_WORDS)), F.lit(0))
+    return (F.least(a("n"), b("n")) * 100 >= F.greatest(a("n"), b("n")) * percent) & (F.least(a("held"), b("held")) >= common) & (differ <= total - 2 * common)
+
+
 def shingle_signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, n, a 128-bit signature of the set (one, two), the plain length of its prefix in order A, and
     the prefix with half as much again."""
@@ -105,7 +126,7 @@ def _in_order_a(sets: DataFrame) -> DataFrame:
 
 
 def _in_orders_b_c(sets: DataFrame, percent: int) -> DataFrame:
-    """node, n, prefix_b, prefix_c: the prefixes' tokens that other sets hold too, for nodes that have any in both.
+    """node, n, held, prefix_b, prefix_c: the number of tokens that other sets hold too, and the prefixes' of that kind, for nodes that have any.
     Tokens that one set alone holds come first in these orders and only take up places."""
     posted = sets.select("node", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     counts = posted.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
@@ -119,17 +140,16 @@ def _in_orders_b_c(sets: DataFrame, percent: int) -> DataFrame:
         keyed = F.transform("tokens", lambda t: F.struct(t["sets"].alias("sets"), F.xxhash64(t["token"], F.lit(name)).alias("h"), t["token"].alias("token")))
         return F.transform(F.slice(F.array_sort(keyed), 1, F.col("places")), lambda t: t["token"])
 
-    return lists.withColumn("places", places).where("places > 0").select("node", "n", first("b").alias("prefix_b"), first("c").alias("prefix_c"))
+    return lists.withColumn("places", places).where("places > 0").select("node", "n", "held", first("b").alias("prefix_b"), first("c").alias("prefix_c"))
 
 
 def _linked(pairs: DataFrame, filters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that pass the filters of every order and whose sets then prove similar."""
 
     def side(name: str) -> DataFrame:
-        return filters.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("n", "prefix_a", "prefix_b", "prefix_c")])
+        return filters.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("prefix_a", "prefix_b", "prefix_c")])
 
-    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    passed = pairs.join(side("a"), "a").join(side("b"), "b").where(small * 100 >= large * percent)
+    passed = pairs.join(side("a"), "a").join(side("b"), "b")
     for order in ("b", "c", "a"):
         passed = passed.where(F.arrays_overlap(f"prefix_{order}_a", f"prefix_{order}_b"))
     survivors = materialize(passed.select("a", "b"), "survivors")
@@ -161,11 +181,13 @@ def similar_components(docs: DataFrame, *, width: int = 4, percent: int = 85, id
 
     left = bounded(materialize(_in_order_a(nodes), "order_a"))
     texts = rows.withColumnRenamed("doc_id", "node").join(left, "node", "left_semi").dropDuplicates(["node", "text"])
-    full = materialize(texts.mapInArrow(_full_sets(width), T.StructType([T.StructField("node", texts.schema["node"].dataType), T.StructField("tokens", T.ArrayType(T.LongType()))])), "sets")
+    schema = T.StructType([T.StructField("node", texts.schema["node"].dataType)] + [T.StructField(c, T.ArrayType(T.LongType())) for c in ("tokens", "bits")])
+    full = materialize(texts.mapInArrow(_full_sets(width), schema), "sets")
     in_b_c = _in_orders_b_c(full, percent)
     filters = materialize(in_b_c.join(nodes.select("node", F.slice("prefix", 1, F.col("plain")).alias("prefix_a")), "node"), "filters")
     posted = materialize(filters.select("node", F.explode("prefix_b").alias("token")).distinct(), "buckets")
     live = materialize(full.join(bounded(filters.select("node")), "node", "left_semi"), "live_sets")
+    bounds = materialize(filters.select("node", "n", "held").join(live.select("node", "bits"), "node"), "bounds")
 
     links = None
     components = None
@@ -179,14 +201,15 @@ def similar_components(docs: DataFrame, *, width: int = 4, percent: int = 85, id
         placed = materialize(placed.join(apart, "token", "left_semi"), f"apart{step}")
         if placed.isEmpty():
             break
+        x, y = (placed.join(bounds, "node").alias(side) for side in ("x", "y"))
         if step < star_rounds:
-            rank = F.struct(F.xxhash64("node", F.lit(step)).alias("h"), "node", "component")
-            leader = placed.groupBy("token").agg(F.min(rank).alias("leader"))
-            met = placed.join(leader, "token").where(F.col("component") != F.col("leader.component"))
-            pairs = met.select(*_pair(F.col("node"), F.col("leader.node")))
+            leader = placed.groupBy("token").agg(F.min_by("node", F.xxhash64("node", "token", F.lit(step))).alias("node"))
+            y = placed.join(leader, ["token", "node"]).join(bounds, "node").alias("y")
+            apart = F.col("x.component") != F.col("y.component")
         else:
-            other = placed.select("token", F.col("node").alias("other"), F.col("component").alias("other_component"))
-            pairs = placed.join(other, "token").where("component < other_component").select(*_pair(F.col("node"), F.col("other")))
+            apart = F.col("x.component") < F.col("y.component")
+        near = _may_link(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"), percent)
+        pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & apart & near).select(*_pair(F.col("x.node"), F.col("y.node")))
         pairs = pairs.distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
