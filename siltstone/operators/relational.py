@@ -74,12 +74,11 @@ def grouped_report(df: DataFrame, groups: Mapping[str, Sequence[str]], aggregate
 
 def entropy_weights(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Column name and weight: one minus the normalised entropy of each column's shares, over their sum."""
-    n = F.count(F.lit(1))
-    totals = df.agg(n.alias("n"), *[F.sum(c).alias(f"{c}__total") for c in columns])
+    totals = df.agg(F.count(F.lit(1)).alias("n__rows"), *[F.sum(c).alias(f"{c}__total") for c in columns])
     shares = df.select(*columns).crossJoin(F.broadcast(totals))
     p = [F.col(c) / F.col(f"{c}__total") for c in columns]
-    sums = shares.agg(F.first("n").alias("n"), *[F.sum(F.when(x > 0, -x * F.log(x)).otherwise(0.0)).alias(c) for x, c in zip(p, columns, strict=True)])
-    spread = [1 - F.col(c) / F.log("n") for c in columns]
+    sums = shares.agg(F.first("n__rows").alias("n__rows"), *[F.sum(F.when(x > 0, -x * F.log(x)).otherwise(0.0)).alias(c) for x, c in zip(p, columns, strict=True)])
+    spread = [1 - F.col(c) / F.log("n__rows") for c in columns]
     total = sum(spread[1:], spread[0])
     return sums.select(F.explode(F.array(*[F.struct(F.lit(c).alias("component"), (s / total).alias("weight")) for s, c in zip(spread, columns, strict=True)])).alias("w")).select("w.component", "w.weight")
 
