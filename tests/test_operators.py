@@ -1,0 +1,160 @@
+"""Small fixtures worked by hand."""
+
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from siltstone.functions import expressions as X
+from siltstone.operators import allocation, bayes, quality, relational, spatial, survival, temporal
+from siltstone.sources import tables
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first()["x"]
+
+
+def test_labels_and_flags(spark):
+    rows = spark.createDataFrame([(" Debris ",), ("NaN",), ("",), ("Fog / Low Visibility",), (None,)], "c string")
+    assert [r[0] for r in rows.select(X.canonical_cause(F.col("c"), {"debris": "junk"})).collect()] == ["junk", None, None, "fog_low_visibility", None]
+    flags = spark.createDataFrame([("yes",), ("F",), ("0",), ("maybe",), (None,)], "c string")
+    assert [r[0] for r in flags.select(X.parse_flag(F.col("c"))).collect()] == [True, False, False, None, None]
+    keys = spark.createDataFrame([("Ring-Road East",), ("(x)",), (None,), ("ORR(1)",)], "c string")
+    assert [r[0] for r in keys.select(X.zone_key(F.col("c"))).collect()] == ["RING", "UNKNOWN", "UNKNOWN", "ORR"]
+
+
+def test_quantile_triple_is_sorted_and_clamped(spark):
+    t = X.sorted_quantiles(F.lit(100.0), F.lit(50.0), F.lit(9000.0))
+    row = spark.range(1).select(*[c.alias(k) for k, c in t.items()]).first()
+    assert (row["s50"], row["s80"], row["s95"], row["crossed"], row["clamped"]) == (50.0, 100.0, 1440.0, True, True)
+
+
+def test_normal_functions(spark):
+    for x in (-3.0, -0.5, 0.0, 1.0, 2.5):
+        assert one(spark, X.normal_cdf(F.lit(x))) == pytest.approx(0.5 * (1 + math.erf(x / math.sqrt(2))), abs=2e-7)
+    assert one(spark, X.finite(F.lit(float("inf")))) is None
+    assert one(spark, X.gaussian_kl(F.lit(0.0), F.lit(1.0), F.lit(0.0), F.lit(1.0))) == pytest.approx(0)
+
+
+def test_beta_quantile():
+    assert bayes.beta_quantile(0.5, 1, 1) == pytest.approx(0.5)
+    assert bayes.beta_quantile(0.975, 3, 9) == pytest.approx(0.5178, abs=1e-4)
+    assert bayes.beta_cdf(0.3, 2, 5) == pytest.approx(0.579825, abs=1e-6)
+
+
+def test_kaplan_meier_with_ties_weights_and_censoring(spark):
+    rows = spark.createDataFrame([("a", 1.0, 1, 1.0), ("a", 1.0, 0, 0.5), ("a", 2.0, 1, 0.5), ("a", 3.0, 1, 1.0), ("a", 5.0, 0, 1.0)], "g string, T double, event int, weight double")
+    km = {r["T"]: r["S"] for r in survival.kaplan_meier(rows, ["g"]).collect()}
+    assert km[1.0] == pytest.approx(1 - 1 / 4)
+    assert km[2.0] == pytest.approx(0.75 * (1 - 0.5 / 2.5))
+    assert km[3.0] == pytest.approx(0.6 * 0.5)
+    q = survival.km_quantiles(survival.kaplan_meier(rows, ["g"]), ["g"], least=1).first()
+    assert (q["p50"], q["p80"], q["p95"]) == (3.0, 5.0, 5.0)
+    everyone = rows.withColumn("event", F.lit(1))
+    assert survival.kaplan_meier(everyone, ["g"]).orderBy(F.desc("T")).first()["S"] == 0.0
+
+
+def test_concordance_counts_pairs(spark):
+    rows = spark.createDataFrame([(1.0, 1, 9.0), (2.0, 1, 5.0), (3.0, 0, 7.0), (4.0, 1, 1.0)], "T double, event int, r double")
+    got = survival.concordance(rows, "r").first()
+    assert got["usable"] == 5 and got["c_index"] == pytest.approx(4 / 5)
+
+
+def test_mad_falls_through(spark):
+    data = [("a", "x", 5.0)] * 12 + [("a", "y", float(v)) for v in range(12)] + [(None, "z", float(v)) for v in (1, 2, 100)]
+    z = quality.modified_z(spark.createDataFrame(data, "cause string, corridor string, d double"), "d", [["cause", "corridor"], ["cause"], []])
+    levels = {(r["cause"], r["corridor"]): r["z_level"] for r in z.collect()}
+    assert levels == {("a", "x"): 2, ("a", "y"): 0, (None, "z"): 2}
+
+
+def test_quarantine_keeps_all_reasons_and_counts_empty_ones(spark):
+    rows = spark.createDataFrame([(1.0, None), (-1.0, None), (5.0, "x")], "d double, e string")
+    q = quality.quarantine(rows, {"negative": F.col("d") < 0, "no_end": F.col("e").isNull()}, "d")
+    assert {(r["quarantine_reasons"], r["d"]) for r in q.collect()} == {("no_end", None), ("negative|no_end", None), (None, 5.0)}
+    assert {r["reason"]: r["rows"] for r in quality.quarantine_summary(q, ["negative", "no_end", "never"]).collect()} == {"negative": 1, "no_end": 2, "never": 0}
+
+
+def test_fallback_levels(spark):
+    stratum = spark.createDataFrame([("a", "x", 5, 1.0), ("a", "y", 4, 2.0)], "cause string, corridor string, n int, p double")
+    cause = spark.createDataFrame([("a", 9, 3.0)], "cause string, n int, p double")
+    everything = spark.createDataFrame([(3, 7.0)], "n int, p double")
+    asked = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x")], "cause string, corridor string")
+    levels = [("stratum", stratum, ["cause", "corridor"]), ("cause", cause, ["cause"]), ("global", everything, [])]
+    got = {(r["cause"], r["corridor"]): (r["level"], r["p"], r["support"]) for r in relational.fallback_lookup(levels, asked, ["p"], {"p": 60.0}).collect()}
+    assert got == {("a", "x"): ("stratum", 1.0, 5), ("a", "y"): ("cause", 3.0, 9), ("b", "x"): ("constant", 60.0, 0)}
+
+
+def test_asof_leaves_out_the_day_before(spark):
+    day = temporal.DAY
+    rows = spark.createDataFrame([("k", 10 * day - 60_000_000), ("k", 10 * day), ("k", 10 * day + 60_000_000), ("k", 12 * day)], "k string, t long")
+    state = {r["day"]: r["asof_count"] for r in temporal.asof_state(rows, ["k"], "t", F.lit(1.0)).collect()}
+    assert state == {9: 0, 10: 0, 11: 1, 12: 3}
+    now = {r["day"]: r["asof_count"] for r in temporal.asof_state(rows, ["k"], "t", F.lit(1.0), lag_days=0).collect()}
+    assert now == {9: 0, 10: 1, 11: 3, 12: 3}
+
+
+def test_lookback_is_open_at_the_event(spark):
+    h = temporal.HOUR
+    rows = spark.createDataFrame([(0,), (h,), (h,), (2 * h,)], "t long").withColumn("k", F.lit(1))
+    got = sorted((r["t"] // h, r["count_1h"]) for r in temporal.lookback(rows, ["k"], "t", (1,), F.lit(1.0)).collect())
+    assert got == [(0, 0), (1, 1), (1, 1), (2, 2)]
+
+
+def test_page_hinkley_sees_a_step(spark):
+    rows = spark.createDataFrame([(i, 0.0 if i < 20 else 3.0, 0.0) for i in range(30)], "i int, x double, mean double").withColumn("k", F.lit(1))
+    alerts = [r["i"] for r in temporal.page_hinkley(rows, ["k"], ["i"], "x", "mean").where("alert").collect()]
+    assert min(alerts) == 21 and max(alerts) == 29
+
+
+def test_ewma_starts_at_the_first_value(spark):
+    rows = spark.createDataFrame([(1, 10.0), (2, 20.0), (3, 0.0)], "i int, x double").withColumn("k", F.lit(1))
+    assert temporal.ewma(rows, ["k"], ["i"], "x", 0.5).first()["ewma"] == pytest.approx(7.5)
+
+
+def test_tail_risk(spark):
+    rows = spark.createDataFrame([(float(i),) for i in range(1, 11)], "x double").withColumn("g", F.lit("a"))
+    got = allocation.tail_risk(rows, ["g"], "x", (0.9, 0.5)).collect()
+    assert {r["alpha"]: (r["var"], r["cvar"]) for r in got} == {0.9: (10.0, 10.0), 0.5: (6.0, 8.0)}
+
+
+def test_allocation_is_capped(spark):
+    sites = spark.createDataFrame([("a", 8.0), ("b", 1.5), ("c", 0.5)], "k string, w double")
+    assert {r["k"]: r["units"] for r in allocation.allocate(sites, "k", "w", 10, 5).collect()} == {"a": 5, "b": 2, "c": 1}
+
+
+def test_nearest_neighbours_equal_brute_force(spark):
+    import random
+
+    rnd = random.Random(5)
+    places = [(i, rnd.random() ** 3, rnd.random()) for i in range(120)]
+    got = {(r["k"], r["rank"]): r["neighbour"] for r in spatial.nearest_neighbours(spark.createDataFrame(places, "k int, lat double, lon double"), "k", 4).collect()}
+    for k, x, y in places:
+        near = sorted(((a - x) ** 2 + (b - y) ** 2, j) for j, a, b in places if j != k)[:4]
+        assert [got[k, r + 1] for r in range(4)] == [j for _, j in near]
+
+
+def test_null_keys_are_groups_where_asked(spark):
+    rows = spark.createDataFrame([("a",), (None,), (None,)], "c string")
+    codes = {r["c"]: r["c_code"] for r in relational.category_codes(rows, "c").collect()}
+    assert codes == {"__MISSING__": 0, "a": 1}
+
+
+def test_csv_keeps_the_contract(spark, tmp_path):
+    path = str(tmp_path / "raw")
+    spark.createDataFrame([("7", "2024-01-01 10:00:00", "x"), ("8", "never", None)], "id string, start_datetime string, latitude string").write.option("header", True).csv(path)
+    rows = tables.read_csv(spark, path, tables.RAW_INCIDENT, {"id": "event_id"}).orderBy("event_id").collect()
+    assert [r["event_id"] for r in rows] == ["7", "8"] and rows[1]["start_datetime"] is None and rows[0]["latitude"] is None
+    assert tables.read_or_empty(spark, str(tmp_path / "none"), tables.RAW_INCIDENT).count() == 0
+
+
+def test_sinks_and_enrichment(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    extra = spark.createDataFrame([(1, 5)], "k int, w int")
+    once = tables.enrich(rows, extra, ["k"])
+    assert sorted(map(tuple, tables.enrich(once, extra, ["k"]).collect())) == [(1, "a", 5), (2, "b", None)]
+    tables.write_csv(rows, str(tmp_path / "c"))
+    tables.write_json(rows.select(F.struct("k", "v").alias("s")), str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).select("s.v").count() == 2
+    tables.write_parameters(spark, str(tmp_path / "p"), {"a": [1, 2], "b": "x"})
+    assert tables.read_parameters(spark, str(tmp_path / "p")) == {"a": [1, 2], "b": "x"}
+    assert tables.ensure_columns(rows, {"k": 0, "z": 1.5}).columns == ["k", "v", "z"]
