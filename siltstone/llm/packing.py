@@ -21,29 +21,25 @@ from .common import materialize, text_of
 CAPACITY = 2048
 #: Pieces of a group, about. A group's loss is a few open sequences, whatever its size.
 GROUP_ROWS = 20_000
-#: Words that a Python worker keeps the ids of, about 150 MB.
-CACHE_WORDS = 800_000
+#: Parts of words that a Python worker keeps the ids of, about 100 MB.
+CACHE_WORDS = 600_000
 
 _LOADED: dict = {}
 
 
-def _letters(word: str) -> tuple[str, str]:
-    """A word's Latin-1 letters, ASCII ones in lower case, and the ASCII punctuation that ends it; no letters if
-    the word is anything else. Both are single pieces to the tokenizer, and lower-casing and normalising such
-    letters changes neither their number nor that they are letters."""
-    stem = word.rstrip(string.punctuation)
-    if stem.isascii():
-        return (stem.lower() if stem.isalpha() else ""), word[len(stem) :]
-    return (stem if stem.isalpha() and max(stem) <= "ÿ" else ""), word[len(stem) :]
+#: Letters whose lower-casing and normalising changes neither their number nor that they are letters, and a word of
+#: them alone is one piece to the tokenizer; so is a run of ASCII punctuation.
+LETTERS = "[A-Za-zªµºÀ-ÖØ-öø-ÿ]+"
 
 
 class WordIds:
     """From texts to their ids as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space before it looks for pieces and no rule of it looks across a blank, so a
-    text's ids are its words' ids one after another. Words are encoded by the library once and kept for the
-    life of the Python worker; the store is emptied when it is full. Words of letters are one piece each, whose
-    last id alone has the end-of-word mark, so many of them go through the library in one call.
+    text's ids are its words' ids one after another; and a word of letters that ends in punctuation has the ids
+    of both parts. The distinct parts of a batch are found by Arrow, encoded by the library once and kept for
+    the life of the Python worker; the store is emptied when it is full. As the last id alone of a word of
+    letters has the end-of-word mark, many of them go through the library in one call.
     """
 
     def __init__(self, path: str, most_words: int = CACHE_WORDS):
@@ -56,47 +52,61 @@ class WordIds:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for piece, i in vocabulary.items():
             self.ends[i] = piece.endswith("</w>")
-        self.tails: dict[str, bytes] = {"": b""}
 
     def _single(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _together(self, stems: list[str]) -> list[bytes]:
-        ids = np.array(self.tokenizer.encode(" ".join(stems), add_special_tokens=False).ids, "<u4")
+    def _together(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
         ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
-        if len(ends) != len(stems):
-            return self._single(stems)
+        if len(ends) != len(words):
+            return self._single(words)
         raw, ends = ids.tobytes(), ends.tolist()
         return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        known, stems, others, tails = self.known, {}, [], {""}
-        for word in words:
-            stem, tail = _letters(word)
-            if stem:
-                stems.setdefault(stem, []).append((word, tail))
-                tails.add(tail)
-            else:
-                others.append(word)
-        if len(self.tails) > 10_000:
-            self.tails = {"": b""}
-        if missing := list(tails - self.tails.keys()):
-            self.tails.update(zip(missing, self._single(missing), strict=True))
-        new = list(stems)
-        for at in range(0, len(new), 2_000):
-            for stem, ids in zip(part := new[at : at + 2_000], self._together(part), strict=True):
-                for word, tail in stems[stem]:
-                    known[word] = ids + self.tails[tail]
-        for at in range(0, len(others), 10_000):
-            known.update(zip(part := others[at : at + 10_000], self._single(part), strict=True))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+    def _parts(self, parts, letters: bool) -> list[bytes]:
+        """Ids of distinct parts, an Arrow array."""
+        names = parts.to_pylist()
+        found = list(map(self.known.get, names))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        encode, size = (self._together, 2_000) if letters else (self._single, 10_000)
+        for at in range(0, len(new), size):
+            some = new[at : at + size]
+            for i, ids in zip(some, encode([names[i] for i in some]), strict=True):
+                found[i] = self.known[names[i]] = ids
+        return found
+
+    def __call__(self, texts) -> list[bytes]:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         if len(self.known) > self.most_words:
             self.known.clear()
-        known = self.known
-        self._learn(list(set().union(*split) - known.keys()))
-        return [b"".join([known[w] for w in words]) for words in split]
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        # small ASCII letters are what the tokenizer makes of them too; special strings keep their case
+        lower = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        lists = pc.split_pattern(pc.replace_substring(lower, "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        words, word = coded.dictionary, coded.indices.to_numpy()
+        stem = pc.utf8_rtrim(words, string.punctuation)
+        plain = pc.match_substring_regex(stem, f"^{LETTERS}$")
+        tail = pc.if_else(plain, pc.replace_substring_regex(words, f"^{LETTERS}", ""), pc.if_else(pc.equal(words, ""), "", words))
+        stem = pc.if_else(plain, stem, "").dictionary_encode()
+        tail = tail.dictionary_encode()
+        ids = self._parts(stem.dictionary, True) + self._parts(tail.dictionary, False)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start = np.cumsum(size) - size
+        # each word is a stem and a tail, either of which may be empty
+        part = np.empty(2 * len(word), np.int64)
+        part[0::2] = stem.indices.to_numpy()[word]
+        part[1::2] = tail.indices.to_numpy()[word] + len(stem.dictionary)
+        length = size[part]
+        until = np.concatenate([[0], np.cumsum(length)])
+        place = np.repeat(start[part] - until[:-1], length) + np.arange(until[-1])
+        raw = np.frombuffer(b"".join(ids), "<u4")[place].tobytes()
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        ends = (4 * until[2 * (ends - ends[0])]).tolist()
+        return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def word_ids(path: str) -> WordIds:
@@ -123,7 +133,7 @@ def _pieces(path: str, capacity: int, end_id: int, batch_bytes: int = 1 << 22) -
                     size += sizes[upto]
                     upto += 1
                 owner, piece, start, length, crc = [], [], [], [], []
-                for i, ids in enumerate(encode(batch.column(2).slice(at, upto - at).to_pylist()), at):
+                for i, ids in enumerate(encode(batch.column(2).slice(at, upto - at)), at):
                     ids += end
                     for k, b in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[b : b + 4 * capacity]
