@@ -1,13 +1,12 @@
-"""Shared helpers: tables read by path, and intermediate tables written to the folder all executors share."""
+"""Shared helpers: tables read by path, written intermediate tables, sides that may be broadcast."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.sources.scratch import written
+
 #: White space of the contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,22 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where it is unset (tests, one machine) a temporary folder is set for the session."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="siltstone-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors,
-    and fixes what is not deterministic under recomputation (row ids, partition ids)."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/siltstone/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Write df to the folder all executors share and read it back: cuts lineage, survives lost executors, and
+    fixes what is not deterministic under recomputation (row ids, partition ids)."""
+    return written(df, name)
 
 
 def text_of(col: str = "text") -> Column:
