@@ -34,7 +34,7 @@ def close(a, b):
 
 
 def order(row):
-    return [(v is None, str(type(v)), round(v, 4) if isinstance(v, float) else v or "") for v in row]
+    return [(v is None, str(type(v)), round(v, 4) if isinstance(v, float) else str(v)) for v in row]
 
 
 def assert_same(df, sql: str, folder: str = DATA):
