@@ -10,6 +10,18 @@ from siltstone.llm.common import WORD, materialize, table
 from siltstone.llm.registry import tokenizer_path
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """Each row as one column beside its id, so that no name of docs meets one of an operator."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("row_id"))
+
+
+def _free(name: str, docs: DataFrame) -> str:
+    """The name with as many underscores as make it new to docs."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject (score of 0.3 or more)."""
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
@@ -18,27 +30,31 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without recurring lines; one of which nothing is left goes."""
-    clean = line_dedup.dedup_lines(docs)
-    gone = (F.col("n_dropped") > 0) & (F.regexp_count("text", F.lit(WORD)) == 0)
-    return clean.where(~gone).select(docs.columns)
+    lines, dropped = _free("lines", docs), _free("dropped", docs)
+    clean = line_dedup.dedup_lines(docs, counts=(lines, dropped))
+    gone = (F.col(dropped) > 0) & (F.regexp_count("text", F.lit(WORD)) == 0)
+    return clean.where(~gone).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group that similar shingle sets connect."""
+    """The document with the smallest doc_id of each group that similar shingle sets connect. Rows that share a
+    doc_id are one document; those without one stay if any of them is no copy of a document with one."""
     found = jaccard.similar_components(docs)
-    kept = materialize(found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    kept = found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    return _rows(docs).join(materialize(kept, "kept"), F.col("row_id").eqNullSafe(F.col("kept_id")), "left_semi").select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; at a source's cut, the words that still fit."""
-    taken = mixing.mix_sources(docs).select(F.col("doc_id").alias("taken_id"), "size", "taken").dropDuplicates(["taken_id"])
-    rows = docs.join(taken.where("taken > 0"), F.col("doc_id").eqNullSafe(F.col("taken_id")))
+    """Each document as often as the mix takes it; at a source's cut, the words that still fit. Rows that share a
+    doc_id are each taken as often as the one that is taken most."""
+    taken = mixing.mix_sources(docs).groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("size").alias("size"), F.max("taken").alias("taken")).where("taken > 0")
+    rows = _rows(docs).join(taken, F.col("row_id").eqNullSafe(F.col("taken_id")))
     parts = F.transform(F.sequence(F.lit(0), F.floor((F.col("taken") - 1) / F.col("size"))), lambda k: F.least(F.col("size"), F.col("taken") - k * F.col("size")))
-    rows = rows.withColumn("words", F.explode(parts))
-    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), 1, F.col("words").cast("int")), "")
-    text = F.when(F.col("words") < F.col("size"), first).otherwise(F.col("text"))
-    return rows.withColumn("text", text).select(docs.columns)
+    rows = rows.select("row", "size", F.explode(parts).alias("words"))
+    text = F.col("row")["text"]
+    first = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), 1, F.col("words").cast("int")), "")
+    cut = F.when(F.col("words") < F.col("size"), first).otherwise(text)
+    return rows.select(*[(cut if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

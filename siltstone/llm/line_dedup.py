@@ -58,22 +58,22 @@ def dropped_lines(docs: DataFrame, *, depth: int, least_tokens: int, agree: floa
     return hit.groupBy("doc_id").agg(F.array_sort(F.collect_set("place")).alias("places"))
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, least_tokens: int = LEAST_TOKENS, agree: float = AGREE, min_docs: int = MIN_DOCS) -> DataFrame:
-    """docs with the text less its recurring lines, and two columns more: n_lines and n_dropped.
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, least_tokens: int = LEAST_TOKENS, agree: float = AGREE, min_docs: int = MIN_DOCS, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """docs with the text less its recurring lines, and two columns more, named by counts: lines and dropped lines.
 
     Lines end at line feeds, tokens at blanks. Lines of fewer than least_tokens tokens always stay. The first
     place is the smallest doc_id (null last), then the first line; all rows of one doc_id are one document.
-    Null texts stay null with n_lines 0; all other columns pass through, but columns of docs that are named
-    n_lines or n_dropped are replaced. Repeats inside one document alone are not touched. min_docs above 2
+    Null texts stay null with no lines; all other columns pass through, but columns of docs that have
+    the names of the two counts are replaced. Repeats inside one document alone are not touched. min_docs above 2
     counts a document once for each form of a template that it holds.
     """
-    others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    others = [c for c in docs.columns if c not in counts]
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     drops = dropped_lines(rows, depth=depth, least_tokens=least_tokens, agree=agree, min_docs=min_docs)
-    packed = docs.select(F.struct(*[F.col(c) for c in others]).alias("row"), F.col(id_col).alias("line_dedup_id"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.col(id_col).alias("line_dedup_id"))
     joined = packed.join(drops.withColumnRenamed("doc_id", "dropped_id"), F.col("line_dedup_id").eqNullSafe(F.col("dropped_id")), "left")
-    text = F.col(f"row.{text_col}")
+    text = F.col("row")[text_col]
     lines = F.split(text, "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("places"), i)), "\n")
-    columns = [(F.when(F.col("places").isNull(), text).otherwise(kept) if c == text_col else F.col(f"row.{c}")).alias(c) for c in others]
-    return joined.select(*columns, F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.coalesce(F.size("places"), F.lit(0)).alias("n_dropped"))
+    columns = [(F.when(F.col("places").isNull(), text).otherwise(kept) if c == text_col else F.col("row")[c]).alias(c) for c in others]
+    return joined.select(*columns, F.coalesce(F.size(lines), F.lit(0)).alias(counts[0]), F.coalesce(F.size("places"), F.lit(0)).alias(counts[1]))

@@ -342,3 +342,21 @@ def test_pipeline_stages(spark, tmp_path):
             for r in docs.collect():
                 got[r["doc_id"]] += len(WORD.findall(r["text"]))
             assert dict(got) == want
+
+
+def test_pipeline_stages_over_awkward_rows(spark, docs, empty, tmp_path):
+    import corpus_pipeline as pipeline
+
+    rows = docs.withColumns({c: F.lit("clash") for c in ("words", "taken", "taken_id", "row_id", "kept_id", "lines", "dropped", "a.b")})
+    spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(None, 1, None), (5, None, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for start in (rows, empty):
+        now = start
+        for number, (_, stage) in enumerate(pipeline.STAGES):
+            out = stage(spark, now, str(tmp_path))
+            path = str(tmp_path / f"{start is rows}-{number}")
+            out.write.parquet(path)
+            if number < 4:
+                assert out.columns == start.columns
+                assert all({r[c] for r in out.select(f"`{c}`").distinct().collect()} <= {"clash"} for c in ("row_id", "dropped", "a.b") if c in start.columns)
+            now = spark.read.schema(out.schema).parquet(path)
+        assert (now.count() > 0) == (start is rows)
