@@ -62,6 +62,17 @@ def junctions(clicks: DataFrame) -> DataFrame:
     ).withColumns({"lat": 12 + (F.col("junction") * 7 % 31) * 0.01, "lon": 77 + (F.col("junction") * 11 % 37) * 0.01})
 
 
+def early(clicks: DataFrame, share: float) -> DataFrame:
+    """clicks with early: whether a row lies in the first share of the time that they span."""
+    span = clicks.agg(F.min("t").alias("low"), F.max("t").alias("high"))
+    cut = F.col("low") + F.floor((F.col("high") - F.col("low")) * F.lit(share))
+    return clicks.crossJoin(F.broadcast(span)).withColumn("early", F.col("t") <= cut).drop("low", "high")
+
+
+def early_sql(share: float) -> str:
+    return f"t <= (SELECT min(t) + CAST(floor((max(t) - min(t)) * {share}::DOUBLE) AS BIGINT) FROM clicks)"
+
+
 #: The same adapters as common table expressions.
 SHIPMENTS_SQL = """
 lines AS (SELECT l_orderkey AS event_id, max(l_shipdate) AS end_ts, min(l_suppkey) AS junction, bool_or(l_returnflag = 'R') AS closure FROM lineitem GROUP BY l_orderkey),

@@ -55,15 +55,19 @@ def predict(top: DataFrame, query: str, sim: str, value: str, k0: int = 3, least
     return out.withColumn("abstain", (F.col("n_eff") < least_eff) | (F.col("confidence") < least_confidence))
 
 
-def cosine_topk(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """query, key, cosine, rank: a stated, small query set against all vectors in one pass over the vectors.
+def cosine_topk(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, block: int = 4096) -> DataFrame:
+    """query, key, cosine, rank: a stated query set against all vectors, in blocks of about `block` queries.
 
-    Vectors are normalised once; each task keeps its own k best for each query before anything is shuffled."""
+    A block is broadcast and meets the vectors where they are; each task keeps its own k best for each query
+    before anything is shuffled."""
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     dot = F.aggregate(F.zip_with("qv", "v", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("qv"), norm(F.col(vector)).alias("qn"))
+    blocks = max(1, -(-queries.count() // block))
+    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("qv"), norm(F.col(vector)).alias("qn")).withColumn("b", F.pmod(F.xxhash64("query"), F.lit(blocks)))
     v = vectors.select(F.col(key), F.col(vector).alias("v"), norm(F.col(vector)).alias("n"))
-    scored = v.crossJoin(F.broadcast(q)).where(F.col("query") != F.col(key)).withColumn("cosine", F.round(dot / (F.col("qn") * F.col("n")), 6)).select("query", key, "cosine")
-    part = scored.withColumn("slot", F.spark_partition_id())
-    local = part.withColumn("r", F.row_number().over(W.partitionBy("query", "slot").orderBy(F.desc("cosine"), key))).where(F.col("r") <= k)
-    return local.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("cosine"), key))).where(F.col("rank") <= k).select("query", key, "cosine", "rank")
+    best = None
+    for b in range(blocks):
+        scored = v.crossJoin(F.broadcast(q.where(F.col("b") == b))).where(F.col("query") != F.col(key)).withColumn("cosine", F.round(dot / (F.col("qn") * F.col("n")), 6))
+        local = scored.select("query", key, "cosine").withColumn("slot", F.spark_partition_id()).withColumn("r", F.row_number().over(W.partitionBy("query", "slot").orderBy(F.desc("cosine"), key))).where(F.col("r") <= k)
+        best = local if best is None else best.unionByName(local)
+    return best.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("cosine"), key))).where(F.col("rank") <= k).select("query", key, "cosine", "rank")

@@ -76,7 +76,7 @@ FROM x GROUP BY ALL""")
 
 # --- scalar maths: distance, buckets, labels, blends
 def scalar_maths(spark, sf):
-    c = I.clicks(spark, sf).where(F.col("event_id") % 10 >= 0)
+    c = I.clicks(spark, sf)
     p50, p80, p95 = F.col("duration"), F.col("duration") * (F.col("k") + 10) / 50, F.col("duration") * (F.col("k") + 1) / 8
     t = X.sorted_quantiles(p50, p80, p95)
     rel = X.clip(0.25 * F.col("trust") + 0.75 * X.clip(F.col("k") / 100.0, 0.1, 0.9), 0.0, 1.0)
@@ -189,13 +189,13 @@ SELECT event_cause, z_level, count(*) AS n, count(*) FILTER (abs(z) > 3.5) AS n_
 
 
 def robust_scaling(spark, sf):
-    rows = I.clicks(spark, sf).withColumn("k", F.col("k").cast("double"))
-    z = Q.robust_scale(rows, ["duration", "k"], F.col("event_id") % 3 != 0)
+    rows = I.early(I.clicks(spark, sf), 0.7).withColumn("k", F.col("k").cast("double"))
+    z = Q.robust_scale(rows, ["duration", "k"], F.col("early"))
     return z.groupBy("event_cause").agg(r6(F.avg("duration_scaled")).alias("duration_scaled"), r6(F.max("k_scaled")).alias("k_scaled"))
 
 
 register("robust_scaling", robust_scaling, f"""
-WITH {I.CLICKS_SQL}, t AS (SELECT * FROM clicks WHERE event_id % 3 <> 0), m AS (SELECT median(duration) AS a, median(k) AS b FROM t),
+WITH {I.CLICKS_SQL}, t AS (SELECT * FROM clicks WHERE {I.early_sql(0.7)}), m AS (SELECT median(duration) AS a, median(k) AS b FROM t),
 d AS (SELECT median(abs(duration - a)) AS da, median(abs(k - b)) AS db, any_value(a) AS a, any_value(b) AS b FROM t, m)
 SELECT event_cause, round(avg((duration - a) / (da * 1.4826)), 6) AS duration_scaled, round(max((k - b) / (db * 1.4826)), 6) AS k_scaled FROM clicks, d GROUP BY event_cause""")
 

@@ -65,15 +65,15 @@ m AS (SELECT corridor, count(DISTINCT event_cause) AS causes, round(avg(CASE WHE
 
 def train_window_marks(spark, sf):
     """Marks scaled by the training window's extremes and clipped to 0 and 1."""
-    c = I.clicks(spark, sf)
+    c = I.early(I.clicks(spark, sf), 0.7)
     raw = 0.4 * F.col("trust") + 0.3 * F.col("closure").cast("int") + 0.3 * F.log1p("duration")
-    rows = c.withColumn("raw", raw).withColumn("train", F.col("event_id") % 10 < 7)
+    rows = c.withColumn("raw", raw).withColumn("train", F.col("early"))
     e = rows.agg(F.min(F.when(F.col("train"), F.col("raw"))).alias("low"), F.max(F.when(F.col("train"), F.col("raw"))).alias("high"))
     mark = F.when(F.col("high") > F.col("low"), X.clip((F.col("raw") - F.col("low")) / (F.col("high") - F.col("low")), 0.0, 1.0)).otherwise(0.5)
     return rows.crossJoin(F.broadcast(e)).withColumn("mark", mark).groupBy("zone", "train").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("mark")).alias("mark"))
 
 
-register("train_window_marks", train_window_marks, f"""WITH {I.CLICKS_SQL}, r AS (SELECT *, 0.4::DOUBLE * trust + 0.3::DOUBLE * CAST(closure AS INTEGER) + 0.3::DOUBLE * ln(1 + duration) AS raw, event_id % 10 < 7 AS train FROM clicks), e AS (SELECT min(raw) FILTER (train) AS low, max(raw) FILTER (train) AS high FROM r)
+register("train_window_marks", train_window_marks, f"""WITH {I.CLICKS_SQL}, r AS (SELECT *, 0.4::DOUBLE * trust + 0.3::DOUBLE * CAST(closure AS INTEGER) + 0.3::DOUBLE * ln(1 + duration) AS raw, {I.early_sql(0.7)} AS train FROM clicks), e AS (SELECT min(raw) FILTER (train) AS low, max(raw) FILTER (train) AS high FROM r)
 SELECT zone, train, count(*) AS n, round(avg(greatest(0.0, least(1.0, (raw - low) / (high - low)))), 6) AS mark FROM r, e GROUP BY ALL""")
 
 
@@ -100,14 +100,14 @@ SELECT junction, CAST(rank_before AS INTEGER) AS rank_before, CAST(rank_after AS
 
 
 def prototype_trust(spark, sf):
-    c = I.clicks(spark, sf)
+    c = I.early(I.clicks(spark, sf), 0.8)
     prior = c.groupBy("event_cause", "corridor").agg(F.avg("trust").alias("trust"))
-    outcomes = c.where(F.col("event_id") % 5 == 0).withColumn("success", X.cases([(F.col("duration") < 5, 1.0), (F.col("duration") < 15, 0.5)], 0.0))
+    outcomes = c.where("not early").withColumn("success", X.cases([(F.col("duration") < 5, 1.0), (F.col("duration") < 15, 0.5)], 0.0))
     out = C.updated_trust(prior, outcomes, ["event_cause", "corridor"])
     return out.select("event_cause", "corridor", r6("trust").alias("trust"), "n_outcomes")
 
 
-register("prototype_trust", prototype_trust, f"""WITH {I.CLICKS_SQL}, p AS (SELECT event_cause, corridor, avg(trust) AS trust FROM clicks GROUP BY ALL), o AS (SELECT event_cause, corridor, avg(CASE WHEN duration < 5 THEN 1.0 WHEN duration < 15 THEN 0.5 ELSE 0.0 END) AS seen, count(*) AS n FROM clicks WHERE event_id % 5 = 0 GROUP BY ALL)
+register("prototype_trust", prototype_trust, f"""WITH {I.CLICKS_SQL}, p AS (SELECT event_cause, corridor, avg(trust) AS trust FROM clicks GROUP BY ALL), o AS (SELECT event_cause, corridor, avg(CASE WHEN duration < 5 THEN 1.0 WHEN duration < 15 THEN 0.5 ELSE 0.0 END) AS seen, count(*) AS n FROM clicks WHERE NOT {I.early_sql(0.8)} GROUP BY ALL)
 SELECT p.event_cause, p.corridor, round(CASE WHEN seen IS NULL THEN trust ELSE 0.8::DOUBLE * trust + 0.2::DOUBLE * seen END, 6) AS trust, coalesce(n, 0) AS n_outcomes FROM p LEFT JOIN o ON p.event_cause = o.event_cause AND p.corridor = o.corridor""")
 
 
@@ -195,7 +195,7 @@ SELECT r.zone, event_id, duration, path, len(string_split(path, '|')) AS steps F
 
 
 def robust_scenarios(spark, sf):
-    sites = I.junctions(I.clicks(spark, sf)).where("junction < 50").withColumn("mu", F.log("mean_duration")).withColumn("sigma", F.lit(0.5) + F.col("closure_rate"))
+    sites = I.junctions(I.clicks(spark, sf)).withColumn("mu", F.log("mean_duration")).withColumn("sigma", F.lit(0.5) + F.col("closure_rate"))
     s = C.lognormal_scenarios(sites, "junction", "mu", "sigma", 200)
     kept = C.reduce_scenarios(s, "junction", 50)
     totals = s.join(F.broadcast(kept), "scenario").groupBy("scenario").agg(F.sum("duration").alias("total"), F.first("weight").alias("weight"))

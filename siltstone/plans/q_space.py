@@ -58,11 +58,11 @@ register("knn_weights", knn_weights, f"WITH {KNN_SQL} SELECT junction, neighbour
 
 def radius_matches(spark, sf):
     j = _junctions(spark, sf)
-    out = G.within_radius(j.where(F.col("junction") < 20), j, 5.0, "junction", "junction")
+    out = G.within_radius(j, j, 5.0, "junction", "junction")
     return out.select("junction", "near_junction", r6("km").alias("km"))
 
 
-register("radius_matches", radius_matches, f"""WITH {J}, d AS (SELECT a.junction, b.junction AS near_junction, 2 * 6371 * asin(sqrt(least(1.0, sin(radians(b.lat - a.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2))) AS km FROM junctions a, junctions b WHERE a.junction < 20)
+register("radius_matches", radius_matches, f"""WITH {J}, d AS (SELECT a.junction, b.junction AS near_junction, 2 * 6371 * asin(sqrt(least(1.0, sin(radians(b.lat - a.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2))) AS km FROM junctions a, junctions b)
 SELECT junction, near_junction, round(km, 6) AS km FROM d WHERE km <= 5.0""")
 
 
@@ -123,11 +123,11 @@ register("chain_edges", chain_edges, f"WITH {CHAIN_SQL} SELECT a, b FROM chain")
 
 def bfs_hops(spark, sf):
     e = G.chain_edges(_members(spark, sf), "node", "corridor", [F.desc("w")])
-    sources = _members(spark, sf).where("node % 10 = 0").select("node")
+    sources = _members(spark, sf).select("node")
     return G.hops(e, sources, 4)
 
 
-register("bfs_hops", bfs_hops, f"""WITH RECURSIVE {CHAIN_SQL}, r AS (SELECT s_suppkey AS source, s_suppkey AS node, 0 AS hops FROM supplier WHERE s_suppkey % 10 = 0 UNION SELECT r.source, c.b, r.hops + 1 FROM r JOIN chain c ON r.node = c.a WHERE r.hops < 4)
+register("bfs_hops", bfs_hops, f"""WITH RECURSIVE {CHAIN_SQL}, r AS (SELECT s_suppkey AS source, s_suppkey AS node, 0 AS hops FROM supplier UNION SELECT r.source, c.b, r.hops + 1 FROM r JOIN chain c ON r.node = c.a WHERE r.hops < 4)
 SELECT source, node, min(hops) AS hops FROM r GROUP BY ALL""")
 
 
@@ -136,14 +136,14 @@ def cheapest_diversion(spark, sf):
     cost = m.select(F.col("node").alias("b"), (0.1 + F.col("node") % 7 / 10.0).alias("weight"))
     e = G.chain_edges(m, "node", "corridor", [F.desc("w")]).join(cost, "b")
     # start at the neighbours of a blocked node and stay off it
-    sources = e.select(F.col("a").alias("blocked"), F.col("b").alias("node")).where("blocked % 5 = 0").withColumn("source", F.col("node"))
+    sources = e.select(F.col("a").alias("blocked"), F.col("b").alias("node")).withColumn("source", F.col("node"))
     out = G.cheapest_paths(e, sources, 2.0, 4).where(F.col("source") != F.col("node"))
     best = R.top_k_per(out, ["blocked"], [F.round("cost", 6), F.col("source"), F.col("node")], 3)
     return best.select("blocked", "source", "node", r6("cost").alias("cost"), "rank")
 
 
 register("cheapest_diversion", cheapest_diversion, f"""WITH RECURSIVE {CHAIN_SQL}, r AS (
-  SELECT a AS blocked, b AS source, b AS node, 0.0::DOUBLE AS cost, 0 AS steps FROM chain WHERE a % 5 = 0
+  SELECT a AS blocked, b AS source, b AS node, 0.0::DOUBLE AS cost, 0 AS steps FROM chain
   UNION SELECT r.blocked, r.source, c.b, r.cost + 0.1::DOUBLE + c.b % 7 / 10.0::DOUBLE, r.steps + 1 FROM r JOIN chain c ON c.a = r.node WHERE c.b <> r.blocked AND r.steps < 4 AND r.cost + 0.1::DOUBLE + c.b % 7 / 10.0::DOUBLE <= 2.0),
 m AS (SELECT blocked, source, node, min(cost) AS cost FROM r GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY blocked ORDER BY round(cost, 6), source, node) AS rank FROM m WHERE source <> node)
 SELECT blocked, source, node, round(cost, 6) AS cost, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 3""")
@@ -205,13 +205,13 @@ def _cases(spark, sf):
 def _scored_cases(spark, sf):
     c = _cases(spark, sf)
     d = V.gower(RANGES, ["priority", "event_cause"], WEIGHTS)
-    pairs = V.pairs_by_block(c.where("event_id % 200 = 0"), c, "event_id", "corridor").withColumn("sim", F.round(1 - d, 9))
+    pairs = V.pairs_by_block(c.where("event_id % 20 = 0"), c, "event_id", "corridor").withColumn("sim", F.round(1 - d, 9))
     return pairs.select(F.col("q.event_id").alias("query"), F.col("c.event_id").alias("case_id"), "sim", F.col("c.planned").alias("planned"), F.col("c.duration").alias("duration"), F.col("q.duration").alias("actual"))
 
 
 CASES_SQL = f"""{I.SHIPMENTS_SQL}, cases AS (SELECT event_id, price, CAST(month(start_ts) AS DOUBLE) AS month, priority, event_cause, corridor, duration, priority IN ('1-URGENT', '2-HIGH') AS planned FROM shipments WHERE NOT is_censored AND duration > 0),
 scored AS (SELECT q.event_id AS query, c.event_id AS case_id, round(1 - (0.4::DOUBLE * least(1.0, abs(q.price - c.price) / 500000.0::DOUBLE) + 0.2::DOUBLE * least(1.0, abs(q.month - c.month) / 11.0::DOUBLE) + 0.25::DOUBLE * CAST(q.priority <> c.priority AS INTEGER) + 0.15::DOUBLE * CAST(q.event_cause <> c.event_cause AS INTEGER)), 9) AS sim,
-  c.planned, c.duration, q.duration AS actual FROM cases q JOIN cases c ON q.corridor = c.corridor AND q.event_id <> c.event_id WHERE q.event_id % 200 = 0)"""
+  c.planned, c.duration, q.duration AS actual FROM cases q JOIN cases c ON q.corridor = c.corridor AND q.event_id <> c.event_id WHERE q.event_id % 20 = 0)"""
 
 
 def gower_topk(spark, sf):
@@ -245,12 +245,12 @@ SELECT query, n, round(n_eff, 6) AS n_eff, round(weighted_mean, 6) AS weighted_m
 
 def embedding_cosine_topk(spark, sf):
     e = table(spark, sf, "embeddings")
-    return V.cosine_topk(e.where("vec_id < 20"), e, "vec_id", "embedding", 5)
+    return V.cosine_topk(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", 5)
 
 
 register("embedding_cosine_topk", embedding_cosine_topk, """
 WITH s AS (SELECT q.vec_id AS query, c.vec_id, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) / (sqrt(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) * sqrt(list_inner_product(CAST(c.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])))), 6) AS cosine
-  FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id < 20), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, vec_id) AS rank FROM s) SELECT query, vec_id, cosine, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5""")
+  FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, vec_id) AS rank FROM s) SELECT query, vec_id, cosine, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5""")
 
 # --- allocation
 

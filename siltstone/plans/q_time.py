@@ -118,13 +118,13 @@ SELECT week, n, round(mean, 6) AS mean, round(abs(mean - lag(mean) OVER (ORDER B
 
 
 def psi_bins(spark, sf):
-    c = I.clicks(spark, sf)
-    out = B.population_stability(c.where(F.col("event_id") % 2 == 0), c.where(F.col("event_id") % 3 == 1), "duration")
+    c = I.early(I.clicks(spark, sf), 0.6)
+    out = B.population_stability(c.where("early"), c.where("not early"), "duration")
     return out.select("bins", r6("psi").alias("psi"))
 
 
 register("psi_bins", psi_bins, f"""
-WITH {I.CLICKS_SQL}, base AS (SELECT duration AS x FROM clicks WHERE event_id % 2 = 0), new AS (SELECT duration AS x FROM clicks WHERE event_id % 3 = 1),
+WITH {I.CLICKS_SQL}, base AS (SELECT duration AS x FROM clicks WHERE {I.early_sql(0.6)}), new AS (SELECT duration AS x FROM clicks WHERE NOT {I.early_sql(0.6)}),
 e AS (SELECT list_distinct(quantile_cont(x, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1])) AS e FROM base),
 p AS (SELECT greatest(1, len(list_filter(e, lambda v: v < x))) AS bin, count(*) / (SELECT count(*) FROM base)::DOUBLE AS p FROM base, e GROUP BY 1),
 q AS (SELECT greatest(1, len(list_filter(e, lambda v: v < x))) AS bin, count(*) / (SELECT count(*) FROM new)::DOUBLE AS q FROM new, e WHERE x >= list_min(e) - 1e-9 AND x <= list_max(e) + 1e-9 GROUP BY 1)
@@ -210,22 +210,21 @@ register("hawkes_fit", hawkes_fit)
 
 
 def hierarchical_posterior(spark, sf):
-    c = I.clicks(spark, sf)
+    c = I.early(I.clicks(spark, sf), 0.75).withColumn("area", F.col("junction") % 97)
     x = F.log1p("duration")
-    split = F.col("event_id") % 4 == 0
     last = c.agg(F.max("t").alias("last"))
-    feedback = c.where(split & (F.col("corridor") < 8)).crossJoin(F.broadcast(last))
+    feedback = c.where("not early").crossJoin(F.broadcast(last))
     w = B.forgetting(F.floor((F.col("last") - F.col("t")) / M.DAY))
-    out = B.normal_posterior(c.where(~split & (F.col("corridor") != 3)), ["event_cause", "corridor"], feedback, x, w, ["event_cause", "corridor"])
-    return out.select("event_cause", "corridor", "level", *[r6(v).alias(v) for v in ("n_eff", "prior_mean", "posterior_mean", "posterior_variance", "prior_influence")])
+    out = B.normal_posterior(c.where("early"), ["event_cause", "area"], feedback, x, w, ["event_cause", "area"])
+    return out.select("event_cause", "area", "level", *[r6(v).alias(v) for v in ("n_eff", "prior_mean", "posterior_mean", "posterior_variance", "prior_influence")])
 
 
 register("hierarchical_posterior", hierarchical_posterior, f"""
-WITH {I.CLICKS_SQL}, x AS (SELECT *, ln(1 + duration) AS x, exp(-ln(2) / 30 * greatest(((SELECT max(t) FROM clicks) - t) // 86400000000, 0)) AS w FROM clicks),
-p AS (SELECT * FROM x WHERE event_id % 4 <> 0 AND corridor <> 3), f AS (SELECT event_cause, corridor, sum(w) ** 2 / sum(w * w) AS n_eff, sum(w * x) / sum(w) AS fm FROM x WHERE event_id % 4 = 0 AND corridor < 8 GROUP BY ALL),
-s AS (SELECT event_cause, corridor, count(*) AS n, avg(x) AS m, greatest(1e-6, sum(x * x) / count(*) - avg(x) ** 2) AS v FROM p GROUP BY ALL), c AS (SELECT event_cause, count(*) AS n, avg(x) AS m, greatest(1e-6, sum(x * x) / count(*) - avg(x) ** 2) AS v FROM p GROUP BY ALL),
-j AS (SELECT f.*, CASE WHEN s.n >= 3 THEN 'stratum' ELSE 'cause' END AS level, CASE WHEN s.n >= 3 THEN s.m ELSE c.m END AS pm, CASE WHEN s.n >= 3 THEN s.v ELSE c.v END AS pv FROM f LEFT JOIN s USING (event_cause, corridor) JOIN c USING (event_cause))
-SELECT event_cause, corridor, level, round(n_eff, 6) AS n_eff, round(pm, 6) AS prior_mean, round(CASE WHEN n_eff >= 1 THEN (pm / pv + n_eff * fm / pv) / (1 / pv + n_eff / pv) ELSE pm END, 6) AS posterior_mean,
+WITH {I.CLICKS_SQL}, x AS (SELECT *, junction % 97 AS area, ln(1 + duration) AS x, exp(-ln(2) / 30 * greatest(((SELECT max(t) FROM clicks) - t) // 86400000000, 0)) AS w FROM clicks),
+p AS (SELECT * FROM x WHERE {I.early_sql(0.75)}), f AS (SELECT event_cause, area, sum(w) ** 2 / sum(w * w) AS n_eff, sum(w * x) / sum(w) AS fm FROM x WHERE NOT {I.early_sql(0.75)} GROUP BY ALL),
+s AS (SELECT event_cause, area, count(*) AS n, avg(x) AS m, greatest(1e-6, sum(x * x) / count(*) - avg(x) ** 2) AS v FROM p GROUP BY ALL), c AS (SELECT event_cause, count(*) AS n, avg(x) AS m, greatest(1e-6, sum(x * x) / count(*) - avg(x) ** 2) AS v FROM p GROUP BY ALL),
+j AS (SELECT f.*, CASE WHEN s.n >= 3 THEN 'stratum' ELSE 'cause' END AS level, CASE WHEN s.n >= 3 THEN s.m ELSE c.m END AS pm, CASE WHEN s.n >= 3 THEN s.v ELSE c.v END AS pv FROM f LEFT JOIN s USING (event_cause, area) JOIN c USING (event_cause))
+SELECT event_cause, area, level, round(n_eff, 6) AS n_eff, round(pm, 6) AS prior_mean, round(CASE WHEN n_eff >= 1 THEN (pm / pv + n_eff * fm / pv) / (1 / pv + n_eff / pv) ELSE pm END, 6) AS posterior_mean,
   round(CASE WHEN n_eff >= 1 THEN 1 / (1 / pv + n_eff / pv) ELSE pv END, 6) AS posterior_variance, round(greatest(0, least(1, CASE WHEN n_eff >= 1 THEN 1 / (1 + n_eff) ELSE 1 END)), 6) AS prior_influence FROM j""")
 
 
