@@ -53,8 +53,8 @@ def _signatures(width: int, percent: int) -> Callable:
         from .shingles import shingle_sets
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 sizes, ones, twos, prefixes, plain = [], [], [], [], []
                 for tokens in shingle_sets(part.column(1).to_pylist(), width):
                     n = len(tokens)
@@ -71,6 +71,7 @@ def _signatures(width: int, percent: int) -> Callable:
                     [part.column(0), pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.array(plain, pa.int32()), tokens],
                     names=["doc_id", "n", "one", "two", "plain", "prefix"],
                 )
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -83,8 +84,8 @@ def _full_sets(width: int) -> Callable:
         from .shingles import shingle_sets
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 sets = list(shingle_sets(part.column(1).to_pylist(), width))
                 bits = [np.packbits((np.bincount((s % np.uint64(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1).astype(bool)).view(np.int64) for s in sets]
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
@@ -96,6 +97,7 @@ def _full_sets(width: int) -> Callable:
                     ],
                     names=["node", "tokens", "bits"],
                 )
+        pa.default_memory_pool().release_unused()
 
     return run
 

@@ -21,8 +21,8 @@ from .common import materialize, text_of
 CAPACITY = 2048
 #: Pieces of a group, about. A group's loss is a few open sequences, whatever its size.
 GROUP_ROWS = 20_000
-#: Parts of words that a Python worker keeps the ids of, about 100 MB.
-CACHE_WORDS = 600_000
+#: Parts of words that a Python worker keeps the ids of, about 50 MB.
+CACHE_WORDS = 300_000
 
 _LOADED: dict = {}
 
@@ -115,7 +115,7 @@ def word_ids(path: str) -> WordIds:
     return _LOADED[path]
 
 
-def _pieces(path: str, capacity: int, end_id: int, batch_bytes: int = 1 << 22) -> Callable:
+def _pieces(path: str, capacity: int, end_id: int, batch_bytes: int = 1 << 21) -> Callable:
     def run(batches: Iterator) -> Iterator:
         import os
         import zlib
@@ -147,6 +147,7 @@ def _pieces(path: str, capacity: int, end_id: int, batch_bytes: int = 1 << 22) -
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
                 at = upto
+        pa.default_memory_pool().release_unused()
 
     return run
 

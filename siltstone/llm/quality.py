@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -132,10 +132,11 @@ def fold(doc_id: Column, folds: int = 5) -> Column:
 def score_column(model: QualityModel, text: Column) -> Column:
     """The score, 0 to 1, of a text column; null counts as empty."""
 
-    @F.pandas_udf("double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in parts:
-            yield pd.Series(model.scores(texts.to_numpy()))
+            found = [model.scores(texts.slice(at, 256).to_pylist()) for at in range(0, len(texts), 256)]
+            yield pa.array(np.concatenate(found) if found else np.zeros(0))
 
     return score(text)
 

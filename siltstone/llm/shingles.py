@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Texts are hashed in slices of about so many bytes; a longer text is cut between words.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 & ~7 | 5  # 5 modulo 8: powers of it repeat as late as possible
