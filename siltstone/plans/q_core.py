@@ -62,7 +62,7 @@ def scalar_cleaning(spark, sf):
 register("scalar_cleaning", scalar_cleaning, f"""
 WITH {I.CLICKS_SQL},
 l AS (SELECT *, ts + INTERVAL 330 MINUTE AS local FROM clicks),
-p AS (SELECT *, hour(local) AS h, isodow(local) - 1 AS dow_local FROM l),
+p AS (SELECT *, hour(local) AS h, CAST(isodow(local) - 1 AS INTEGER) AS dow_local FROM l),
 x AS (
   SELECT *, CAST(dow_local IN (5, 6) AS INTEGER) AS is_weekend, CAST(h BETWEEN 7 AND 10 OR h BETWEEN 17 AND 20 AS INTEGER) AS is_peak,
     CASE WHEN k % 7 = 0 THEN event_cause || '_x' WHEN event_cause = 'view' THEN 'page_view' ELSE event_cause END AS cause,

@@ -191,7 +191,7 @@ def median_rows(spark, sf):
 
 
 register("median_rows", median_rows, f"""WITH {I.CLICKS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY duration, event_id) AS r, count(*) OVER (PARTITION BY zone) AS n FROM clicks), t AS (SELECT zone, string_agg(CAST(event_id AS VARCHAR), '|' ORDER BY r) AS path FROM r WHERE r > n - 3 GROUP BY zone)
-SELECT r.zone, event_id, duration, path, len(string_split(path, '|')) AS steps FROM r JOIN t ON t.zone = r.zone WHERE r = n // 2 + 1""")
+SELECT r.zone, event_id, duration, path, CAST(len(string_split(path, '|')) AS INTEGER) AS steps FROM r JOIN t ON t.zone = r.zone WHERE r = n // 2 + 1""")
 
 
 def robust_scenarios(spark, sf):
