@@ -5,7 +5,8 @@ n - ceil(t n) + 1 tokens; within their first n - ceil(t n) + k they share k. Thr
 which needs to be exact for the result to be:
 
 A. by hash. Half as long again as the plain prefix, so that a set needs many tokens in common with any other
-   sets at all; most documents end here, after one shuffle of about a fifth of their tokens.
+   sets at all: as many as the prefixes of both share at least, whatever size a linked set has. Most documents
+   end here, after one shuffle of about a fifth of their tokens.
 B. by the number of remaining sets that hold a token, rare ones first, then by hash. Shared passages come last
    in it. Its prefixes make the buckets in which pairs are sought.
 C. as B with another hash.
@@ -21,7 +22,9 @@ the parity bits of their tokens, as the symmetric difference has at least as man
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,11 +46,28 @@ def _prefix(n: Column, percent: int) -> Column:
     return (n - _least_shared(n, percent) + 1).cast("int")
 
 
+def _posted(n, percent: int):
+    """Tokens that a set of n posts in order A; n is a number or an array."""
+    first = n + 1 - -(-percent * n // 100)
+    return np.minimum(n, first + first // 2)
+
+
+@lru_cache(maxsize=1 << 16)
+def _needed(n: int, percent: int) -> int:
+    """Tokens that the prefixes in order A of a set of n and of any set it links with share at least.
+
+    Sets of n and m that link have `common` tokens or more; the k-th of these is at place k + n - common at most
+    in the one and k + m - common in the other. What a smaller partner posts counts as well as the own prefix."""
+    m = np.arange(-(-percent * n // 100), 100 * n // percent + 1)
+    common = -(-percent * (n + m) // (100 + percent))
+    shared = np.minimum(common, np.minimum(_posted(n, percent) - (n - common), _posted(m, percent) - (m - common)))
+    return int(shared[common <= np.minimum(n, m)].min())
+
+
 def _signatures(width: int, percent: int) -> Callable:
     def run(batches: Iterator) -> Iterator:
         import hashlib
 
-        import numpy as np
         import pyarrow as pa
 
         from .shingles import shingle_sets
@@ -55,7 +75,7 @@ def _signatures(width: int, percent: int) -> Callable:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sizes, ones, twos, prefixes, plain = [], [], [], [], []
+                sizes, ones, twos, prefixes, plain, needs = [], [], [], [], [], []
                 for tokens in shingle_sets(part.column(1).to_pylist(), width):
                     n = len(tokens)
                     first = n - -(-percent * n // 100) + 1 if n else 0
@@ -64,12 +84,13 @@ def _signatures(width: int, percent: int) -> Callable:
                     ones.append(one)
                     twos.append(two)
                     plain.append(first)
-                    prefixes.append(tokens[: min(n, first + first // 2)].view(np.int64))
+                    needs.append(_needed(n, percent))
+                    prefixes.append(tokens[: _posted(n, percent)].view(np.int64))
                 offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
                 tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.array(plain, pa.int32()), tokens],
-                    names=["doc_id", "n", "one", "two", "plain", "prefix"],
+                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.array(plain, pa.int32()), pa.array(needs, pa.int32()), tokens],
+                    names=["doc_id", "n", "one", "two", "plain", "need", "prefix"],
                 )
         pa.default_memory_pool().release_unused()
 
@@ -112,9 +133,9 @@ def _may_link(a: Callable[[str], Column], b: Callable[[str], Column], percent: i
 
 
 def shingle_signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, n, a 128-bit signature of the set (one, two), the plain length of its prefix in order A, and
-    the prefix with half as much again."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType)] + [T.StructField(c, T.LongType()) for c in ("n", "one", "two")] + [T.StructField("plain", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    """doc_id, n, a 128-bit signature of the set (one, two), the plain length of its prefix in order A, the tokens
+    it needs to share there, and the prefix with half as much again."""
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType)] + [T.StructField(c, T.LongType()) for c in ("n", "one", "two")] + [T.StructField(c, T.IntegerType()) for c in ("plain", "need")] + [T.StructField("prefix", T.ArrayType(T.LongType()))])
     return docs.mapInArrow(_signatures(width, percent), schema)
 
 
@@ -123,8 +144,7 @@ def _in_order_a(sets: DataFrame) -> DataFrame:
     posted = sets.select("node", F.explode("prefix").alias("token"))
     shared = posted.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token")
     counts = posted.join(shared, "token", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
-    need = F.size("prefix") - F.col("plain") + 1
-    return sets.join(counts, "node").where(F.col("shared") >= need).select("node")
+    return sets.join(counts, "node").where(F.col("shared") >= F.col("need")).select("node")
 
 
 def _in_orders_b_c(sets: DataFrame, percent: int) -> DataFrame:
@@ -179,7 +199,7 @@ def similar_components(docs: DataFrame, *, width: int = 4, percent: int = 85, id
     key = ["n", "one", "two"]
     groups = materialize(sets.where("n > 0").groupBy(key).agg(F.min("doc_id").alias("node")), "groups")
     nodes = sets.join(groups.where("node is not null").select(*key, F.col("node").alias("doc_id")), [*key, "doc_id"], "left_semi").dropDuplicates(["doc_id", *key]).withColumnRenamed("doc_id", "node")
-    nodes = materialize(nodes.select("node", "n", "plain", "prefix"), "nodes")
+    nodes = materialize(nodes.select("node", "n", "plain", "need", "prefix"), "nodes")
 
     left = bounded(materialize(_in_order_a(nodes), "order_a"))
     texts = rows.withColumnRenamed("doc_id", "node").join(left, "node", "left_semi").dropDuplicates(["node", "text"])

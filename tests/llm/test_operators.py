@@ -124,6 +124,28 @@ def test_jaccard_components(docs, rows, empty, stars):
         assert jaccard.similar_components(empty).count() == 0
 
 
+@pytest.mark.parametrize("percent", [70, 80, 85, 90])
+def test_order_a_asks_for_no_more_than_any_link_shares(percent):
+    for n in range(1, 260):
+        need, posted = jaccard._needed(n, percent), jaccard._posted(n, percent)
+        for m in range(1, 100 * n // percent + 2):
+            for common in range(1, min(n, m) + 1):
+                if 100 * common >= percent * (n + m - common):
+                    # the tokens that only one of two sets holds come first in it, at worst
+                    shared = min(common, posted - (n - common), jaccard._posted(m, percent) - (m - common))
+                    assert 1 <= need <= shared, (n, m, common)
+
+
+def test_short_texts_that_differ_by_a_word_at_the_edge(spark):
+    rows = []
+    for k in range(40):
+        words = [f"w{k}x{i}" for i in range(10)]
+        rows += [(3 * k, " ".join(words), "s0"), (3 * k + 1, " ".join(words[:9] if k % 2 else words[1:]), "s0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_components(docs).collect()}
+    assert got == {i: 3 * (i // 3) for i, _, _ in rows}
+
+
 def test_shingles_do_not_depend_on_slices():
     from siltstone.llm import shingles
 
