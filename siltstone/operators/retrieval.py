@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,11 +24,92 @@ def gower(numeric: Mapping[str, float], categorical: Sequence[str], weights: Map
     return F.when(weight > 0, total / weight).otherwise(1.0)
 
 
-def pairs_by_block(queries: DataFrame, cases: DataFrame, key: str, block: str) -> DataFrame:
-    """Structs q and c for a stated query set against the cases of the same block, without the query itself."""
-    q = queries.select(F.col(block).alias("block"), F.struct(*queries.columns).alias("q"))
-    c = cases.select(F.col(block).alias("block"), F.struct(*cases.columns).alias("c"))
-    return q.join(c, "block").where(F.col(f"q.{key}") != F.col(f"c.{key}")).drop("block")
+def _similarities(q: pd.DataFrame, c: pd.DataFrame, key: str, numeric: Mapping[str, float], categorical: Sequence[str], weights: Mapping[str, float]) -> np.ndarray:
+    """1 - gower for each row of q and of c, to 9 places; minus infinity for a row with itself."""
+    total, weight = np.zeros((len(q), len(c))), np.zeros((1, 1))
+    for f in (*numeric, *categorical):
+        if f in numeric:
+            x, y = q[f].to_numpy(float), c[f].to_numpy(float)
+            known_x, known_y = ~np.isnan(x), ~np.isnan(y)
+            d = np.minimum(1.0, np.abs(x[:, None] - y) / max(numeric[f], 1e-6))
+        else:
+            codes = pd.factorize(pd.concat([q[f], c[f]]))[0]
+            x, y = codes[: len(q)], codes[len(q) :]
+            known_x, known_y = x >= 0, y >= 0
+            d = (x[:, None] != y).astype(float)
+        if known_x.all() and known_y.all():
+            total += weights[f] * d
+            weight = weight + weights[f]
+        else:
+            known = known_x[:, None] & known_y
+            total += np.where(known, weights[f] * d, 0.0)
+            weight = weight + np.where(known, weights[f], 0.0)
+    sims = np.round(1 - np.where(weight > 0, total / np.where(weight > 0, weight, 1.0), 1.0), 9)
+    return np.where(q[key].to_numpy()[:, None] == c[key].to_numpy(), -np.inf, sims)
+
+
+def _first_k(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of each row's k greatest values, the smaller id first among equal ones."""
+    least = np.partition(sims, -k, axis=1)[:, [-k]] if sims.shape[1] > k else -np.inf
+    rows, cols = np.nonzero((sims >= least) & (sims > -np.inf))
+    order = np.lexsort((ids[cols], -sims[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[kept], cols[kept]
+
+
+def _in_blocks(queries: DataFrame, cases: DataFrame, key: str, query_block: int, case_block: int):
+    """Every block of queries together with every block of cases; blocks are even whatever the rows hold."""
+    # queries are often a part of the cases: columns get identities of their own
+    queries = queries.select(*[F.col(x).alias(x) for x in queries.columns])
+    cases = cases.where(F.col(key).isNotNull()).select(*[F.col(x).alias(x) for x in cases.columns])
+    n_q, n_c = max(1, -(-queries.count() // query_block)), max(1, -(-cases.count() // case_block))
+    even = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.withColumn("q_block", even(n_q)).withColumn("c_block", every(n_c))
+    c = cases.withColumn("c_block", even(n_c)).withColumn("q_block", every(n_q))
+    return q.groupBy("q_block", "c_block").cogroup(c.groupBy("q_block", "c_block"))
+
+
+def best_cases(queries: DataFrame, cases: DataFrame, key: str, numeric: Mapping[str, float], categorical: Sequence[str], weights: Mapping[str, float], first_stage: str, value: str, k: int = 5, query_block: int = 2048, case_block: int = 16384) -> DataFrame:
+    """query, case_id, sim, first_stage, value: a stated query set against all cases but the query itself.
+
+    Of each block of cases a query keeps its k best, and its k best of the first stage, before anything is
+    merged; so the k best of all and of the first stage are among the rows, and k cases over any threshold of
+    the first stage if there are so many."""
+
+    def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        ids, out = c[key].to_numpy(), []
+        first = np.flatnonzero(c[first_stage].fillna(False).to_numpy(bool))
+        for at in range(0, len(q) if len(c) else 0, 256):
+            part = q.iloc[at : at + 256]
+            sims = _similarities(part, c, key, numeric, categorical, weights)
+            rows, cols = _first_k(sims, ids, k)
+            rows_1, cols_1 = _first_k(sims[:, first], ids[first], k) if len(first) else (rows[:0], cols[:0])
+            r, col = np.unique(np.stack([np.append(rows, rows_1), np.append(cols, first[cols_1])]), axis=1)
+            found = c.iloc[col]
+            out.append(pd.DataFrame({"query": part[key].to_numpy()[r], "case_id": ids[col], "sim": sims[r, col], first_stage: found[first_stage].to_numpy(), value: found[value].to_numpy()}))
+        return pd.concat(out) if out else pd.DataFrame({"query": [], "case_id": [], "sim": [], first_stage: [], value: []})
+
+    kinds = {f.name: f.dataType.simpleString() for f in cases.schema}
+    schema = f"query {kinds[key]}, case_id {kinds[key]}, sim double, {first_stage} {kinds[first_stage]}, {value} {kinds[value]}"
+    return _in_blocks(queries, cases, key, query_block, case_block).applyInPandas(run, schema)
+
+
+def similar_counts(queries: DataFrame, cases: DataFrame, key: str, numeric: Mapping[str, float], categorical: Sequence[str], weights: Mapping[str, float], least: float, query_block: int = 2048, case_block: int = 16384) -> DataFrame:
+    """query, n, mean_sim: how many of all cases but the query itself reach `least`, and their mean similarity,
+    for queries that have any; counted by block before anything is merged."""
+
+    def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for at in range(0, len(q) if len(c) else 0, 256):
+            part = q.iloc[at : at + 256]
+            sims = _similarities(part, c, key, numeric, categorical, weights)
+            out.append(pd.DataFrame({"query": part[key].to_numpy(), "n": (sims >= least).sum(axis=1), "total": np.where(sims >= least, sims, 0.0).sum(axis=1)}))
+        return pd.concat(out) if out else pd.DataFrame({"query": [], "n": [], "total": []})
+
+    counts = _in_blocks(queries, cases, key, query_block, case_block).applyInPandas(run, f"query {cases.schema[key].dataType.simpleString()}, n long, total double")
+    return counts.groupBy("query").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).where("n > 0").select("query", "n", (F.col("total") / F.col("n")).alias("mean_sim"))
 
 
 def two_stage(scored: DataFrame, query: str, case: str, sim: str, first_stage: str, k: int = 5, threshold: float = 0.5, least: int = 3) -> DataFrame:

@@ -14,7 +14,7 @@ from siltstone.operators import retrieval as V
 from siltstone.operators import spatial as G
 from siltstone.plans.catalogue import register
 from siltstone.plans.q_core import r6
-from siltstone.plans.q_space import CASES_SQL, RANGES, WEIGHTS, _cases, _flows, _scored_cases, FLOW_SQL
+from siltstone.plans.q_space import CASES_SQL, SIMILARITY, _cases, _flows, FLOW_SQL
 
 J = I.JUNCTIONS_SQL
 
@@ -35,7 +35,8 @@ SELECT zone, CAST(sum(units) AS BIGINT) AS units, '[' || string_agg('{{"place":'
 
 def institutional_memory(spark, sf):
     """How many similar cases each query has, how alike they are, and an evidence weight by their score."""
-    good = _scored_cases(spark, sf).where("sim >= 0.5").groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.avg("sim").alias("mean_sim"))
+    c = _cases(spark, sf)
+    good = V.similar_counts(c.where("event_id % 20 = 0"), c, "event_id", *SIMILARITY, 0.5)
     score = F.log1p("n") * F.col("mean_sim")
     weight = X.cases([(score >= 1.5, 0.7), (score >= 0.8, 0.5), (score >= 0.3, 0.3)], 0.1)
     return good.select("query", "n", r6("mean_sim").alias("mean_sim"), r6(score).alias("memory_score"), weight.alias("evidence_weight"))
@@ -50,9 +51,8 @@ def simulate(cases, request: dict, crowd: float, officers: int):
     crowd and shortened by officers, beside the plain expectation. cases and request share their columns."""
     spark = cases.sparkSession
     query = spark.createDataFrame([tuple(request[c] for c in cases.columns)], cases.schema)
-    pairs = V.pairs_by_block(query, cases, "event_id", "corridor").withColumn("sim", F.round(1 - V.gower(RANGES, ["priority", "event_cause"], WEIGHTS), 9))
-    flat = pairs.select(F.col("q.event_id").alias("query"), F.col("c.event_id").alias("case_id"), "sim", F.col("c.planned").alias("planned"), F.col("c.duration").alias("duration"))
-    best = V.two_stage(flat, "query", "case_id", "sim", "planned")
+    found = V.best_cases(query, cases, "event_id", *SIMILARITY, "planned", "duration")
+    best = V.two_stage(found, "query", "case_id", "sim", "planned")
     out = V.predict(best, "query", "sim", "duration")
     factor = max(1.0, min(math.log(1 + crowd / 5000), 2.0))
     clearance = F.col("weighted_mean") * factor * (1 - 0.4 * (1 - math.exp(-0.08 * officers)))

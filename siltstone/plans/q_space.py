@@ -202,11 +202,12 @@ def _cases(spark, sf):
     return c.select(*CASE_COLUMNS)
 
 
-def _scored_cases(spark, sf):
+SIMILARITY = (RANGES, ["priority", "event_cause"], WEIGHTS)
+
+
+def _best_cases(spark, sf):
     c = _cases(spark, sf)
-    d = V.gower(RANGES, ["priority", "event_cause"], WEIGHTS)
-    pairs = V.pairs_by_block(c.where("event_id % 20 = 0"), c, "event_id", "corridor").withColumn("sim", F.round(1 - d, 9))
-    return pairs.select(F.col("q.event_id").alias("query"), F.col("c.event_id").alias("case_id"), "sim", F.col("c.planned").alias("planned"), F.col("c.duration").alias("duration"), F.col("q.duration").alias("actual"))
+    return V.best_cases(c.where("event_id % 20 = 0"), c, "event_id", *SIMILARITY, "planned", "duration")
 
 
 CASES_SQL = f"""{I.SHIPMENTS_SQL}, cases AS (SELECT event_id, price, CAST(month(start_ts) AS DOUBLE) AS month, priority, event_cause, corridor, duration, priority IN ('1-URGENT', '2-HIGH') AS planned FROM shipments WHERE NOT is_censored AND duration > 0),
@@ -215,7 +216,7 @@ scored AS (SELECT q.event_id AS query, c.event_id AS case_id, round(1 - (0.4::DO
 
 
 def gower_topk(spark, sf):
-    best = R.top_k_per(_scored_cases(spark, sf), ["query"], [F.desc("sim"), F.col("case_id")], 5)
+    best = R.top_k_per(_best_cases(spark, sf), ["query"], [F.desc("sim"), F.col("case_id")], 5)
     return best.select("query", "case_id", r6("sim").alias("sim"), "rank")
 
 
@@ -223,7 +224,7 @@ register("gower_topk", gower_topk, f"WITH {CASES_SQL}, k AS (SELECT *, row_numbe
 
 
 def two_stage_topk(spark, sf):
-    best = V.two_stage(_scored_cases(spark, sf), "query", "case_id", "sim", "planned", k=5, threshold=0.8)
+    best = V.two_stage(_best_cases(spark, sf), "query", "case_id", "sim", "planned", k=5, threshold=0.8)
     return best.select("query", "case_id", "stage", r6("sim").alias("sim"), "rank")
 
 
@@ -232,7 +233,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, case_id
 
 
 def kernel_confidence_abstain(spark, sf):
-    best = R.top_k_per(_scored_cases(spark, sf).where("sim > 0"), ["query"], [F.desc("sim"), F.col("case_id")], 5)
+    best = R.top_k_per(_best_cases(spark, sf).where("sim > 0"), ["query"], [F.desc("sim"), F.col("case_id")], 5)
     out = V.predict(best, "query", "sim", "duration", least_eff=3.0, least_confidence=0.9)
     return out.select("query", "n", *[r6(c).alias(c) for c in ("n_eff", "weighted_mean", "weighted_median", "confidence", "best")], "abstain")
 

@@ -2,11 +2,13 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import expressions as X
 from siltstone.operators import allocation, bayes, quality, relational, spatial, survival, temporal
+from siltstone.operators import retrieval as V
 from siltstone.sources import tables
 
 
@@ -158,3 +160,37 @@ def test_sinks_and_enrichment(spark, tmp_path):
     tables.write_parameters(spark, str(tmp_path / "p"), {"a": [1, 2], "b": "x"})
     assert tables.read_parameters(spark, str(tmp_path / "p")) == {"a": [1, 2], "b": "x"}
     assert tables.ensure_columns(rows, {"k": 0, "z": 1.5}).columns == ["k", "v", "z"]
+
+
+def test_similar_cases_are_sought_among_all(spark):
+    from siltstone.plans.q_space import CASE_COLUMNS, SIMILARITY
+
+    rnd = np.random.default_rng(5)
+    pick = lambda *values: values[rnd.integers(len(values))]
+    rows = [(i, float(rnd.integers(0, 40)) * 1e4, pick(1.0, 6.0, None), pick("1-URGENT", "3-MEDIUM", None), pick("A", "B"), pick("N1", "N2", "N3", None), float(i), bool(rnd.integers(2))) for i in range(1, 181)]
+    cases = spark.createDataFrame(rows, "event_id long, price double, month double, priority string, event_cause string, corridor string, duration double, planned boolean")
+    assert cases.columns == CASE_COLUMNS
+    queries = cases.where("event_id % 20 = 0")
+    sim = F.round(1 - V.gower(*SIMILARITY), 9).alias("sim")
+    pairs = queries.select(F.struct("*").alias("q")).crossJoin(cases.select(F.struct("*").alias("c"))).where("q.event_id <> c.event_id")
+    want = {}
+    for r in pairs.select(F.col("q.event_id").alias("q"), F.col("c.event_id").alias("c"), sim, F.col("c.planned").alias("p")).collect():
+        want.setdefault(r["q"], []).append((-r["sim"], r["c"], r["p"]))
+    found = V.best_cases(queries, cases, "event_id", *SIMILARITY, "planned", "duration", query_block=4, case_block=50).collect()
+    for q, scored in want.items():
+        got = sorted((-r["sim"], r["case_id"], r["planned"]) for r in found if r["query"] == q)
+        assert got[:5] == sorted(scored)[:5]
+        assert [x for x in got if x[2]][:5] == sorted(x for x in scored if x[2])[:5]
+    counts = {r["query"]: (r["n"], round(r["mean_sim"], 9)) for r in V.similar_counts(queries, cases, "event_id", *SIMILARITY, 0.7, query_block=4, case_block=50).collect()}
+    good = {q: [-s for s, _, _ in scored if -s >= 0.7] for q, scored in want.items()}
+    assert counts == {q: (len(s), round(sum(s) / len(s), 9)) for q, s in good.items() if s}
+    assert V.best_cases(queries, cases.limit(0), "event_id", *SIMILARITY, "planned", "duration").count() == 0
+
+
+def test_simulation_uses_cases_of_other_places(spark):
+    from siltstone.plans.q_serve import REQUEST, simulate
+
+    rows = [(i, 200000.0, 6.0, "1-URGENT", "BUILDING", None if i % 2 else "NATION_9", 4.0, True) for i in range(6)]
+    cases = spark.createDataFrame(rows, "event_id long, price double, month double, priority string, event_cause string, corridor string, duration double, planned boolean")
+    out = simulate(cases, REQUEST, 20_000, 12).collect()
+    assert [(r["n"], r["baseline"]) for r in out] == [(5, 4.0)]
