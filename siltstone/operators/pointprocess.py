@@ -7,14 +7,17 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.operators.temporal import HOUR
+from siltstone.sources.scratch import written
 
 #: A kernel below e^-KERNEL_END is left out: windows reach KERNEL_END / beta hours back.
 KERNEL_END = 30.0
+FIT = "key string, n long, mu double, alpha double, beta double, ll double"
 
 
 def kernel_sum(events: DataFrame, key: str, t: str, mark: Column, beta: float) -> DataFrame:
@@ -70,35 +73,85 @@ def excitation(source: DataFrame, receivers: DataFrame, edges: DataFrame, t: str
     return joined.groupBy("event_id").agg(F.coalesce(F.sum(F.when((gap >= 1) & (gap <= reach), F.col("mark") * F.exp(-beta * (gap - 1)))), F.lit(0.0)).alias("excitation"))
 
 
-def fit_hawkes(events: DataFrame, key: str, t: str, betas: Sequence[float] = tuple(np.logspace(-2, 1, 13)), most_events: int = 200_000) -> DataFrame:
-    """key, mu, alpha, beta, ll: the best of expectation-maximisation runs over a grid of decay rates.
+def _sorted_sums(betas: np.ndarray):
+    """Rows in order of time, one run of a key after the other, with A of each rate over the earlier rows of the
+    run in the same part; ties count in the order in which they come."""
 
-    A key is one zone; its events are read in order by one task, at most `most_events` of the latest ones.
-    """
+    def run(frames):
+        part, last_key, last_h, a = TaskContext.get().partitionId(), object(), 0.0, np.zeros(len(betas))
+        for frame in frames:
+            keys, h = frame["key"].tolist(), frame["h"].to_numpy()
+            sums = np.empty((len(h), len(betas)))
+            decay = np.exp(-np.maximum(np.diff(h, prepend=last_h), 0.0)[:, None] * betas)
+            for i, key in enumerate(keys):
+                # a key's first row here starts at 0; what came in earlier parts is added later
+                a = decay[i] * (a + 1) if key == last_key else np.zeros(len(betas))
+                sums[i], last_key = a, key
+            last_h = h[-1] if len(h) else last_h
+            yield pd.DataFrame({"part": part, "key": keys, "h": h, "sums": list(sums)})
+
+    return run
 
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        h = np.sort(frame["h"].to_numpy())
-        span, n = max(h[-1] - h[0], 1e-9), len(h)
-        best = (math.log(n / span) * n - n, n / span, 0.0, betas[0])
-        for beta in betas:
-            decay = np.exp(-beta * np.diff(h))
-            a = np.zeros(n)
-            for i in range(1, n):
-                a[i] = decay[i - 1] * (a[i - 1] + 1)
-            reach = (1 - np.exp(-beta * (h[-1] - h))).sum() / beta
-            mu, alpha = 0.5 * n / span, 0.5 * beta
-            for _ in range(100):
-                rate = mu + alpha * a
-                own, caused = mu / rate, alpha * a / rate
-                mu, alpha = own.sum() / span, caused.sum() / max(reach, 1e-12)
-            ll = np.log(mu + alpha * a).sum() - mu * span - alpha * reach
-            if ll > best[0]:
-                best = (ll, mu, alpha, beta)
-        return pd.DataFrame({"key": [str(frame["key"].iloc[0])], "n": [n], "mu": [best[1]], "alpha": [best[2]], "beta": [best[3]], "ll": [best[0]]})
 
-    rows = events.select(F.col(key).cast("string").alias("key"), (F.col(t) / F.lit(float(HOUR))).alias("h"))
-    latest = rows.withColumn("i", F.row_number().over(W.partitionBy("key").orderBy(F.desc("h")))).where(F.col("i") <= most_events).drop("i")
-    return latest.groupBy("key").applyInPandas(fit, "key string, n long, mu double, alpha double, beta double, ll double")
+def fit_hawkes(events: DataFrame, key: str, t: str, betas: Sequence[float] = tuple(np.logspace(-2, 1, 13)), rounds: int = 100) -> DataFrame:
+    """key, n, mu, alpha, beta, ll: the best of expectation-maximisation runs over a grid of decay rates.
+
+    Events are dealt by ranges of key and time, so a key may span any number of tasks; from one to the next only
+    the sums at its end are carried. A round is one aggregate over all rows for all rates; the driver holds a few
+    parameters for each key and rate and a few sums for each key and part.
+    """
+    spark, rates = events.sparkSession, np.array(betas, float)
+    rows = events.select(F.col(key).cast("string").alias("key"), (F.col(t) / F.lit(float(HOUR))).alias("h")).where("h is not null")
+    ranged = rows.repartitionByRange("key", "h").sortWithinPartitions("key", "h")
+    local = written(ranged.mapInPandas(_sorted_sums(rates), "part int, key string, h double, sums array<double>"), "hawkes_local")
+
+    # the sums right after a part's last event of a key, carried on to the key's later parts
+    ends = local.groupBy("key", "part").agg(F.min("h").alias("start"), F.max("h").alias("stop"), F.count(F.lit(1)).alias("n"), *[F.max_by(F.col("sums")[b], F.struct("h", F.col("sums")[b])).alias(f"s{b}") for b in range(len(rates))])
+    carried, spans, before = [], {}, {}
+    for r in sorted(ends.collect(), key=lambda r: (r["key"] is not None, r["key"] or "", r["start"], r["part"])):
+        k = r["key"]
+        at, total = before.get(k, (r["start"], np.zeros(len(rates))))
+        into = total * np.exp(-rates * (r["start"] - at))
+        carried.append((k, r["part"], r["start"], [float(x) for x in into]))
+        end = np.array([r[f"s{b}"] for b in range(len(rates))]) + 1 + into * np.exp(-rates * (r["stop"] - r["start"]))
+        before[k] = (r["stop"], end)
+        lo, hi, n = spans.get(k, (r["start"], r["stop"], 0))
+        spans[k] = (lo, max(hi, r["stop"]), n + r["n"])
+    if not spans:
+        return spark.createDataFrame([], FIT)
+    carry = F.broadcast(spark.createDataFrame(carried, "key string, part int, start double, carried array<double>").withColumnRenamed("key", "k").withColumnRenamed("part", "p"))
+    whole = local.join(carry, F.col("key").eqNullSafe(F.col("k")) & (F.col("part") == F.col("p")))
+    a = F.array(*[F.col("sums")[b] + F.col("carried")[b] * F.exp(-float(rate) * (F.col("h") - F.col("start"))) for b, rate in enumerate(rates)])
+    whole = written(whole.select("key", "h", a.alias("a")), "hawkes_sums")
+
+    def totals(extra: dict, expressions) -> dict:
+        """By key, sums over its rows of expressions of what extra has for the key."""
+        given = spark.createDataFrame([(k, *map(lambda v: [float(x) for x in v], vs)) for k, vs in extra.items()], "k string, x array<double>, y array<double>")
+        joined = whole.join(F.broadcast(given), F.col("key").eqNullSafe(F.col("k")))
+        named = [e.alias(f"e{i}") for i, e in enumerate(expressions)]
+        return {r["key"]: np.array(r[1:], float) for r in joined.groupBy("key").agg(*named).collect()}
+
+    size = range(len(rates))
+    stops = {k: ([hi], [0.0]) for k, (_, hi, _) in spans.items()}
+    grown = totals(stops, [F.sum(1 - F.exp(-float(rate) * (F.col("x")[0] - F.col("h")))) for rate in rates])
+    span = {k: max(hi - lo, 1e-9) for k, (lo, hi, _) in spans.items()}
+    reach = {k: g / rates for k, g in grown.items()}
+    now = {k: (np.full(len(rates), 0.5 * n / span[k]), 0.5 * rates) for k, (_, _, n) in spans.items()}
+    rate = [F.col("x")[b] + F.col("y")[b] * F.col("a")[b] for b in size]
+    steps = [F.sum(F.col("x")[b] / rate[b]) for b in size] + [F.sum(F.col("y")[b] * F.col("a")[b] / rate[b]) for b in size]
+    for _ in range(rounds):
+        now = {k: (s[: len(rates)] / span[k], s[len(rates) :] / np.maximum(reach[k], 1e-12)) for k, s in totals(now, steps).items()}
+    logs = totals(now, [F.sum(F.log(rate[b])) for b in size])
+
+    out = []
+    for k, (_, _, n) in spans.items():
+        mu, alpha = now[k]
+        best = (math.log(n / span[k]) * n - n, n / span[k], 0.0, rates[0])
+        for b, ll in enumerate(logs[k] - mu * span[k] - alpha * reach[k]):
+            if ll > best[0]:
+                best = (ll, mu[b], alpha[b], rates[b])
+        out.append((k, int(n), *[float(x) for x in (best[1], best[2], best[3], best[0])]))
+    return spark.createDataFrame(out, FIT)
 
 
 def rescaling_test(kernel: DataFrame, key: str, mu: float, alpha: float, beta: float) -> DataFrame:
