@@ -105,7 +105,7 @@ def _closed(column: str, size_us: int) -> str:
 
 
 def stream_tumbling(spark, sf):
-    out = S.run_to_table(S.tumbling(S.events_stream(spark, sf)), "tumbling")
+    out = S.run_to_table(S.tumbling(S.events_in_order(spark, sf)), "tumbling")
     return out.select("start_us", "event_type", "n", r6("mean").alias("mean"))
 
 
@@ -114,7 +114,7 @@ WITH w AS (SELECT epoch_us(date_trunc('week', ts)) AS start_us, event_type, coun
 
 
 def stream_sliding(spark, sf):
-    return S.run_to_table(S.sliding(S.events_stream(spark, sf)), "sliding")
+    return S.run_to_table(S.sliding(S.events_in_order(spark, sf)), "sliding")
 
 
 register("stream_sliding", stream_sliding, f"""
@@ -122,7 +122,7 @@ WITH w AS (SELECT (epoch_us(ts) // 3600000000 - s) * 3600000000 AS start_us, use
 
 
 def stream_sessions(spark, sf):
-    return S.run_to_table(S.sessions(S.events_stream(spark, sf)), "sessions")
+    return S.run_to_table(S.sessions(S.events_in_order(spark, sf)), "sessions")
 
 
 register("stream_sessions", stream_sessions, """
@@ -132,7 +132,7 @@ SELECT min(t) AS start_us, user_id, count(*) AS n FROM s GROUP BY user_id, sessi
 
 
 def stream_running_posterior(spark, sf):
-    out = S.run_to_table(S.running_posterior(S.events_stream(spark, sf)), "posterior", "update")
+    out = S.run_to_table(S.running_posterior(S.events_in_order(spark, sf)), "posterior", "update")
     last = out.groupBy("event_type").agg(F.max_by(F.struct("n", "mean", "variance", "ewma", "alerts"), "batch").alias("s"))
     return last.select("event_type", "s.n", r6("s.mean").alias("mean"), r6("s.variance").alias("variance"), r6("s.ewma").alias("ewma"), "s.alerts")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 import pandas as pd
@@ -21,6 +22,26 @@ def events_stream(spark: SparkSession, folder: str, name: str = "events", files:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(pattern).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def events_in_order(spark: SparkSession, folder: str, name: str = "events", rows: int = 1_000_000) -> DataFrame:
+    """The events table as a stream of batches of about `rows` rows, each later in ts than the ones before, so that
+    no row is late, however the table's files lie. The ranges are written once; a stream takes the older files first."""
+    table = spark.read.parquet(f"{folder}/{name}.parquet")
+    ranges = max(1, -(-table.count() // rows))
+    base = f"{scratch_dir(spark)}/siltstone/ordered-{uuid.uuid4().hex}"
+    table.repartitionByRange(ranges, "ts").sortWithinPartitions("ts").write.parquet(f"{base}/{name}.parquet")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}.parquet")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = [f for f in fs.listStatus(path) if f.getPath().getName().startswith("part-")]
+    files.sort(key=lambda f: int(f.getPath().getName().split("-")[1]))  # a range's number
+    last = max(f.getModificationTime() for f in files)
+    for i, f in enumerate(files):
+        fs.setTimes(f.getPath(), last - 1000 * (len(files) - 1 - i), -1)
+    found = sorted((f for f in fs.listStatus(path) if f.getPath().getName().startswith("part-")), key=lambda f: f.getModificationTime())
+    if [f.getPath().getName() for f in found] != [f.getPath().getName() for f in files]:
+        raise RuntimeError(f"{base}: the store does not keep times of files, by which batches are ordered")
+    return events_stream(spark, base, name)
+
+
 def tumbling(events: DataFrame, every: str = "7 days", start: str = "4 days", late: str = "1 day") -> DataFrame:
     """Counts and means by cause and Monday-aligned window."""
     w = F.window("ts", every, every, start)
@@ -72,8 +93,6 @@ def running_posterior(events: DataFrame, rate: float = 0.2, delta: float = 0.02,
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now and return its rows: as written for append, of each batch for update."""
-    import uuid
-
     spark = stream.sparkSession
     base = f"{scratch_dir(spark)}/siltstone/stream-{name}-{uuid.uuid4().hex}"
     if mode == "append":
