@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,29 +51,59 @@ def brute_bm25(rows, queries, k, k1=1.2, b=0.75):
     return out
 
 
-@pytest.mark.parametrize("k", [1, 7])
-def test_bm25(docs, rows, empty, k):
+@pytest.mark.parametrize("k, shard_docs, block_terms", [(1, 20, 900), (7, 3, 400), (7, 8192, 1_500_000)])
+def test_bm25(docs, rows, empty, k, shard_docs, block_terms):
     asked = [(i, t) for i, t, _ in {r[0]: r for r in rows}.values() if i is not None and i % 3 == 0]
     queries = docs.where("doc_id % 3 = 0").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("query_id"), "text")
-    got = bm25.bm25_topk(docs, queries, k=k, shard_docs=20, block_queries=9)
+    got = bm25.bm25_topk(docs, queries, k=k, shard_docs=shard_docs, block_terms=block_terms)
     want = brute_bm25(rows, asked, k)
     assert Counter((r["query_id"], r["rank"], r["doc_id"], round(r["score"] * 1e8)) for r in got.collect()) == want
-    assert bm25.bm25_topk(empty, queries).count() == 0
-    assert bm25.bm25_topk(docs, queries.limit(0)).count() == 0
 
 
-def test_block_bounds_prune_without_loss():
+def test_bm25_of_empty_tables_and_named_ids(spark, docs, rows, empty):
+    queries = docs.where("doc_id in (3, 6)").dropDuplicates(["doc_id"]).select(F.concat(F.lit("q"), "doc_id").alias("name"), F.col("text").alias("words"))
+    assert bm25.bm25_topk(empty, queries, query_id_col="name", query_col="words").count() == 0
+    assert bm25.bm25_topk(docs, queries.limit(0), query_id_col="name", query_col="words").count() == 0
+    named = docs.where("doc_id is not null").withColumn("doc_id", F.format_string("d%05d", "doc_id"))
+    got = bm25.bm25_topk(named, queries, query_id_col="name", query_col="words", shard_docs=9)
+    want = brute_bm25([(f"d{i:05d}", t, s) for i, t, s in rows if i is not None], [(f"q{i}", t) for i, t, _ in rows[:7] if i in (3, 6)], 10)
+    assert Counter((r["query_id"], r["rank"], r["doc_id"], round(r["score"] * 1e8)) for r in got.collect()) == want
+
+
+def test_block_bounds_prune_without_loss(monkeypatch):
     rnd = np.random.default_rng(3)
     texts = [" ".join(f"w{int(x)}" for x in rnd.zipf(1.3, rnd.integers(1, 80)) if x < 500) for _ in range(700)]
-    ids = np.arange(700)
-    index = bm25.Index(texts, 40.0, 1.2, 0.75, block=8)
-    whole = bm25.Index(texts, 40.0, 1.2, 0.75, block=1024)
-    for q in range(0, 700, 31):
-        terms = index.terms[rnd.integers(0, len(index.terms), 12)]
-        terms = np.unique(terms)
-        weights = rnd.integers(1, 50_000, len(terms)).astype(float)
-        a, b = index.search(terms, weights, 5, ids), whole.search(terms, weights, 5, ids)
-        assert sorted(zip(-a[1], a[0])) == sorted(zip(-b[1], b[0]))
+
+    class Context:
+        @staticmethod
+        def get():
+            return Context
+
+        @staticmethod
+        def partitionId():
+            return 3
+
+    monkeypatch.setattr(bm25, "TaskContext", Context)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(700)), pa.array(texts)], names=["doc_id", "text"])
+    (made,) = bm25._indexer(10_000, 1 << 30)(iter([batch]))
+    row = {c: made.column(c)[0].as_py() for c in ("n", "lengths", "posting_doc", "posting_tf")} | {c: made.column(c)[0].values.to_numpy() for c in ("terms", "docs")}
+    ids = made.column("ids")[0].values.to_numpy()
+    terms = row["terms"]
+    asked = [np.sort(rnd.choice(terms, 12, replace=False)) for _ in range(40)]
+    weights = dict(zip(terms.tolist(), rnd.integers(1, 50_000, len(terms)).tolist()))
+    queries = bm25.Queries(pa.table({"query_id": range(40), "terms": [a.tolist() for a in asked], "rarity": pa.array([[weights[int(x)] for x in a] for a in asked], pa.list_(pa.int32()))}))
+
+    def found(common, block, cells):
+        monkeypatch.setattr(bm25, "COMMON", common)
+        monkeypatch.setattr(bm25, "BLOCK_DOCS", block)
+        monkeypatch.setattr(bm25, "TILE_CELLS", cells)
+        hit, doc, points = bm25.Shard(row, 40.0, 1.2, 0.75).search(queries, 5, ids)
+        return sorted(zip(queries.ids.to_numpy()[hit].tolist(), (-points).tolist(), ids[doc].tolist()))
+
+    whole = found(2.0, 1024, 1 << 30)
+    assert len(whole) == 200
+    for common, block, cells in ((0.1, 8, 2000), (0.02, 1, 700), (0.5, 64, 10)):
+        assert found(common, block, cells) == whole
 
 
 # --- 3
