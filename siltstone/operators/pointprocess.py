@@ -93,11 +93,13 @@ def _sorted_sums(betas: np.ndarray):
     return run
 
 
-def fit_hawkes(events: DataFrame, key: str, t: str, betas: Sequence[float] = tuple(np.logspace(-2, 1, 13)), rounds: int = 100) -> DataFrame:
-    """key, n, mu, alpha, beta, ll: the best of expectation-maximisation runs over a grid of decay rates.
+def fit_hawkes(events: DataFrame, key: str, t: str, betas: Sequence[float] = tuple(np.logspace(-2, 1, 13)), rounds: int = 60) -> DataFrame:
+    """key, n, mu, alpha, beta, ll: the best fit over a grid of decay rates.
 
-    Events are dealt by ranges of key and time, so a key may span any number of tasks; from one to the next only
-    the sums at its end are carried. A round is one aggregate over all rows for all rates; the driver holds a few
+    At the top for a given rate mu * span + alpha * sum of the kernels' reach is n, which leaves a concave function of
+    alpha: Newton steps within a bracket find its top in a few rounds. Events are dealt by ranges of key and time, so a
+    key may span any number of tasks; from one to the next only the sums at its end are carried. A round is one
+    aggregate over all rows for all rates, and rounds end when no fit gains any more; the driver holds a few
     parameters for each key and rate and a few sums for each key and part.
     """
     spark, rates = events.sparkSession, np.array(betas, float)
@@ -122,35 +124,49 @@ def fit_hawkes(events: DataFrame, key: str, t: str, betas: Sequence[float] = tup
     carry = F.broadcast(spark.createDataFrame(carried, "key string, part int, start double, carried array<double>").withColumnRenamed("key", "k").withColumnRenamed("part", "p"))
     whole = local.join(carry, F.col("key").eqNullSafe(F.col("k")) & (F.col("part") == F.col("p")))
     a = F.array(*[F.col("sums")[b] + F.col("carried")[b] * F.exp(-float(rate) * (F.col("h") - F.col("start"))) for b, rate in enumerate(rates)])
-    whole = written(whole.select("key", "h", a.alias("a")), "hawkes_sums")
-
-    def totals(extra: dict, expressions) -> dict:
-        """By key, sums over its rows of expressions of what extra has for the key."""
-        given = spark.createDataFrame([(k, *map(lambda v: [float(x) for x in v], vs)) for k, vs in extra.items()], "k string, x array<double>, y array<double>")
-        joined = whole.join(F.broadcast(given), F.col("key").eqNullSafe(F.col("k")))
-        named = [e.alias(f"e{i}") for i, e in enumerate(expressions)]
-        return {r["key"]: np.array(r[1:], float) for r in joined.groupBy("key").agg(*named).collect()}
-
-    size = range(len(rates))
-    stops = {k: ([hi], [0.0]) for k, (_, hi, _) in spans.items()}
-    grown = totals(stops, [F.sum(1 - F.exp(-float(rate) * (F.col("x")[0] - F.col("h")))) for rate in rates])
+    whole = written(whole.select("key", "h", F.posexplode(a).alias("b", "a")), "hawkes_sums")
+
+    def totals(x: dict, y: dict, *expressions: Column) -> dict:
+        """By key, sums over its rows of expressions of what x and y have for the key and rate: one row a sum."""
+        given = spark.createDataFrame([(k, b, float(x[k][b]), float(y[k][b])) for k in x for b in range(len(rates))], "k string, rate int, x double, y double")
+        joined = whole.join(F.broadcast(given), F.col("key").eqNullSafe(F.col("k")) & (F.col("b") == F.col("rate")))
+        found = {k: np.zeros((len(expressions), len(rates))) for k in x}
+        for r in joined.groupBy("key", "b").agg(*[F.sum(e) for e in expressions]).collect():
+            found[r[0]][:, r[1]] = r[2:]
+        return found
+
+    every = {k: np.full(len(rates), hi) for k, (_, hi, _) in spans.items()}
     span = {k: max(hi - lo, 1e-9) for k, (lo, hi, _) in spans.items()}
-    reach = {k: g / rates for k, g in grown.items()}
-    now = {k: (np.full(len(rates), 0.5 * n / span[k]), 0.5 * rates) for k, (_, _, n) in spans.items()}
-    rate = [F.col("x")[b] + F.col("y")[b] * F.col("a")[b] for b in size]
-    steps = [F.sum(F.col("x")[b] / rate[b]) for b in size] + [F.sum(F.col("y")[b] * F.col("a")[b] / rate[b]) for b in size]
+    reach = {k: g[0] / rates for k, g in totals(every, {k: rates for k in spans}, 1 - F.exp(-F.col("y") * (F.col("x") - F.col("h")))).items()}
+    count = {k: n for k, (_, _, n) in spans.items()}
+    rate = F.col("x") + F.col("y") * F.col("a")
+    # how fast the rate of an event grows with alpha, as mu falls with it
+    grows = {k: reach[k] / span[k] for k in spans}
+    alpha, low, high = {k: np.zeros(len(rates)) for k in spans}, {k: np.zeros(len(rates)) for k in spans}, {k: count[k] / np.maximum(reach[k], 1e-12) for k in spans}
+    top, going = {}, dict.fromkeys(spans)
     for _ in range(rounds):
-        now = {k: (s[: len(rates)] / span[k], s[len(rates) :] / np.maximum(reach[k], 1e-12)) for k, s in totals(now, steps).items()}
-    logs = totals(now, [F.sum(F.log(rate[b])) for b in size])
+        mu = {k: (count[k] - alpha[k] * reach[k]) / span[k] for k in going}
+        sums = totals(mu, {k: alpha[k] for k in going}, F.log(rate), F.col("a") / rate, 1 / rate, (F.col("a") / rate) ** 2, F.col("a") / rate / rate, 1 / rate / rate)
+        for k, (log, a, one, aa, a1, one2) in sums.items():
+            g, x = grows[k], alpha[k]
+            slope, bend = a - g * one, np.maximum(aa - 2 * g * a1 + g * g * one2, 1e-300)
+            top[k] = log - count[k], mu[k], x.copy()
+            low[k], high[k] = np.where(slope > 0, x, low[k]), np.where(slope > 0, high[k], x)
+            step = x + slope / bend
+            done = (slope * slope / bend < 1e-9) | (high[k] - low[k] <= 1e-9 * high[k]) | ((x == 0) & (slope <= 0))
+            alpha[k] = np.where(done, x, np.where((step > low[k]) & (step < high[k]), step, (low[k] + high[k]) / 2))
+            if done.all():
+                del going[k]
+        if not going:
+            break
 
     out = []
-    for k, (_, _, n) in spans.items():
-        mu, alpha = now[k]
-        best = (math.log(n / span[k]) * n - n, n / span[k], 0.0, rates[0])
-        for b, ll in enumerate(logs[k] - mu * span[k] - alpha * reach[k]):
-            if ll > best[0]:
-                best = (ll, mu[b], alpha[b], rates[b])
-        out.append((k, int(n), *[float(x) for x in (best[1], best[2], best[3], best[0])]))
+    for k, n in count.items():
+        found = (math.log(n / span[k]) * n - n, n / span[k], 0.0, rates[0])
+        for ll, m, al, beta in zip(*top[k], rates, strict=True):
+            if ll > found[0]:
+                found = (ll, m, al, beta)
+        out.append((k, int(n), *[float(x) for x in (found[1], found[2], found[3], found[0])]))
     return spark.createDataFrame(out, FIT)
 
 

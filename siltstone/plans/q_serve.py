@@ -67,7 +67,7 @@ def simulate_event(spark, sf):
 
 
 register("simulate_event", simulate_event, f"""WITH {CASES_SQL.split("scored AS")[0].rstrip().rstrip(",")},
-x AS (SELECT event_id, planned, duration, round(1 - (0.4::DOUBLE * least(1.0, abs(200000.0 - price) / 500000.0::DOUBLE) + 0.2::DOUBLE * least(1.0, abs(6.0 - month) / 11.0::DOUBLE) + 0.25::DOUBLE * CAST(priority <> '1-URGENT' AS INTEGER) + 0.15::DOUBLE * CAST(event_cause <> 'BUILDING' AS INTEGER)), 9) AS sim FROM cases WHERE corridor = 'NATION_3'),
+x AS (SELECT event_id, planned, duration, round(1 - (0.4::DOUBLE * least(1.0, abs(200000.0 - price) / 500000.0::DOUBLE) + 0.2::DOUBLE * least(1.0, abs(6.0 - month) / 11.0::DOUBLE) + 0.25::DOUBLE * CAST(priority <> '1-URGENT' AS INTEGER) + 0.15::DOUBLE * CAST(event_cause <> 'BUILDING' AS INTEGER)), 9) AS sim FROM cases),
 g AS (SELECT *, sum(CASE WHEN planned AND sim >= 0.5 THEN 1 ELSE 0 END) OVER () >= 3 AS first_stage FROM x), k AS (SELECT * FROM g WHERE planned OR NOT first_stage ORDER BY sim DESC, event_id LIMIT 5),
 p AS (SELECT count(*) AS n, sum(sim * duration) / sum(sim) AS m, least(1.0, count(*) / 3.0::DOUBLE) * avg(sim) AS c FROM k)
 SELECT n, round(m, 6) AS baseline, round(m * greatest(1.0, least(ln(1 + 20000 / 5000.0::DOUBLE), 2.0)) * (1 - 0.4 * (1 - exp(-0.08 * 12))), 6) AS clearance, round(m * greatest(1.0, least(ln(1 + 20000 / 5000.0::DOUBLE), 2.0)) * (1 - 0.4 * (1 - exp(-0.08 * 12))) - m, 6) AS change, round(c, 6) AS confidence FROM p""")

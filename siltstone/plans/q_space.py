@@ -212,7 +212,7 @@ def _best_cases(spark, sf):
 
 CASES_SQL = f"""{I.SHIPMENTS_SQL}, cases AS (SELECT event_id, price, CAST(month(start_ts) AS DOUBLE) AS month, priority, event_cause, corridor, duration, priority IN ('1-URGENT', '2-HIGH') AS planned FROM shipments WHERE NOT is_censored AND duration > 0),
 scored AS (SELECT q.event_id AS query, c.event_id AS case_id, round(1 - (0.4::DOUBLE * least(1.0, abs(q.price - c.price) / 500000.0::DOUBLE) + 0.2::DOUBLE * least(1.0, abs(q.month - c.month) / 11.0::DOUBLE) + 0.25::DOUBLE * CAST(q.priority <> c.priority AS INTEGER) + 0.15::DOUBLE * CAST(q.event_cause <> c.event_cause AS INTEGER)), 9) AS sim,
-  c.planned, c.duration, q.duration AS actual FROM cases q JOIN cases c ON q.corridor = c.corridor AND q.event_id <> c.event_id WHERE q.event_id % 20 = 0)"""
+  c.planned, c.duration, q.duration AS actual FROM cases q JOIN cases c ON q.event_id <> c.event_id WHERE q.event_id % 20 = 0)"""
 
 
 def gower_topk(spark, sf):
