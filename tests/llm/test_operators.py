@@ -266,6 +266,41 @@ def test_pii_adds_what_the_labelers_agree_on(spark):
     assert all("phone:11:23" in got[i] for i in range(200)) and not any(got[1000 + i] for i in range(100))
 
 
+def test_pii_finds_planted_spans_beyond_the_base(spark):
+    """Recall and precision of added spans on planted ones: spelled addresses, grouped numbers, secrets, and decoys."""
+    rnd = np.random.default_rng(11)
+    letters = "abcdef0123456789"
+
+    def hexes(n):
+        return "".join(rnd.choice(list(letters), n - 2)) + "a7"
+
+    rows, want, decoys = [], {}, set()
+    for i in range(600):
+        words = [" ".join(rnd.choice("the river stone of green cloud and paper seven".split(), 6)) for _ in range(4)]
+        spelled, grouped, secret = f"u{i}.x [at] mail{i % 7} [dot] org", f"974-555-{i:04d}", hexes(40)
+        given = {0: ("mail ", spelled, "email", ""), 1: ("call ", grouped, "phone", ""), 2: ('token = "', secret, "secret", '"'), 3: ("", "", "", "")}[i % 4]
+        text = f"{words[0]} {given[0]}{given[1]}{given[3]} {words[1]}"
+        at = len(words[0]) + 1 + len(given[0])
+        if given[1]:
+            want[i] = f"{given[2]}:{at}:{at + len(given[1])}"
+        else:
+            text += f" part-of-speech-tagger-{i:02d}x-with/paths/in_it/{i}a order x{i:03d}-{i:03d}-{i:04d}y " + words[2]
+            decoys.add(i)
+        if i % 3 == 0:
+            text += f" u{i}@mail.example.com and 84.26.86.{i % 200} " + words[3]
+        rows.append((i, text))
+    got = {r["doc_id"]: r for r in pii.digest(pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert sum(w in got[i]["spans"].split(",") for i, w in want.items()) >= 0.95 * len(want)
+    assert sum(got[i]["n_spans"] > 2 * (i % 3 == 0) for i in decoys) <= 0.05 * len(decoys)
+
+
+def test_many_matches_in_one_text_are_placed(spark):
+    text = "😀 mail a.b@c.example.org now " * 20_000
+    spans = spark.createDataFrame([(text,), ("",), ("x",)], "text string").select(pii.located(F.col("text"), pii.EMAIL).alias("s")).collect()
+    assert [(s["start"], s["end"]) for s in spans[0]["s"]] == [m.span() for m in re.finditer(r"[a-z.]+@[a-z.]+", text)]
+    assert spans[1]["s"] == [] and spans[2]["s"] == []
+
+
 # --- 8
 def brute_urls(urls, rules):
     out = Counter()
