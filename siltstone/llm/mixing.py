@@ -16,6 +16,8 @@ from .common import WORD, materialize, text_of
 
 #: Rows of a source that share a bucket, about; and the least number of buckets.
 BUCKET_ROWS, LEAST_BUCKETS = 50_000, 256
+#: Equal rows that one task writes out at once, at most.
+EQUAL_ROWS = 100_000
 
 
 def _targets(sources: DataFrame, weights: tuple[int, ...], share: float, cap: float) -> DataFrame:
@@ -47,13 +49,15 @@ def take(size: Column, prefix: Column, budget: Column, total: Column) -> Column:
     return epochs * size + F.greatest(F.lit(0), F.least(size, rest - (prefix - size)))
 
 
-def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", bucket_rows: int = BUCKET_ROWS, equal_rows: int = EQUAL_ROWS) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of docs.
 
     Sources by code point, null last, take the weights in turn. The sum of a source's taken words is its target
     rounded down; the document at the cut is taken in part, and no document more than cap times. Null and empty
-    texts have size 0 and are taken 0 times. Equal keys (repeated ids) are ordered by size; repeated rows are
-    rows of their own. The order depends on doc_id and seed alone, so reruns agree.
+    texts have size 0 and are taken 0 times. Equal keys (repeated or null ids) are ordered by size; rows of one
+    source, id and size cannot be told apart, so they are counted before they are sorted, whatever their number, and
+    written out again afterwards. The order depends on doc_id, size and seed alone, so reruns agree. Very long texts
+    count whole; empty tables give empty results; other columns are not read.
     """
     columns = {
         "doc_id": F.col(id_col),
@@ -70,7 +74,15 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share:
     targets = _targets(totals.groupBy(source).agg(F.sum("bucket_size").alias("source_size")), weights, share, cap)
     earlier = totals.withColumn("earlier", F.sum("bucket_size").over(W.partitionBy(source).orderBy("bucket")) - F.col("bucket_size")).drop("bucket_size")
     plan = earlier.join(targets, source)
+    equal = rows.groupBy(*bucket, "key", "doc_id", "size").agg(F.count(F.lit(1)).alias("n"))
     within = W.partitionBy(bucket).orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    placed = rows.withColumn("prefix", F.sum("size").over(within)).join(plan, bucket)
-    budget = F.floor("target")
-    return placed.select("doc_id", "size", "source_size", "target", take(F.col("size"), F.col("prefix") + F.col("earlier"), budget, F.col("source_size")).cast("long").alias("taken"))
+    size, n = F.col("size"), F.col("n")
+    placed = equal.withColumn("before", F.sum(size * n).over(within) - size * n).join(plan, bucket)
+    placed = placed.select("doc_id", "size", "source_size", "target", (F.col("before") + F.col("earlier")).alias("before"), "n")
+    every = lambda last: F.explode(F.sequence(F.lit(0), last))
+    few, many = placed.where(n <= equal_rows), placed.where(n > equal_rows)
+    parts = many.withColumn("part", every(F.floor((n - 1) / equal_rows))).repartition("doc_id", "size", "part")
+    parts = parts.select("doc_id", "size", "source_size", "target", (F.col("before") + F.col("part") * equal_rows * size).alias("before"), F.least(F.lit(equal_rows).cast("long"), n - F.col("part") * equal_rows).alias("n"))
+    single = few.unionByName(parts).withColumn("i", every(n - 1))
+    prefix = F.col("before") + (F.col("i") + 1) * size
+    return single.select("doc_id", "size", "source_size", "target", take(size, prefix, F.floor("target"), F.col("source_size")).cast("long").alias("taken"))
