@@ -92,10 +92,11 @@ def _dictionary(texts: list[str], size: int, chunk: int, level: int) -> bytes:
 def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES, dict_bytes: int = DICT_BYTES, chunk: int = CHUNK, level: int = LEVEL) -> QualityModel:
     """Fit on labelled rows outside the held-out fold (crc32 of the id as text, modulo folds, is 0).
 
-    The rows are those with the smallest md5 of the id, so a rerun picks the same ones. Null labels and ids,
-    labels without a document and null texts are left out. Without both classes the model is constant.
+    The rows are those with the smallest md5 of the id, so a rerun picks the same ones; of an id's labels that differ
+    the smaller counts, of its texts the first. Null labels and ids, labels without a document, null texts and texts
+    over fit_bytes are left out. Without both classes the model is constant.
     """
-    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (fold(F.col("doc_id"), folds) != 0)).dropDuplicates(["doc_id"])
+    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (fold(F.col("doc_id"), folds) != 0)).groupBy("doc_id").agg(F.min("label").alias("label"))
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     key = F.md5(F.concat(F.lit("fit:"), F.col("doc_id").cast("string")))
     chosen = None
@@ -103,7 +104,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
         part = known.where(F.col("label") == label).withColumn("key", key).orderBy("key").limit(fit_rows)
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & (F.octet_length("text") <= fit_bytes))
-    rows = sorted(tuple(r) for r in texts.join(F.broadcast(chosen), "doc_id").select("key", "label", "text").limit(2 * fit_rows).collect())
+    rows = sorted(tuple(r) for r in texts.join(F.broadcast(chosen), "doc_id").groupBy("key", "label").agg(F.min("text")).collect())
     split: dict[tuple[int, int], list[str]] = {(label, half): [] for label in (0, 1) for half in (0, 1)}
     seen = [0, 0]
     for _, label, text in rows:
