@@ -3,7 +3,7 @@
 A Misra-Gries summary (Spark's approx_top_k keeps one per task and merges them) names the digests that may be
 frequent. Their winners are computed exactly with map-side partial aggregation, and the few rows of winners
 are broadcast, so that frequent groups are settled where their rows are. All other digests are shuffled; by
-the summary's guarantee none of those groups is large.
+the summary's guarantee none of those groups holds more than about 1 / HEAVY of all rows.
 """
 
 from __future__ import annotations
@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, materialize, text_of
 
-#: Counters of the summary, and the most digests taken from it. A digest that holds more than about
-#: 1 / COUNTERS of all rows is always in the summary; the broadcast never exceeds HEAVY rows.
-COUNTERS, HEAVY = 4096, 256
+#: Counters of the summary, and the most digests taken from it. The summary's error is 1 / HEAVY of all rows, so a
+#: digest that holds more is always taken; the broadcast never exceeds HEAVY rows of about 100 bytes.
+COUNTERS, HEAVY = 16_384, 12_288
 
 
 def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS, heavy: int = HEAVY) -> DataFrame:
@@ -24,8 +24,8 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Texts are equal when they are identical after white space is deleted; null counts as empty, so null, empty
     and blank texts are one group. The row with the most code points in the original text stays, then the one
-    with the smallest doc_id (null last). Of repeated rows with the same id exactly one is kept. Empty tables
-    give empty results; other columns are not read.
+    with the smallest doc_id (null last). Of repeated rows with the same id exactly one is kept. Very long
+    texts are hashed whole. Empty tables give empty results; other columns are not read.
     """
     text = text_of(text_col)
     rows = materialize(
