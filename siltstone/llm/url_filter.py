@@ -1,6 +1,6 @@
 """URL filters: a Bloom filter cascade decides membership in a list exactly, without joining the corpus.
 
-The universe is every key the corpus's URLs can match (host suffixes with path prefixes). Level 0 encodes the
+The universe is every key by which the corpus's URLs can match the list (host suffixes with path prefixes). Level 0 encodes the
 listed keys; level 1 encodes the keys of the universe that level 0 takes wrongly; level 2 the listed keys that
 level 1 takes wrongly; and so on until no error is left. A key of the universe is listed exactly if the first
 level that refuses it has an odd number, or, where no level refuses it, if the number of levels is odd. The
@@ -23,7 +23,8 @@ from .common import materialize
 
 #: A broadcast filter may have so many bits at most (128 MB); a longer list needs more executors' memory, so it is refused.
 MOST_BITS = 1 << 30
-WORD_BITS = 32
+#: Bits of a word, and words of a filter that come to the driver in one row.
+WORD_BITS, CHUNK_WORDS = 32, 1024
 
 
 @dataclass
@@ -88,9 +89,17 @@ def _bits_of(keys: DataFrame, level: int, bits: int, hashes: int) -> np.ndarray:
             value = np.bitwise_or.reduceat(np.int64(1) << (place & 31), start) if len(place) else place
             yield pa.RecordBatch.from_arrays([pa.array(word, pa.int64()), pa.array(value, pa.int64())], names=["word", "value"])
 
-    words = np.zeros(-(-bits // WORD_BITS), np.uint32)
-    for row in keys.mapInArrow(positions, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toLocalIterator():
-        words[row["word"]] = row["value"]
+    def chunk(key, table):
+        import pyarrow as pa
+
+        part = np.zeros(CHUNK_WORDS, np.uint32)
+        part[table.column("word").to_numpy() % CHUNK_WORDS] = table.column("value").to_numpy()
+        return pa.table({"chunk": [key[0].as_py()], "words": [part.tobytes()]})
+
+    found = keys.mapInArrow(positions, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value"))
+    words = np.zeros(-(-bits // WORD_BITS // CHUNK_WORDS) * CHUNK_WORDS, np.uint32)
+    for row in found.withColumn("chunk", F.floor(F.col("word") / CHUNK_WORDS)).groupBy("chunk").applyInArrow(chunk, "chunk long, words binary").toLocalIterator():
+        words[row["chunk"] * CHUNK_WORDS : (row["chunk"] + 1) * CHUNK_WORDS] = np.frombuffer(row["words"], np.uint32)
     return words
 
 
@@ -114,14 +123,14 @@ def build_cascade(listed: DataFrame, universe: DataFrame, *, most_levels: int =
         return Cascade()
     all_keys = universe.where(F.col("key").isNotNull()).select(*digests(F.col("key")))
     total = all_keys.agg(F.approx_count_distinct(F.struct("one", "two"))).first()[0]
-    members = F.broadcast(inside.withColumn("member", F.lit(True))) if n <= 100_000 else inside.withColumn("member", F.lit(True))
-    outside = all_keys.join(members, ["one", "two"], "left_anti")
-    cascade, sides, counts = Cascade(), [inside, outside], [n, max(1, total - n)]
+    cascade, sides, counts = Cascade(), [inside, all_keys], [n, max(1, total - n)]
     for k in range(most_levels):
         rate = 0.5 if k else min(0.5, max(1e-6, math.sqrt(0.5) * n / counts[1]))
         bits, hashes = _size(counts[k % 2], rate)
         cascade.levels.append(Level(bits, hashes, _bits_of(sides[k % 2], k, bits, hashes)))
-        wrong = materialize(_tested(spark, sides[1 - k % 2], cascade.levels[-1], k).distinct(), f"level{k}")
+        taken = _tested(spark, sides[1 - k % 2], cascade.levels[-1], k).distinct()
+        # of the universe only what the first level takes, listed or not, is ever held against the list
+        wrong = materialize(taken if k else taken.join(inside, ["one", "two"], "left_anti"), f"level{k}")
         sides[1 - k % 2], counts[1 - k % 2] = wrong, wrong.count()
         if not counts[1 - k % 2]:
             return cascade
@@ -152,11 +161,10 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
 
 
-def candidate_keys(host: Column, path: Column, lengths: list[int]) -> Column:
-    """The rules that could fit, longest first: each suffix of the host at a dot, with the path's prefixes of the
-    lengths that rule paths have. The number is bounded by the host's labels and the list's lengths."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def candidate_keys(host: Column, path: Column, labels: list[int], lengths: list[int]) -> Column:
+    """The rules that could fit, longest first: suffixes of the host with as many labels as rule hosts have, with
+    the path's prefixes of the lengths that rule paths have. The list alone bounds their number."""
+    suffixes = F.array_compact(F.array(*[F.when(F.size(F.split(host, r"\.", n + 1)) > n, F.substring_index(host, ".", -n)).when(F.size(F.split(host, r"\.")) == n, host) for n in labels]))
     prefixes = F.filter(F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths]), lambda p: p.isNotNull())
     pairs = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(h, p))))
     return F.when((host == "") | (F.size(prefixes) == 0), F.array().cast("array<string>")).otherwise(F.array_distinct(pairs))
@@ -169,15 +177,17 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, default: str = "allow", id
     (host and path together) wins. URLs that no rule fits get `default`, as nothing lists them. Verdicts are
     decided by two cascades over the corpus's keys: one tells which keys are rules, one which of them block.
     Null URLs and those without :// have an empty host and path and fit no rule. Repeated rows are judged row
-    by row; a rule that is listed twice must not contradict itself (blocking wins). The rules' distinct path
-    lengths are collected, nothing else of them.
+    by row; a rule that is listed twice must not contradict itself (blocking wins). An empty list gives every URL
+    `default`, an empty table no rows; very long URLs are judged whole. The rules' distinct path lengths and numbers
+    of labels are collected, nothing else of them.
     """
     spark = pages.sparkSession
     clean = rules.where(F.col("host").isNotNull()).select(F.concat(F.lower("host"), F.coalesce("path", F.lit("/"))).alias("key"), F.length(F.coalesce("path", F.lit("/"))).alias("n"), "verdict")
     lengths = [r[0] for r in clean.select("n").distinct().orderBy(F.desc("n")).collect()]
+    labels = [r[0] for r in clean.select(F.size(F.split(F.substring_index("key", "/", 1), r"\.")).alias("n")).distinct().orderBy(F.desc("n")).collect()]
     host, path = url_parts(F.coalesce(F.col(url_col), F.lit("")))
     urls = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    urls = urls.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), lengths) if lengths else F.array().cast("array<string>"))
+    urls = urls.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), labels, lengths) if lengths else F.array().cast("array<string>"))
     universe = urls.select(F.explode("keys").alias("key"))
     is_rule = build_cascade(clean.select("key"), universe)
     blocks = build_cascade(clean.where(F.col("verdict") == "block").select("key"), clean.select("key"))
