@@ -187,8 +187,9 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", group_rows: int = GROUP_ROWS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every row of docs.
 
-    A null or empty text is the end id alone. Repeated rows are packed as often as they come. An empty table
-    gives an empty result; other columns are not read.
+    A null or empty text is the end id alone. Repeated rows are packed as often as they come, and any number of them
+    falls into even groups. Very long texts are cut into pieces of the capacity. An empty table gives an empty result;
+    other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text_of(text_col)).cast("long").alias("bytes"), text_of(text_col).alias("text"))
     schema = T.StructType(
@@ -200,16 +201,17 @@ def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, end_
             T.StructField("ids_crc32", T.LongType()),
         ]
     )
-    pieces = materialize(rows.mapInArrow(_pieces(tokenizer_path, capacity, end_id), schema), "pieces")
+    # the written number deals equal rows to different groups, and a retried task reads the same one again
+    pieces = materialize(rows.mapInArrow(_pieces(tokenizer_path, capacity, end_id), schema).withColumn("pack_row", F.monotonically_increasing_id()), "pieces")
     groups = max(1, round(pieces.count() / group_rows))
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit("pack")), F.lit(groups))
+    salt = F.pmod(F.xxhash64("pack_row", F.lit("pack")), F.lit(groups))
 
     def place(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], ignore_index=True)
         sequence, offset = sum_of_squares(frame["length"].to_numpy(), capacity)
         frame["sequence_id"] = (int(key[0]) << 32) + sequence
         frame["offset"] = offset
-        return frame.drop(columns="pack_group")
+        return frame.drop(columns=["pack_group", "pack_row"])
 
     placed = T.StructType([*schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return pieces.withColumn("pack_group", salt).groupBy("pack_group").applyInPandas(place, placed)
