@@ -118,10 +118,22 @@ def test_mixing_reaches_targets(docs, rows, empty):
     assert sum(t for _, t in by_source) == pytest.approx(1.5 * total)
     for (size, target), taken in by_source.items():
         assert target <= 2 * size and sum(taken) == math.floor(target)
-    assert Counter(got) == Counter(mixing.mix_sources(docs.repartition(7), bucket_rows=9).collect())
+    assert Counter(got) == Counter(mixing.mix_sources(docs.repartition(7), bucket_rows=9, equal_rows=1).collect())
     assert mixing.mix_sources(empty).count() == 0
 
 
+def test_mixing_of_many_rows_without_an_id(spark):
+    """Equal rows share their source's budget as rows of their own: brute force over sizes in order."""
+    df = spark.range(5000).selectExpr("cast(null as long) as doc_id", "repeat('word ', cast(id % 3 as int)) as text", "'s' as source")
+    got = sorted((r["size"], r["taken"]) for r in mixing.mix_sources(df, share=0.5, equal_rows=700).collect())
+    sizes = sorted(i % 3 for i in range(5000))
+    left, want = sum(sizes) // 2, []
+    for size in sizes:
+        want.append((size, min(size, left)))
+        left -= min(size, left)
+    assert got == sorted(want)
+
+
 # --- 4
 def brute_components(rows, width=4, percent=85):
     sets = []
@@ -206,7 +218,74 @@ def test_quality_learns_and_is_defined_everywhere(spark, docs, empty):
     assert {r["score"] for r in quality.score_quality(docs, constant).collect()} == {0.5}
 
 
+def naive_quality(texts, labels, fold_of):
+    """Scores by one's own reading of the method: dictionaries from every other labelled text of each class, sizes of
+    500-byte chunks under both, and a logistic function of them fitted to the others."""
+    import zstandard
+
+    known = sorted((hashlib.md5(f"fit:{i}".encode()).hexdigest(), i, y) for i, y in labels.items() if fold_of(i) != 0)
+    parts = {y: [texts[i] for _, i, label in known if label == y] for y in (0, 1)}
+
+    def chunks(t):
+        raw = t.encode()
+        return [raw[a : a + 500] for a in range(0, len(raw), 500)] or [b""]
+
+    coders = []
+    for y in (0, 1):
+        samples = [c for t in parts[y][0::2] for c in chunks(t) if c]
+        try:
+            data = zstandard.train_dictionary(32 << 10, samples, level=3).as_bytes()
+        except zstandard.ZstdError:
+            data = b"".join(samples)[-(32 << 10) :]
+        coders.append(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(data), level=3, write_content_size=False, write_checksum=False, write_dict_id=False))
+
+    def describe(t):
+        bad, good = (sum(len(c.compress(p)) for p in chunks(t)) for c in coders)
+        n = len(t.encode())
+        rate, diff = (bad + good) / (2 * n + 42), (bad - good) / (bad + good + 20)
+        return [1, (bad - good) / (n + 21), diff, rate, rate * rate, math.log1p(n), diff * math.log1p(n), min(rate, 0.2)]
+
+    share = sum(y for *_, y in known) / len(known)
+    x = np.array([describe(t) for y in (0, 1) for t in parts[y][1::2]])
+    y = np.array([float(v) for v in (0, 1) for _ in parts[v][1::2]])
+    weight = np.where(y == 1, share / y.sum(), (1 - share) / (1 - y).sum()) * len(y)
+    mean, scale = x.mean(0), x.std(0)
+    mean[0], scale[scale == 0] = 0, 1
+    z, w = (x - mean) / scale, np.zeros(x.shape[1])
+    for _ in range(60):  # reweighted least squares
+        p = 1 / (1 + np.exp(-z @ w))
+        curve = np.sqrt(weight * p * (1 - p))
+        rows = np.vstack([z * curve[:, None], math.sqrt(1e-3) * np.eye(len(w))])
+        aim = np.append(curve * (z @ w) + weight * (y - p) / np.maximum(curve, 1e-300), np.zeros(len(w)))
+        w = np.linalg.lstsq(rows, aim, rcond=None)[0]
+    return {i: 1 / (1 + math.exp(-float((np.array(describe(t)) - mean) / scale @ w))) for i, t in texts.items()}
+
+
+def test_quality_scores_equal_a_naive_fit(spark):
+    rnd = np.random.default_rng(4)
+    plain, junk = [f"plain{k}" for k in range(60)], [f"JUNK!{k}#" for k in range(40)]
+    texts = {i: " ".join(rnd.choice(plain if rnd.random() < (0.75 if i % 4 else 0.35) else junk) for _ in range(rnd.integers(5, 160))) for i in range(500)}
+    labels = {i: int(i % 4 != 0) for i in texts}
+    rows = [(i, t) for i, t in texts.items()]
+    frame = lambda r: spark.createDataFrame(r, "doc_id long, text string")
+    table = spark.createDataFrame(list(labels.items()), "doc_id long, quality int")
+    model = quality.fit_quality(frame(rows), table)
+    got = {r["doc_id"]: r["score"] for r in quality.score_quality(frame(rows), model).collect()}
+    want = naive_quality(texts, labels, lambda i: zlib.crc32(str(i).encode()) % 5)
+    assert max(abs(got[i] - want[i]) for i in texts) < 1e-5
+    again = quality.fit_quality(frame(rows[::-1] + rows[:50]).repartition(5), table.union(table).repartition(3))
+    assert (again.weights == model.weights).all() and again.dictionaries == model.dictionaries and again.share == model.share
+
+
 # --- 6
+def test_exact_dedup_of_many_frequent_texts(spark):
+    df = spark.range(40_000).selectExpr("id as doc_id", "concat('t', case when id % 3 = 0 then 0 else id % 600 end) as text")
+    got = exact_dedup.exact_dedup(df)
+    want = Counter("t0" if i % 3 == 0 else f"t{i % 600}" for i in range(40_000))
+    assert Counter(r["group_size"] for r in got.where("kept").collect()) == Counter(want.values())
+    assert got.count() == 40_000
+
+
 def test_exact_dedup(docs, rows, empty):
     groups = defaultdict(list)
     for i, t, _ in rows:
@@ -325,6 +404,14 @@ def test_url_cascade(spark):
     assert {r["verdict"] for r in url_filter.judge_urls(pages, table.limit(0)).collect()} == {"allow"}
 
 
+def test_very_long_urls(spark):
+    """Hosts of many labels and long paths cost no more than their length."""
+    urls = [(1, "http://" + "a." * 50_000 + "example.com/en/" + "x" * 50_000), (2, "http://" + "a" * 100_000), (3, "http://" + "." * 100_000 + "net/es/"), (4, "http://example.com.")]
+    rules = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("net", "/es/", "block")]
+    got = url_filter.judge_urls(spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, verdict string"))
+    assert listed(got, "page_id", "host", "path", "rule", "verdict") == brute_urls(urls, rules)
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     universe = spark.range(20_000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
     inside = universe.where(F.xxhash64("key") % 17 == 0)
@@ -362,6 +449,12 @@ def test_templates_cover_variable_fields(spark):
 
 
 # --- 10
+def test_equal_rows_fall_into_even_groups(spark):
+    df = spark.range(6000).selectExpr("cast(null as long) as doc_id", "cast(null as string) as text")
+    got = packing.pack(df, tokenizer_path("word_bpe_49k.json"), group_rows=1000).groupBy((F.col("sequence_id") / F.lit(1 << 32)).cast("long").alias("g")).count().collect()
+    assert len(got) == 6 and max(r["count"] for r in got) < 1300
+
+
 def test_packing(docs, rows, empty):
     from tokenizers import Tokenizer
 
