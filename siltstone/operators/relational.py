@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siltstone.sources.scratch import written
+
 
 def category_codes(df: DataFrame, column: str, missing: str = "__MISSING__") -> DataFrame:
     """Distinct values with codes from 0 in alphabetical order; null is a value of its own. A window over the
@@ -30,6 +32,20 @@ def rank_percent(value: Column, by: Sequence[str] = ()) -> Column:
     return (F.rank().over(ordered) + (F.count(F.lit(1)).over(peers) - 1) / 2) / F.count(F.lit(1)).over(part)
 
 
+def value_ranks(df: DataFrame, value: str) -> DataFrame:
+    """value, n, below, part: each distinct value, its rows, the rows with smaller values, and its range's number.
+
+    Values are counted first and dealt by ranges; sums over the ranges, of which there are as many as tasks, turn
+    the sums within a range into sums over everything, so that no task sees more than its range. Null values go.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
+    ranged = written(counts.repartitionByRange(value).withColumn("part", F.spark_partition_id()), "ranges")
+    order = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    parts = ranged.groupBy("part").agg(F.sum("n").alias("rows")).withColumn("before", F.coalesce(F.sum("rows").over(order), F.lit(0))).drop("rows")
+    within = W.partitionBy("part").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    return ranged.withColumn("within", F.coalesce(F.sum("n").over(within), F.lit(0))).join(F.broadcast(parts), "part").select(value, "n", (F.col("before") + F.col("within")).alias("below"), "part")
+
+
 def fallback_lookup(levels: Sequence[tuple[str, DataFrame, Sequence[str]]], queries: DataFrame, values: Sequence[str], constants: Mapping[str, float], support: str = "n", least: int = 5) -> DataFrame:
     """queries with values from the first level that has enough support, and that level's name.
 

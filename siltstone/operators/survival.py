@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.functions.expressions import clip
-from siltstone.operators.relational import quantile_bins, rank_percent
+from siltstone.operators.relational import quantile_bins, value_ranks
+from siltstone.sources.scratch import written
 
 
 def survival_table(df: DataFrame, *, start: str = "start_ts", end: str = "end_ts", duration: str = "duration", censored: str = "is_censored", trust: str = "trust") -> DataFrame:
@@ -59,27 +65,64 @@ def restricted_mean(km: DataFrame, strata: Sequence[str], horizons: Sequence[flo
 
 
 def reliability_deciles(rows: DataFrame, risk: str, horizon: float, bins: int = 10) -> DataFrame:
-    """bin, n, mean predicted and observed share of events by the horizon, for rows whose state there is known."""
-    known = rows.where((F.col("event") == 1) | (F.col("T") > horizon))
-    scored = known.withColumn("p", rank_percent(F.col(risk)))
-    edges = scored.agg(F.percentile("p", F.array(*[F.lit(i / bins) for i in range(bins + 1)])).alias("edges"))
-    binned = scored.crossJoin(F.broadcast(edges)).withColumn("bin", quantile_bins(F.col("p"), F.col("edges")))
+    """bin, n, mean predicted and observed share of events by the horizon, for rows whose state there is known.
+
+    Predictions are average ranks as shares; bins end at their quantiles, which are read off the rank table.
+    """
+    known = rows.where(((F.col("event") == 1) | (F.col("T") > horizon)) & F.col(risk).isNotNull())
+    ranks = written(value_ranks(known, risk), "ranks")
+    total = ranks.agg(F.sum("n")).first()[0] or 0
+    p = (F.col("below") + (F.col("n") + 1) / 2) / float(max(total, 1))
+    at = [i * (total - 1) / bins for i in range(bins + 1)]
+    places = sorted({int(k) for x in at for k in (math.floor(x), math.ceil(x))})
+    holds = [(F.col("below") <= k) & (F.col("below") + F.col("n") > k) for k in places]
+    found = {k: r["p"] for r in (ranks.where(reduce(or_, holds)).select("below", "n", p.alias("p")).collect() if total else []) for k in places if r["below"] <= k < r["below"] + r["n"]}
+    edges = sorted({found[math.floor(x)] + (x - math.floor(x)) * (found[math.ceil(x)] - found[math.floor(x)]) for x in at} if total else {0.0})
+    scored = known.join(ranks.select(risk, p.alias("p")), risk)
+    binned = scored.withColumn("bin", quantile_bins(F.col("p"), F.array(*[F.lit(e) for e in edges])))
     hit = ((F.col("event") == 1) & (F.col("T") <= horizon)).cast("double")
     return binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_predicted"), F.avg(hit).alias("observed"))
 
 
-def concordance(rows: DataFrame, risk: str, buckets: int = 1000) -> DataFrame:
-    """Harrell's index: the share of usable pairs in which the higher risk has the earlier event, ties as half.
-
-    Risks are compared by their bucket of `buckets` equal ranks and times by their distinct values, so that pairs
-    are counted from a table of (time, bucket) counts with windows, never listed.
+def _won_within(cells: pd.DataFrame) -> pd.DataFrame:
+    """Of one range of risks: usable pairs won and tied, as half, by events over later times of the same range."""
+    cells = cells.sort_values("risk", ignore_index=True)
+    times, at = np.unique(cells["T"].to_numpy(float), return_inverse=True)
+    n, events, risk = cells["n"].to_numpy(float), cells["events"].to_numpy(float), cells["risk"].to_numpy()
+    smaller, won, step = np.zeros(len(times) + 1), 0.0, 512
+    start = 0
+    while start < len(cells):
+        end = int(np.searchsorted(risk, risk[min(start + step, len(cells)) - 1], "right"))  # equal risks stay together
+        part = slice(start, end)
+        later = np.cumsum(smaller[::-1])[::-1]
+        won += float((events[part] * later[at[part] + 1]).sum())
+        for i in range(start, end, step):
+            rows = slice(i, min(i + step, end))
+            after = at[part][None, :] > at[rows][:, None]
+            score = np.where(risk[part][None, :] < risk[rows][:, None], 1.0, np.where(risk[part][None, :] == risk[rows][:, None], 0.5, 0.0))
+            won += float((events[rows][:, None] * n[part][None, :] * after * score).sum())
+        smaller[:-1] += np.bincount(at[part], n[part], len(times))
+        start = end
+    return pd.DataFrame({"won": [won]})
+
+
+def concordance(rows: DataFrame, risk: str) -> DataFrame:
+    """usable, c_index: Harrell's index, the share of usable pairs in which the higher risk has the earlier event,
+    ties of risk as half; pairs with equal times are not usable.
+
+    Risks are dealt by ranges. Over lower ranges an event wins as many pairs as they have later times, which running
+    sums by time count; within a range pairs are counted where it lies. No pair is listed. Null risks go.
     """
-    ranked = rows.withColumn("b", F.ceil(rank_percent(F.col(risk)) * buckets).cast("int"))
-    cells = ranked.groupBy("T", "b").agg(F.count(F.lit(1)).alias("n"), F.sum("event").alias("events"))
-    times = cells.groupBy("T").agg(F.collect_list(F.struct("b", "n")).alias("cells"), F.sum("n").alias("n"))
-    later = times.select(F.col("T").alias("later_T"), "cells")
-    events = cells.where("events > 0").select("T", F.col("b").alias("event_b"), "events")
-    pairs = events.join(later, F.col("later_T") > F.col("T")).select("event_b", "events", F.explode("cells").alias("c"))
-    weight = F.col("events") * F.col("c.n")
-    won = F.when(F.col("event_b") > F.col("c.b"), 1.0).when(F.col("event_b") == F.col("c.b"), 0.5).otherwise(0.0)
-    return pairs.agg(F.sum(weight).alias("usable"), (F.sum(weight * won) / F.sum(weight)).alias("c_index"))
+    known = rows.where(F.col(risk).isNotNull()).select(F.col(risk).alias("risk"), "T", "event")
+    ranges = written(value_ranks(known, "risk").select("risk", "part"), "ranks")
+    cells = written(known.join(ranges, "risk").groupBy("part", "risk", "T").agg(F.count(F.lit(1)).alias("n"), F.sum("event").cast("double").alias("events")), "cells")
+    within = cells.groupBy("part").applyInPandas(_won_within, "won double").agg(F.coalesce(F.sum("won"), F.lit(0.0)).alias("within"))
+    by_time = cells.groupBy("part", "T").agg(F.sum("n").alias("n"), F.sum("events").alias("events"))
+    grid = by_time.select("T").distinct().crossJoin(F.broadcast(by_time.select("part").distinct())).join(by_time, ["part", "T"], "left").na.fill(0)
+    lower = grid.withColumn("lower", F.coalesce(F.sum("n").over(W.partitionBy("T").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    after = W.partitionBy("part").orderBy("T").rowsBetween(1, W.unboundedFollowing)
+    across = lower.withColumn("later", F.coalesce(F.sum("lower").over(after), F.lit(0))).agg(F.coalesce(F.sum(F.col("events") * F.col("later")), F.lit(0.0)).alias("across"))
+    totals = by_time.groupBy("T").agg(F.sum("n").alias("n"), F.sum("events").alias("events"))
+    usable = totals.withColumn("later", F.coalesce(F.sum("n").over(W.orderBy("T").rowsBetween(1, W.unboundedFollowing)), F.lit(0))).agg(F.coalesce(F.sum(F.col("events") * F.col("later")), F.lit(0.0)).alias("usable"))
+    both = usable.crossJoin(F.broadcast(within)).crossJoin(F.broadcast(across))
+    return both.select(F.col("usable").cast("long").alias("usable"), F.when(F.col("usable") > 0, (F.col("within") + F.col("across")) / F.col("usable")).alias("c_index"))

@@ -296,4 +296,6 @@ def concordance_index(spark, sf):
     return S.concordance(_survival(spark, sf), "price").select("usable", r6("c_index").alias("c_index"))
 
 
-register("concordance_index", concordance_index)
+register("concordance_index", concordance_index, f"""WITH {SURV_SQL}, pairs AS (SELECT count(*) AS usable, sum(CASE WHEN a.price > b.price THEN 1.0::DOUBLE WHEN a.price = b.price THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) AS won
+  FROM surv a JOIN surv b ON a.event = 1 AND a.T < b.T WHERE a.price IS NOT NULL AND b.price IS NOT NULL)
+SELECT CAST(usable AS BIGINT) AS usable, round(won / usable, 6) AS c_index FROM pairs""")
