@@ -17,39 +17,48 @@ from siltstone.functions.expressions import haversine_km
 from siltstone.sources.scratch import written
 
 
-def nearest_neighbours(places: DataFrame, key: str, k: int, x: str = "lat", y: str = "lon") -> DataFrame:
-    """key, neighbour, d2, rank: the k nearest other places by planar distance, of equal ones the smaller key.
+def nearest_neighbours(places: DataFrame, key: str, k: int, x: str = "lat", y: str = "lon", by: Sequence[str] = ()) -> DataFrame:
+    """by, key, neighbour, d2, rank: the k nearest other places of the same slice by planar distance, of equal ones
+    the smaller key; without `by` all places are one slice.
 
-    Places are paired by a grid whose cell is widened until every place has k others within one cell's reach, so
-    that the nearest k are among the pairs; a place that is farther from the rest meets all places.
+    Places are paired by a grid whose cell is wide enough for most to have k others within one cell's reach, so
+    that the nearest k are among the pairs; a place that is farther from the rest meets all places of its slice.
     """
-    n = places.count()
+    by = list(by)
+    counts = places.groupBy(*by).agg(F.count(F.lit(1)).alias("in_slice"))
+    n = counts.agg(F.avg("in_slice")).first()[0] or 0
     span = places.agg(F.max(x) - F.min(x), F.max(y) - F.min(y)).first()
     if n <= 1 or span[0] is None:
-        return places.select(F.col(key), F.col(key).alias("neighbour"), F.lit(0.0).alias("d2"), F.lit(1).alias("rank")).limit(0)
+        return places.select(*by, F.col(key), F.col(key).alias("neighbour"), F.lit(0.0).alias("d2"), F.lit(1).alias("rank")).limit(0)
     cell = max(span[0], span[1], 1e-9) / max(1.0, math.sqrt(n / (2.0 * (k + 1))))
-    a = places.select(F.col(key), F.col(x).alias("ax"), F.col(y).alias("ay"))
-    b = places.select(F.col(key).alias("neighbour"), F.col(x).alias("bx"), F.col(y).alias("by"))
+    a = places.select(*by, F.col(key), F.col(x).alias("ax"), F.col(y).alias("ay"))
+    b = places.select(*by, F.col(key).alias("neighbour"), F.col(x).alias("bx"), F.col(y).alias("by_"))
     cell_of = lambda c: F.floor(F.col(c) / cell)
     around = F.explode(F.array(*[F.struct((cell_of("ax") + i).alias("cx"), (cell_of("ay") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    near = a.withColumn("c", around).select(key, "ax", "ay", "c.cx", "c.cy").join(b.withColumns({"cx": cell_of("bx"), "cy": cell_of("by")}), ["cx", "cy"])
-    d2 = F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2)
-    order = W.partitionBy(key).orderBy("d2", "neighbour")
+    near = a.withColumn("c", around).select(*by, key, "ax", "ay", "c.cx", "c.cy").join(b.withColumns({"cx": cell_of("bx"), "cy": cell_of("by_")}), [*by, "cx", "cy"])
+    d2 = F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by_"), 2)
+    order = W.partitionBy(*by, key).orderBy("d2", "neighbour")
     best = near.where(F.col(key) != F.col("neighbour")).withColumn("d2", d2).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     # neighbours within one cell's width are certain; where the k-th is farther or missing, all places are looked at
-    sure = best.where(F.col("d2") <= cell * cell).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == min(k, n - 1)).select(key)
-    far = a.join(sure, key, "left_anti").join(b, F.col(key) != F.col("neighbour")).withColumn("d2", d2).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return best.join(sure, key, "left_semi").select(key, "neighbour", "d2", "rank").unionByName(far.select(key, "neighbour", "d2", "rank"))
-
-
-def getis_ord(places: DataFrame, neighbours: DataFrame, key: str, value: str) -> DataFrame:
-    """key and Gi* as a z score: row-standardised binary weights of the neighbours and of the place itself."""
-    weights = neighbours.select(key, "neighbour").unionByName(places.select(F.col(key), F.col(key).alias("neighbour")))
-    values = places.select(F.col(key).alias("neighbour"), F.col(value).alias("v"))
-    totals = places.agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"))
-    local = weights.join(values, "neighbour").groupBy(key).agg(F.count(F.lit(1)).alias("m"), F.avg("v").alias("local"))
+    found = best.where(F.col("d2") <= cell * cell).groupBy(*by, key).agg(F.count(F.lit(1)).alias("n"))
+    found = found.join(F.broadcast(counts), by) if by else found.crossJoin(F.broadcast(counts))
+    sure = found.where(F.col("n") == F.least(F.lit(k), F.col("in_slice") - 1)).select(*by, key)
+    rest = a.join(sure, [*by, key], "left_anti")
+    rest = rest.join(b, by).where(F.col(key) != F.col("neighbour")) if by else rest.join(b, F.col(key) != F.col("neighbour"))
+    far = rest.withColumn("d2", d2).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.join(sure, [*by, key], "left_semi").select(*by, key, "neighbour", "d2", "rank").unionByName(far.select(*by, key, "neighbour", "d2", "rank"))
+
+
+def getis_ord(places: DataFrame, neighbours: DataFrame, key: str, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """by, key and Gi* as a z score within the slice: row-standardised binary weights of the neighbours and itself."""
+    by = list(by)
+    weights = neighbours.select(*by, key, "neighbour").unionByName(places.select(*by, F.col(key), F.col(key).alias("neighbour")))
+    values = places.select(*by, F.col(key).alias("neighbour"), F.col(value).alias("v"))
+    totals = places.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"))
+    local = weights.join(values, [*by, "neighbour"]).groupBy(*by, key).agg(F.count(F.lit(1)).alias("m"), F.avg("v").alias("local"))
     z = (F.col("local") - F.col("mean")) / (F.col("sd") * F.sqrt((F.col("n") / F.col("m") - 1) / (F.col("n") - 1)))
-    return local.crossJoin(F.broadcast(totals)).select(key, F.when(F.col("sd") > 0, z).otherwise(0.0).alias("z"))
+    both = local.join(F.broadcast(totals), by) if by else local.crossJoin(F.broadcast(totals))
+    return both.select(*by, key, F.when(F.col("sd") > 0, z).otherwise(0.0).alias("z"))
 
 
 def within_radius(queries: DataFrame, places: DataFrame, km: float, query_key: str, key: str) -> DataFrame:

@@ -72,6 +72,13 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_text(summary: DataFrame, path: str, title: str) -> None:
+    """A report: the title, then a line of names and values for each row of a summary."""
+    pairs = F.concat_ws(", ", *[F.concat(F.lit(f"{c}: "), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("-"))) for c in summary.columns])
+    lines = summary.sparkSession.createDataFrame([(title,)], "value string").unionByName(summary.select(pairs.alias("value")))
+    lines.coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_parameters(spark: SparkSession, path: str, parameters: Mapping[str, object]) -> None:
     """Fitted parameters as a table of names and JSON values."""
     spark.createDataFrame([(k, json.dumps(v)) for k, v in parameters.items()], "name string, value string").write.mode("overwrite").parquet(path)
