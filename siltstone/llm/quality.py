@@ -104,7 +104,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
         part = known.where(F.col("label") == label).withColumn("key", key).orderBy("key").limit(fit_rows)
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & (F.octet_length("text") <= fit_bytes))
-    rows = sorted(tuple(r) for r in texts.join(F.broadcast(chosen), "doc_id").groupBy("key", "label").agg(F.min("text")).collect())
+    rows = sorted(tuple(r) for r in texts.join(F.broadcast(chosen), "doc_id").groupBy("key", "label").agg(F.min("text")).toLocalIterator())
     split: dict[tuple[int, int], list[str]] = {(label, half): [] for label in (0, 1) for half in (0, 1)}
     seen = [0, 0]
     for _, label, text in rows:
