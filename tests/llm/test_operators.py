@@ -7,12 +7,14 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from siltstone.llm import bm25, exact_dedup, jaccard, line_dedup, mixing, packing, pii, quality, token_counts, url_filter
+from siltstone.llm import registry
 from siltstone.llm.registry import tokenizer_path
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -510,6 +512,30 @@ def test_pipeline_stages(spark, tmp_path):
             assert docs.columns == columns
         if number in (0, 1, 2):
             assert docs.join(before, "doc_id", "left_anti").count() == 0
+        if number == 0:
+            labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+            scores = naive_quality({r["doc_id"]: r["text"] for r in before.collect()}, labels, lambda i: zlib.crc32(str(i).encode()) % 5)
+            assert {r["doc_id"] for r in docs.collect()} == {i for i, s in scores.items() if s >= 0.3}
+        if number == 1:
+            db = duckdb.connect()
+            db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/0/*.parquet'")
+            want = {i: (n, d, h) for i, n, d, h in db.sql(f"SELECT doc_id, n_lines, n_dropped, text_sha256 FROM ({registry.OP9_SQL})").fetchall()}
+            got = {r["doc_id"]: hashlib.sha256(r["text"].encode()).hexdigest() for r in docs.collect()}
+            assert all(want[i][2] == h for i, h in got.items())
+            assert all(want[r["doc_id"]][1] for r in before.join(docs, "doc_id", "left_anti").collect())
+        if number == 4:
+            from tokenizers import Tokenizer
+
+            tokenizer, pieces = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json")), Counter()
+            for r in before.collect():
+                ids = tokenizer.encode(r["text"], add_special_tokens=False).ids + [0]
+                for k in range(0, len(ids), 2048):
+                    pieces[r["doc_id"], k // 2048, k, len(ids[k : k + 2048]), zlib.crc32(np.array(ids[k : k + 2048], "<u4").tobytes())] += 1
+            assert listed(docs, "doc_id", "piece", "start", "length", "ids_crc32") == pieces
+            held = Counter()
+            for r in docs.collect():
+                held[r["sequence_id"]] += r["length"]
+            assert max(held.values()) <= 2048 and len(held) <= 1.02 * sum(held.values()) / 2048 + 1
         if number == 2:
             rows = [(r["doc_id"], r["text"], None) for r in before.collect()]
             sets, root = brute_components(rows)
