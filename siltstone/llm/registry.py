@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25, exact_dedup, jaccard, line_dedup, mixing, packing, pii, quality, token_counts, url_filter
+from . import bm25, collocations, exact_dedup, fill_middle, jaccard, line_dedup, mixing, packing, pattern_packing, pii, quality, token_counts, url_filter
 from .common import table
 
 #: The rules of the URL query: host, path, verdict.
@@ -66,8 +66,39 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return moved.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op13_pattern_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pattern_packing.pack_by_patterns(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+OPERATORS = (
+    op1_token_counts,
+    op2_bm25_topk,
+    op3_mix_sources,
+    op4_ngram_jaccard,
+    op5_quality,
+    op6_exact_dedup,
+    op7_pii,
+    op8_url_filter,
+    op9_line_dedup,
+    op10_pack,
+    op11_collocations,
+    op12_fill_middle,
+    op13_pattern_pack,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_bm25_topk, op3_mix_sources, op4_ngram_jaccard, op5_quality, op6_exact_dedup, op7_pii, op8_url_filter, op9_line_dedup, op10_pack)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 OP2_SQL = r"""
@@ -216,5 +247,64 @@ FROM split s LEFT JOIN places p ON s.doc_id = p.doc_id
 """
 
 
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+split AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+sizes AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM split GROUP BY lang),
+grams AS (
+  SELECT lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS phrase
+  FROM split, (VALUES (1), (2), (3), (4)) AS sizes_of(k)),
+f AS (
+  SELECT lang, CAST(k AS BIGINT) AS k, phrase, count(*) AS f FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 30),
+cuts AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, CAST(2000000::HUGEINT * c.a // (x.f + y.f) AS BIGINT) AS score, c.cut
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.cut], ' ')
+              JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.cut + 1:], ' ')),
+lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+spans AS (
+  SELECT lang, f, k, string_split(phrase, ' ') AS w, unnest(range(2, k)) AS size FROM f WHERE k > 2),
+inside AS (
+  SELECT lang, f, unnest([array_to_string(w[i:i + size - 1], ' ') FOR i IN range(1, k - size + 2)]) AS phrase FROM spans),
+longest AS (
+  SELECT lang, phrase, max(f) AS f FROM inside GROUP BY lang, phrase),
+ranked AS (
+  SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY s.score DESC, s.a DESC, s.phrase) AS rank
+  FROM lowest s LEFT JOIN longest o ON o.lang = s.lang AND o.phrase = s.phrase
+  WHERE o.f IS NULL OR 100::HUGEINT * o.f < 80::HUGEINT * s.a)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, sizes.n, r.score FROM ranked r JOIN sizes ON sizes.lang = r.lang WHERE r.rank <= 2000
+"""
+
+OP12_SQL = r"""
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+split AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS units,
+         [CAST('0x' || substr(h, i, 8) AS BIGINT) FOR i IN [1, 9, 17, 25]] AS h
+  FROM drawn),
+cut AS (
+  SELECT *, CAST(len(units) AS BIGINT) AS n, least(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS a, greatest(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 100 THEN 'plain'
+              WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM split),
+parts AS (
+  SELECT *, coalesce(array_to_string(units[1:a], ''), '') AS prefix, coalesce(array_to_string(units[a + 1:b], ''), '') AS middle,
+         coalesce(array_to_string(units[b + 1:], ''), '') AS suffix
+  FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN text ELSE prefix || middle || suffix END) AS restored_sha256
+FROM parts
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_bm25_topk": OP2_SQL, "op3_mix_sources": OP3_SQL, "op4_ngram_jaccard": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op8_url_filter": OP8_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op2_bm25_topk": OP2_SQL, "op3_mix_sources": OP3_SQL, "op4_ngram_jaccard": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op8_url_filter": OP8_SQL, "op9_line_dedup": OP9_SQL, "op11_collocations": OP11_SQL, "op12_fill_middle": OP12_SQL}
