@@ -26,8 +26,8 @@ BLOCK_BITS = 24
 #: Bits of a row's bitmap, as a power of two: 16 MB a row. Where the sketch is wider, cells share bits: more n-grams
 #: survive then, and none is lost.
 FILTER_BITS = 27
-#: Text is read in blocks of about so many bytes; so many words make a chunk, about 150 MB of a task's memory.
-READ_BYTES, CHUNK_WORDS = 1 << 20, 1_500_000
+#: Text is read in blocks of about so many bytes; so many words make a chunk, about 100 MB of a task's memory.
+READ_BYTES, CHUNK_WORDS = 1 << 20, 1_000_000
 LONGEST = 4
 
 _KIND = np.zeros(256, np.uint8)
@@ -111,7 +111,8 @@ def _blocks(texts: list[bytes], langs: list[str]) -> Iterator[tuple[Words, int,
         words = Words(b"\n".join(texts[at:end]))
         until = np.cumsum([len(t) + 1 for t in texts[at:end]])
         names = sorted(set(langs[at:end]))
-        place = np.array([names.index(x) for x in langs[at:end]], np.int64)
+        number = {x: k for k, x in enumerate(names)}
+        place = np.array([number[x] for x in langs[at:end]], np.int64)
         yield words, 0, place[np.searchsorted(until, words.start, "right")], names
         at = end
 
@@ -176,35 +177,56 @@ def _sketcher(bits: int, block_bits: int, least: int, chunk_words: int) -> Calla
                 both.sort()
                 cell, number = both >> np.uint64(16), both & np.uint64(0xFFFF)
                 at = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-                cell, number = cell[at], np.minimum(np.add.reduceat(number, at), least).astype("<u2")
+                cell, number = cell[at], np.minimum(np.add.reduceat(number, at), least)
                 block = (cell >> np.uint64(block_bits)).astype(np.int64)
                 edge = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]])
-                inside = (cell & np.uint64((1 << block_bits) - 1)).astype("<u4")
-                for a in range(0, len(edge) - 1, 256):
-                    some = list(zip(edge[a : a + 256].tolist(), edge[a + 1 : a + 257].tolist(), strict=False))
+                names = block[edge[:-1]]
+                gaps, number, edge = _gaps((cell & np.uint64((1 << block_bits) - 1)).astype(np.int64), number, edge)
+                for k in range(0, len(names), 256):
+                    some = list(zip(edge[k : k + 256].tolist(), edge[k + 1 : k + 257].tolist(), strict=False))
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([row] * len(some), pa.int32()),
-                            pa.array(block[[x for x, _ in some]], pa.int64()),
-                            pa.array([inside[x:y].tobytes() for x, y in some], pa.binary()),
+                            pa.array(names[k : k + 256], pa.int64()),
+                            pa.array([gaps[x:y].tobytes() for x, y in some], pa.binary()),
                             pa.array([number[x:y].astype("u1" if least < 256 else "<u2").tobytes() for x, y in some], pa.binary()),
                         ],
-                        names=["row", "block", "cells", "counts"],
+                        names=["row", "block", "gaps", "counts"],
                     )
 
-        held, words_held = [], 0
+        held: dict[int, list] = {}
+        words_held = 0
         for words, again, lang, names in _sliced(batches):
-            held += [h for _, _, h in _ngrams(words, again, lang, names) if len(h)]
+            for n, _, hashes in _ngrams(words, again, lang, names):
+                held.setdefault(n, []).append(hashes)
             words_held += len(words.start) - again
-            if words_held >= chunk_words and held:
-                yield from sent(held)
-                held, words_held = [], 0
-        if held:
-            yield from sent(held)
+            if words_held >= chunk_words:
+                for n in list(held):
+                    if sum(map(len, held[n])):
+                        yield from sent(held.pop(n))
+                held, words_held = {}, 0
+        for n in list(held):
+            if sum(map(len, held[n])):
+                yield from sent(held.pop(n))
 
     return run
 
 
+def _gaps(place: np.ndarray, number: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rising places in blocks as gaps, with their numbers and the blocks' edges. Dense places take two bytes a gap; one
+    that is wider is crossed by places of number 0. Sparse places take four."""
+    before = np.concatenate([[-1], place[:-1]])
+    before[edge[:-1]] = -1
+    gap = place - before - 1
+    steps = gap >> 16
+    if steps.sum() > len(gap):
+        return gap.astype("<u4"), number, edge
+    last = np.cumsum(steps + 1)
+    narrow, counts = np.full(last[-1], 65535, "<u2"), np.zeros(last[-1], number.dtype)
+    narrow[last - 1], counts[last - 1] = gap & 65535, number
+    return narrow, counts, np.concatenate([[0], last])[edge]
+
+
 def _merged(block_bits: int, filter_bits: int, least: int) -> Callable:
     """One block of one row: its cells' sums, as a bitmap of the cells that reached `least`, folded to the filter's size."""
 
@@ -214,9 +236,11 @@ def _merged(block_bits: int, filter_bits: int, least: int) -> Callable:
         sums = np.zeros(1 << block_bits, np.uint8 if least < 128 else np.uint32)
         kind = "u1" if least < 256 else "<u2"
         row, block = table.column("row")[0].as_py(), table.column("block")[0].as_py()
-        for cells, counts in zip(table.column("cells"), table.column("counts"), strict=True):
-            cell = np.frombuffer(cells.as_buffer(), "<u4")
-            sums[cell] = np.minimum(sums[cell] + np.frombuffer(counts.as_buffer(), kind).astype(sums.dtype), least)
+        for gaps, counts in zip(table.column("gaps"), table.column("counts"), strict=True):
+            number = np.frombuffer(counts.as_buffer(), kind).astype(sums.dtype)
+            gap = np.frombuffer(gaps.as_buffer(), f"<u{len(gaps.as_buffer()) // len(number)}")
+            cell = np.cumsum(gap, dtype=np.int64) + np.arange(len(gap))
+            sums[cell] = np.minimum(sums[cell] + number, least)
         bitmap = np.packbits(sums >= least, bitorder="little")
         folds = max(1, 1 << filter_bits - block_bits)
         return pa.table({"row": pa.array([row], pa.int32()), "part": pa.array([block % folds], pa.int64()), "bits": pa.array([bitmap.tobytes()], pa.binary())})
@@ -265,11 +289,11 @@ def _counter(shared, chunk_words: int) -> Callable:
             )
 
         def sent(held: list) -> Iterator:
-            """held: for each block its words, languages and, by n, where survivors start and their hashes."""
+            """held: for each block its text, starts and ends of words, languages and, by n, starts and hashes of survivors."""
             for n in range(1, LONGEST + 1):
-                block = np.concatenate([np.full(len(found[n][0]), b) for b, (_, _, _, found) in enumerate(held)])
+                block = np.concatenate([np.full(len(found[n][0]), b, np.int32) for b, (*_, found) in enumerate(held)])
                 start = np.concatenate([found[n][0] for *_, found in held])
-                hashes = np.concatenate([found[n][1] for *_, found in held])
+                hashes = np.concatenate([found.pop(n)[1] for *_, found in held])
                 if not len(hashes):
                     return
                 order = np.argsort(hashes)
@@ -277,14 +301,14 @@ def _counter(shared, chunk_words: int) -> Callable:
                 first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
                 count = np.diff(np.concatenate([first, [len(hashes)]]))
                 block, start = block[order][first], start[order][first]
-                for b, (words, lang, names, _) in enumerate(held):
+                for b, (raw, starts, ends, lang, names, _) in enumerate(held):
                     mine = np.flatnonzero(block == b)
                     if not len(mine):
                         continue
-                    raw, at = words.raw, start[mine]
-                    phrases = [raw[x:y] for x, y in zip(words.start[at].tolist(), words.end[at + n - 1].tolist(), strict=True)]
+                    at = start[mine]
+                    phrases = [raw[x:y] for x, y in zip(starts[at].tolist(), ends[at + n - 1].tolist(), strict=True)]
                     if n > 1:  # words may stand further apart than by one blank
-                        apart = words.start[at[:, None] + np.arange(1, n)] - words.end[at[:, None] + np.arange(n - 1)]
+                        apart = starts[at[:, None] + np.arange(1, n)] - ends[at[:, None] + np.arange(n - 1)]
                         for k in np.flatnonzero((apart > 1).any(axis=1)).tolist():
                             phrases[k] = b" ".join(phrases[k].split())
                         if b"\t" in raw:
@@ -295,7 +319,7 @@ def _counter(shared, chunk_words: int) -> Callable:
         for words, again, lang, names in _sliced(batches):
             for k, c in enumerate(np.bincount(lang[again:], minlength=len(names)).tolist()):
                 totals[names[k]] = totals.get(names[k], 0) + c
-            found, before = {n: (np.zeros(0, np.int64), np.zeros(0, np.uint64)) for n in range(1, LONGEST + 1)}, None
+            found = {n: (np.zeros(0, np.int32), np.zeros(0, np.uint64)) for n in range(1, LONGEST + 1)}
             alive = np.ones(len(words.start) + 1, bool)
             for n, start, hashes in _ngrams(words, 0, lang, names):
                 if n > 1:  # a frequent n-gram's parts are frequent
@@ -306,8 +330,8 @@ def _counter(shared, chunk_words: int) -> Callable:
                 alive = np.zeros(len(words.start) + 1, bool)
                 alive[start] = True
                 new = start >= again - n + 1
-                found[n] = start[new], hashes[new]
-            held.append((words, lang, names, found))
+                found[n] = start[new].astype(np.int32), hashes[new]
+            held.append((words.raw, words.start.astype(np.int32), words.end.astype(np.int32), lang.astype(np.int32), names, found))
             words_held += len(words.start) - again
             if words_held >= chunk_words:
                 yield from sent(held)
@@ -328,7 +352,7 @@ def count_phrases(docs: DataFrame, *, least: int = 30, block_bits: int = BLOCK_B
     total = rows.agg(F.sum("bytes")).first()[0] or 0
     bits = max(block_bits, int(total).bit_length())
     filter_bits = max(block_bits, filter_bits)
-    sketch = rows.mapInArrow(_sketcher(bits, block_bits, least, chunk_words), "row int, block long, cells binary, counts binary")
+    sketch = rows.mapInArrow(_sketcher(bits, block_bits, least, chunk_words), "row int, block long, gaps binary, counts binary")
     folded = "row int, part long, bits binary"
     blocks = sketch.groupBy("row", "block").applyInArrow(_merged(block_bits, filter_bits, least), folded)
     survivors = Survivors(bits, filter_bits)
