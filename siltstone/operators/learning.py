@@ -12,8 +12,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import AFTSurvivalRegression, GBTRegressor, GeneralizedLinearRegression, IsotonicRegression, LinearRegression
-from pyspark.ml.stat import Summarizer
+from pyspark.ml.regression import AFTSurvivalRegression, GeneralizedLinearRegression, IsotonicRegression, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -137,16 +136,6 @@ def boosted_classifier(rows: DataFrame, label: Column, train: Column, numeric: S
     return model.transform(data).withColumn("p", positive()).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def boosted_quantiles(rows: DataFrame, y: str, train: Column, numeric: Sequence[str], quantiles: Sequence[float] = (0.5, 0.8, 0.95), seed: int = 42) -> DataFrame:
-    """rows with a boosted prediction of log1p(y) and its quantiles by those of the train rows' residuals."""
-    data = rows.fillna(0.0, list(numeric)).withColumn("label", F.log1p(y))
-    model = Pipeline(stages=[*design(numeric), GBTRegressor(maxIter=10, maxDepth=4, seed=seed)]).fit(data.where(train))
-    out = model.transform(data).drop("features")
-    cuts = out.where(train).agg(F.percentile(F.col("label") - F.col("prediction"), F.array(*[F.lit(q) for q in quantiles])).alias("cuts"))
-    out = out.crossJoin(F.broadcast(cuts))
-    return out.withColumns({f"p{round(q * 100)}": F.expm1(F.col("prediction") + F.col("cuts")[i]) for i, q in enumerate(quantiles)}).drop("cuts", "prediction", "label")
-
-
 def calibrate(rows: DataFrame, p: str, y: Column, fit: Column) -> DataFrame:
     """rows with calibrated, an isotonic function of p that was fitted on other rows than those it is judged on."""
     data = rows.withColumn("label", y.cast("double")).withColumn("features", F.col(p))
@@ -190,10 +179,3 @@ def permutation_p(dim: DataFrame, weights: DataFrame, key: str, value: str, *, p
     real = weights.join(dim.select(F.col(key).alias("neighbour"), F.col(value).alias("v")), "neighbour").groupBy(key).agg(F.sum("v").alias("real"))
     sims = weights.join(drawn, "neighbour").groupBy(key, "sim").agg(F.sum("v").alias("s")).join(real, key)
     return sims.groupBy(key).agg(((F.sum((F.col("s") >= F.col("real")).cast("int")) + 1) / (permutations + 1)).alias("p_high"), F.first("real").alias("local_sum"), F.lit(n).alias("places"))
-
-
-def summary_stats(rows: DataFrame, numeric: Sequence[str]) -> DataFrame:
-    """One row: means and variances of a feature vector in one pass."""
-    v = Pipeline(stages=design(numeric)).fit(rows).transform(rows)
-    s = v.select(Summarizer.metrics("mean", "variance").summary(F.col("features")).alias("s"))
-    return s.select(vector_to_array("s.mean").alias("mean"), vector_to_array("s.variance").alias("variance"))

@@ -95,10 +95,10 @@ def plan_variants(plan: DataFrame, key: str, units: Mapping[str, int], budgets:
 
 
 def decayed_rank(found: DataFrame, query: str, case: str, sim: str, age_days: Column, half_life: float = 180.0) -> DataFrame:
-    """found with rank by similarity, decayed similarity, rank by that, and how many places a case rose."""
+    """found with rank by similarity, decayed similarity, rank by that to 9 places, and how many places a case rose."""
     decayed = F.col(sim) * F.exp(-0.6931471805599453 * F.greatest(F.lit(0.0), age_days) / half_life)
-    rows = found.withColumn("decayed", F.round(decayed, 9))
-    one, two = (F.row_number().over(W.partitionBy(query).orderBy(F.desc(c), case)) for c in (sim, "decayed"))
+    rows = found.withColumn("decayed", decayed)
+    one, two = (F.row_number().over(W.partitionBy(query).orderBy(c.desc(), case)) for c in (F.col(sim), F.round("decayed", 9)))
     return rows.withColumns({"rank_before": one, "rank": two}).withColumn("rose", F.col("rank_before") - F.col("rank"))
 
 
@@ -120,8 +120,13 @@ def components(edges: DataFrame, a: str, b: str, nodes: DataFrame, key: str, che
             return labels.select(F.col("x").alias(key), F.col("label").alias("component"))
 
 
-def leaks(features: DataFrame, used: Sequence[str]) -> DataFrame:
-    """A registry of features with verdicts: leak where a used feature is known only after the event has ended."""
-    is_used = F.col("feature").isin(*used)
-    verdict = F.when(is_used & (F.col("available") == "after"), "leak").when(is_used, "ok").otherwise("unused")
-    return features.select("feature", "source", "available", verdict.alias("verdict"))
+def leaks(rows: DataFrame, known: dict[str, Column], at: Column, used: Sequence[str]) -> DataFrame:
+    """For each feature, named with the time at which its value is known, how many rows have a value, how many know it
+    only after the time at which it would be used, the longest delay in days, and a verdict: leak for a used feature that any
+    row knows too late."""
+    values = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), time.cast("timestamp").alias("known")) for f, time in known.items()]))
+    each = rows.select(at.cast("timestamp").alias("at"), values.alias("f")).select("at", "f.feature", "f.known")
+    late = F.count_if(F.col("known") > F.col("at"))
+    audit = each.groupBy("feature").agg(F.count("known").alias("n"), late.alias("late"), F.greatest(F.lit(0), F.coalesce(F.max(F.datediff("known", "at")), F.lit(0))).alias("longest_delay"))
+    verdict = F.when(~F.col("feature").isin(*used), "unused").when(F.col("late") > 0, "leak").otherwise("ok")
+    return audit.withColumn("verdict", verdict)

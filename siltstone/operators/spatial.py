@@ -98,16 +98,21 @@ def hops(edges: DataFrame, sources: DataFrame, most: int) -> DataFrame:
     return reached
 
 
-def cheapest_paths(edges: DataFrame, sources: DataFrame, cutoff: float, rounds: int) -> DataFrame:
-    """source, node, cost: the cheapest way along edges a -> b with a cost, up to the cutoff and so many edges.
-    A source's own node may be left out of its ways by leaving it out of the edges' ends (blocked is its name)."""
+def cheapest_paths(edges: DataFrame, sources: DataFrame, cutoff: float) -> DataFrame:
+    """source, blocked, node, cost: the cheapest way along edges a -> b with a positive weight, up to the cutoff.
+
+    Each round goes on from the costs that fell in the last one alone, and the rounds end when none falls. A source's
+    own node may be left out of its ways by leaving it out of the edges' ends (blocked is its name)."""
     edges = written(edges.select("a", "b", "weight"), "edges")
-    best = sources.select("source", "blocked", F.col("node"), F.lit(0.0).alias("cost"))
-    for _ in range(rounds):
-        step = best.join(edges, F.col("node") == F.col("a")).where(~F.col("b").eqNullSafe(F.col("blocked")))
-        step = step.select("source", "blocked", F.col("b").alias("node"), (F.col("cost") + F.col("weight")).alias("cost")).where(F.col("cost") <= cutoff)
-        best = written(best.unionByName(step).groupBy("source", "blocked", "node").agg(F.min("cost").alias("cost")), "costs")
-    return best
+    best = sources.select("source", "blocked", "node", F.lit(0.0).alias("cost"), F.lit(True).alias("fell"))
+    while True:
+        step = best.where("fell").join(edges, F.col("node") == F.col("a")).where(~F.col("b").eqNullSafe(F.col("blocked")))
+        step = step.select("source", "blocked", F.col("b").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"), F.lit(True).alias("new")).where(F.col("cost") <= cutoff)
+        known = best.select("source", "blocked", "node", "cost", F.lit(False).alias("new"))
+        both = known.unionByName(step).groupBy("source", "blocked", "node").agg(F.min("cost").alias("cost"), F.min(F.when(~F.col("new"), F.col("cost"))).alias("before"))
+        best = written(both.select("source", "blocked", "node", "cost", (F.col("before").isNull() | (F.col("cost") < F.col("before"))).alias("fell")), "costs")
+        if best.where("fell").isEmpty():
+            return best.drop("fell")
 
 
 def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 30) -> DataFrame:

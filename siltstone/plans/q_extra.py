@@ -244,8 +244,8 @@ def decayed_rerank(spark, sf):
     return out.where("rank <= 5").select("query", "case_id", "rank", "rose", r6("decayed").alias("decayed"))
 
 
-register("decayed_rerank", decayed_rerank, f"""WITH {q_space.CASES_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, case_id) AS before FROM scored), d AS (SELECT query, case_id, before, round(sim * exp(-0.6931471805599453::DOUBLE * greatest(0, date_diff('day', o_orderdate, (SELECT max(o_orderdate) FROM orders))) / 180.0::DOUBLE), 9) AS decayed FROM k JOIN orders ON o_orderkey = case_id WHERE before <= 20),
-r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY decayed DESC, case_id) AS rank FROM d) SELECT query, case_id, CAST(rank AS INTEGER) AS rank, CAST(before - rank AS INTEGER) AS rose, round(decayed, 6) AS decayed FROM r WHERE rank <= 5""")
+register("decayed_rerank", decayed_rerank, f"""WITH {q_space.CASES_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, case_id) AS before FROM scored), d AS (SELECT query, case_id, before, sim * exp(-0.6931471805599453::DOUBLE * greatest(0, date_diff('day', o_orderdate, (SELECT max(o_orderdate) FROM orders))) / 180.0::DOUBLE) AS decayed FROM k JOIN orders ON o_orderkey = case_id WHERE before <= 20),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(decayed, 9) DESC, case_id) AS rank FROM d) SELECT query, case_id, CAST(rank AS INTEGER) AS rank, CAST(before - rank AS INTEGER) AS rose, round(decayed, 6) AS decayed FROM r WHERE rank <= 5""")
 
 
 def best_case_drivers(spark, sf):
@@ -286,16 +286,22 @@ d AS (SELECT c.event_id, p.event_id AS prototype, round(0.4::DOUBLE * least(1.0,
 r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY d, prototype) AS place FROM d) SELECT prototype, count(*) FILTER (place = 1) AS top1, count(*) AS top5 FROM r WHERE place <= 5 GROUP BY 1""")
 
 # --- audits
-FEATURES = [("event_cause", "incident", "before"), ("priority", "incident", "before"), ("asof_count", "history", "before"), ("asof_decayed", "history", "before"), ("duration", "outcome", "after"), ("closure", "incident", "during"), ("end_ts", "outcome", "after"), ("similar_mean", "retrieval", "before")]
-USED = ["event_cause", "priority", "asof_decayed", "end_ts", "closure"]
+USED = ["event_cause", "priority", "past_count", "end_ts", "closure"]
 
 
 def feature_leaks(spark, sf):
-    return P.leaks(spark.createDataFrame(FEATURES, "feature string, source string, available string"), USED)
-
-
-register("feature_leaks", feature_leaks, f"""SELECT feature, source, available, CASE WHEN feature IN ({", ".join(f"'{u}'" for u in USED)}) THEN CASE WHEN available = 'after' THEN 'leak' ELSE 'ok' END ELSE 'unused' END AS verdict
-FROM (VALUES {", ".join(str(f) for f in FEATURES)}) t(feature, source, available)""")
+    """Which columns of an incident are known only after it began, from the times in the tables themselves."""
+    rows = I.shipments(spark, sf)
+    start, end, day = F.col("start_ts"), F.col("end_ts"), F.date_trunc("day", "start_ts")
+    known = {"event_cause": start, "priority": start, "price": start, "corridor": start, "past_count": F.date_sub(day, 1), "duration": end, "end_ts": end, "closure": end, "junction": F.when(F.col("junction").isNotNull(), end)}
+    return P.leaks(rows, known, start, USED)
+
+
+register("feature_leaks", feature_leaks, f"""WITH {I.SHIPMENTS_SQL}, k AS (
+  SELECT start_ts, unnest(['event_cause', 'priority', 'price', 'corridor', 'past_count', 'duration', 'end_ts', 'closure', 'junction']) AS feature,
+         unnest([start_ts, start_ts, start_ts, start_ts, date_trunc('day', start_ts) - INTERVAL 1 DAY, end_ts, end_ts, end_ts, CASE WHEN junction IS NOT NULL THEN end_ts END]) AS known FROM shipments),
+a AS (SELECT feature, count(known) AS n, count(*) FILTER (known > start_ts) AS late, CAST(greatest(0, coalesce(max(date_diff('day', start_ts, known)), 0)) AS INTEGER) AS longest_delay FROM k GROUP BY feature)
+SELECT *, CASE WHEN feature NOT IN ({", ".join(f"'{u}'" for u in USED)}) THEN 'unused' WHEN late > 0 THEN 'leak' ELSE 'ok' END AS verdict FROM a""")
 
 
 def consistency_checks(spark, sf):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siltstone.operators import boosting as B
 from siltstone.operators import incidents as I
 from siltstone.operators import learning as L
 from siltstone.operators import spatial as G
@@ -73,10 +74,49 @@ def poisson_zone_counts(spark, sf):
     return out.where(~train()).groupBy("zone").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("expected")).alias("expected"), r6(F.avg("Y_count_3h")).alias("actual"))
 
 
+DURATION_FEATURES = ["k", "hour", "weekday", "event_cause__mean", "corridor__mean"]
+
+
+def _boosted_durations(spark, sf, losses):
+    """Events with predictions of log durations by trees fitted on the train rows, one for each loss, and the model."""
+    rows = _clicks(spark, sf).withColumn("weekday", F.weekday("ts").cast("double"))
+    y = F.log1p("duration")
+    for c in ("event_cause", "corridor"):
+        rows = B.target_means(rows, train(), c, y)
+    model = B.fit_boosted(rows.where(train()), y, DURATION_FEATURES, losses, rounds=10)
+    return rows.withColumn("said", model.predict()), model
+
+
 def boosted_duration_quantiles(spark, sf):
-    out = L.boosted_quantiles(_clicks(spark, sf), "duration", train(), ["k", "hour", "trust"])
-    held = out.where(~train())
-    return held.groupBy("event_cause").agg(F.count(F.lit(1)).alias("n"), *[r6(F.avg((F.col("duration") <= F.col(p)).cast("double"))).alias(f"covered_{p}") for p in ("p50", "p80", "p95")])
+    out, _ = _boosted_durations(spark, sf, [B.Pinball(0.5), B.Pinball(0.8), B.Pinball(0.95), B.Huber(1.0)])
+    # quantiles in order, as minutes
+    quantiles = F.transform(F.array_sort(F.slice("said", 1, 3)), F.expm1)
+    held = out.where(~train()).select("event_cause", "duration", quantiles.alias("q"), F.expm1(F.col("said")[3]).alias("huber"))
+    covered = [r6(F.avg((F.col("duration") <= F.col("q")[i]).cast("double"))).alias(f"covered_p{p}") for i, p in enumerate((50, 80, 95))]
+    middle = [r6(F.avg(F.col("q")[i])).alias(f"p{p}") for i, p in enumerate((50, 80, 95))]
+    return held.groupBy("event_cause").agg(F.count(F.lit(1)).alias("n"), *covered, *middle, r6(F.avg("huber")).alias("huber"))
+
+
+def _parts(spark, sf):
+    out, model = _boosted_durations(spark, sf, [B.Huber(1.0)])
+    mean = model.start[0] + sum(B.mean_margin(t) for t in model.trees[0])
+    parts = F.arrays_zip(F.array(*[F.lit(f) for f in model.features]).alias("feature"), F.col("part").alias("part"))
+    return out.where(~train()).withColumn("part", model.attribute(0)).select("event_id", F.col("said")[0].alias("prediction"), F.lit(mean).alias("mean"), parts.alias("parts"))
+
+
+def duration_drivers(spark, sf):
+    """Of each held-out event the three features that move its predicted log duration most, and by how much."""
+    ordered = F.array_sort("parts", lambda a, b: F.when(F.abs(a["part"]) > F.abs(b["part"]), -1).when(F.abs(a["part"]) < F.abs(b["part"]), 1).when(a["feature"] < b["feature"], -1).otherwise(1))
+    rows = _parts(spark, sf).withColumn("top", F.slice(ordered, 1, 3))
+    names = [F.col("top")[i]["feature"].alias(f"driver{i + 1}") for i in range(3)]
+    sizes = [r6(F.col("top")[i]["part"]).alias(f"part{i + 1}") for i in range(3)]
+    return rows.select("event_id", r6("prediction").alias("prediction"), r6("mean").alias("mean"), *names, *sizes)
+
+
+def driver_summary(spark, sf):
+    """Mean size, mean and largest size of each feature's part in the held-out predictions."""
+    each = _parts(spark, sf).select(F.inline("parts"))
+    return each.groupBy("feature").agg(r6(F.avg(F.abs("part"))).alias("mean_size"), r6(F.avg("part")).alias("mean_part"), r6(F.max(F.abs("part"))).alias("largest"))
 
 
 def prototype_clusters(spark, sf):
@@ -95,7 +135,7 @@ def permutation_hotspots(spark, sf):
     return out.select("junction", r6("p_high").alias("p_high"), (F.col("p_high") < 0.05).alias("significant"))
 
 
-for query in (missingness_model, mahalanobis_drift, isolation_flags, aft_weibull, lognormal_aft, pca_burden, boosted_zone_risk, poisson_zone_counts, boosted_duration_quantiles, prototype_clusters, rank_stability, permutation_hotspots):
+for query in (missingness_model, mahalanobis_drift, isolation_flags, aft_weibull, lognormal_aft, pca_burden, boosted_zone_risk, poisson_zone_counts, boosted_duration_quantiles, duration_drivers, driver_summary, prototype_clusters, rank_stability, permutation_hotspots):
     register(query.__name__, query)
 
 

@@ -20,17 +20,17 @@ J = I.JUNCTIONS_SQL
 
 
 def deployment_blueprint(spark, sf):
-    """For each zone the units and numbered tow places of its junctions by burden, as one nested document."""
+    """For each zone the units of all its junctions, and its first five tow places by burden as one nested document."""
     j = A.allocate(I.junctions(I.clicks(spark, sf)), "junction", "burden", 300, 4)
     tow = j.withColumn("place", F.row_number().over(W.partitionBy("zone").orderBy(F.desc("burden"), "junction")))
-    tow = tow.withColumn("unit", F.format_string("TOW-%03d", "place")).where("place <= 5")
-    items = F.array_sort(F.collect_list(F.struct("place", "unit", "junction", "units")))
+    tow = tow.withColumn("unit", F.format_string("TOW-%03d", "place"))
+    items = F.array_sort(F.collect_list(F.when(F.col("place") <= 5, F.struct("place", "unit", "junction", "units"))))
     return tow.groupBy("zone").agg(F.sum("units").alias("units"), F.to_json(items).alias("document"))
 
 
 register("deployment_blueprint", deployment_blueprint, f"""WITH {J}, s AS (SELECT junction, zone, burden, 300.0::DOUBLE * burden / sum(burden) OVER () AS share FROM junctions), b AS (SELECT *, least(CAST(floor(share) AS BIGINT), 4) AS base FROM s),
 p AS (SELECT *, 300 - sum(base) OVER () AS leftover, row_number() OVER (ORDER BY round(share - floor(share), 9) DESC, junction) AS place0 FROM b), u AS (SELECT *, CAST(base + CASE WHEN place0 <= leftover AND base < 4 THEN 1 ELSE 0 END AS INTEGER) AS units, row_number() OVER (PARTITION BY zone ORDER BY burden DESC, junction) AS place FROM p)
-SELECT zone, CAST(sum(units) AS BIGINT) AS units, '[' || string_agg('{{"place":' || place || ',"unit":"TOW-' || lpad(CAST(place AS VARCHAR), 3, '0') || '","junction":' || junction || ',"units":' || units || '}}', ',' ORDER BY place) || ']' AS document FROM u WHERE place <= 5 GROUP BY zone""")
+SELECT zone, CAST(sum(units) AS BIGINT) AS units, '[' || string_agg('{{"place":' || place || ',"unit":"TOW-' || lpad(CAST(place AS VARCHAR), 3, '0') || '","junction":' || junction || ',"units":' || units || '}}', ',' ORDER BY place) FILTER (place <= 5) || ']' AS document FROM u GROUP BY zone""")
 
 
 def institutional_memory(spark, sf):
@@ -74,11 +74,12 @@ SELECT n, round(m, 6) AS baseline, round(m * greatest(1.0, least(ln(1 + 20000 /
 
 
 def network_hotspots(spark, sf):
-    """Gi* over corridors with weights e^(-hops / h) up to 3 h hops; of several bandwidths the one of largest variance."""
-    flows = _flows(spark, sf).where("a <> b and weight > 20")
+    """Gi* over corridors with weights e^(-hops / h) up to 3 h hops, along flows of half the mean or more; of several bandwidths the one of largest variance."""
+    flows = _flows(spark, sf)
+    flows = flows.crossJoin(F.broadcast(flows.agg(F.avg("weight").alias("usual")))).where("a <> b and weight > usual / 2")
     edges = flows.select("a", "b").union(flows.select("b", "a")).distinct()
     nodes = I.clicks(spark, sf).groupBy(F.col("corridor").alias("node")).agg(F.sum("trust").alias("v"))
-    far = G.hops(edges, nodes.select("node"), 3)
+    far = G.hops(edges, nodes.select("node"), 6)
     grid = far.withColumn("h", F.explode(F.array(F.lit(1.0), F.lit(2.0)))).where(F.col("hops") <= 3 * F.col("h")).withColumn("w", F.exp(-F.col("hops") / F.col("h")))
     total = nodes.agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"))
     sums = grid.join(nodes, "node").groupBy("source", "h").agg(F.sum(F.col("w") * F.col("v")).alias("wv"), F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("w")).alias("sww"))
@@ -88,8 +89,8 @@ def network_hotspots(spark, sf):
     return z.join(F.broadcast(best), "h").select(F.col("source").alias("corridor"), "h", r6("z").alias("z"))
 
 
-register("network_hotspots", network_hotspots, f"""WITH RECURSIVE {FLOW_SQL}, f AS (SELECT a, b FROM flow WHERE a <> b AND weight > 20), e AS (SELECT a, b FROM f UNION SELECT b, a FROM f), nodes AS (SELECT corridor AS node, sum(trust) AS v FROM clicks GROUP BY corridor),
-r AS (SELECT node AS source, node, 0 AS hops FROM nodes UNION SELECT r.source, e.b, r.hops + 1 FROM r JOIN e ON e.a = r.node WHERE r.hops < 3), d AS (SELECT source, node, min(hops) AS hops FROM r GROUP BY ALL),
+register("network_hotspots", network_hotspots, f"""WITH RECURSIVE {FLOW_SQL}, f AS (SELECT a, b FROM flow WHERE a <> b AND weight > (SELECT avg(weight) FROM flow) / 2), e AS (SELECT a, b FROM f UNION SELECT b, a FROM f), nodes AS (SELECT corridor AS node, sum(trust) AS v FROM clicks GROUP BY corridor),
+r AS (SELECT node AS source, node, 0 AS hops FROM nodes UNION SELECT r.source, e.b, r.hops + 1 FROM r JOIN e ON e.a = r.node WHERE r.hops < 6), d AS (SELECT source, node, min(hops) AS hops FROM r GROUP BY ALL),
 g AS (SELECT *, exp(-hops / h) AS w FROM d, (SELECT unnest([1.0::DOUBLE, 2.0::DOUBLE]) AS h) WHERE hops <= 3 * h), t AS (SELECT count(*) AS n, avg(v) AS mean, stddev_pop(v) AS sd FROM nodes),
 s AS (SELECT source, h, sum(w * v) AS wv, sum(w) AS sw, sum(w * w) AS sww FROM g JOIN nodes USING (node) GROUP BY source, h), z AS (SELECT source, h, CASE WHEN sqrt(greatest(0, (n * sww - sw * sw) / (n - 1))) > 1e-9 THEN (wv - mean * sw) / (sd * sqrt(greatest(0, (n * sww - sw * sw) / (n - 1)))) ELSE 0 END AS z FROM s, t),
 b AS (SELECT h FROM z GROUP BY h ORDER BY round(var_samp(z), 9) DESC, h LIMIT 1) SELECT source AS corridor, z.h, round(z, 6) AS z FROM z JOIN b ON z.h = b.h""")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import expressions as X
 from siltstone.operators import allocation as A
 from siltstone.operators import incidents as I
+from siltstone.operators import medoids as K
 from siltstone.operators import relational as R
 from siltstone.operators import retrieval as V
 from siltstone.operators import spatial as G
@@ -137,14 +138,14 @@ def cheapest_diversion(spark, sf):
     e = G.chain_edges(m, "node", "corridor", [F.desc("w")]).join(cost, "b")
     # start at the neighbours of a blocked node and stay off it
     sources = e.select(F.col("a").alias("blocked"), F.col("b").alias("node")).withColumn("source", F.col("node"))
-    out = G.cheapest_paths(e, sources, 2.0, 4).where(F.col("source") != F.col("node"))
+    out = G.cheapest_paths(e, sources, 2.0).where(F.col("source") != F.col("node"))
     best = R.top_k_per(out, ["blocked"], [F.round("cost", 6), F.col("source"), F.col("node")], 3)
     return best.select("blocked", "source", "node", r6("cost").alias("cost"), "rank")
 
 
 register("cheapest_diversion", cheapest_diversion, f"""WITH RECURSIVE {CHAIN_SQL}, r AS (
   SELECT a AS blocked, b AS source, b AS node, 0.0::DOUBLE AS cost, 0 AS steps FROM chain
-  UNION SELECT r.blocked, r.source, c.b, r.cost + 0.1::DOUBLE + c.b % 7 / 10.0::DOUBLE, r.steps + 1 FROM r JOIN chain c ON c.a = r.node WHERE c.b <> r.blocked AND r.steps < 4 AND r.cost + 0.1::DOUBLE + c.b % 7 / 10.0::DOUBLE <= 2.0),
+  UNION SELECT r.blocked, r.source, c.b, r.cost + 0.1::DOUBLE + c.b % 7 / 10.0::DOUBLE, r.steps + 1 FROM r JOIN chain c ON c.a = r.node WHERE c.b <> r.blocked AND r.cost + 0.1::DOUBLE + c.b % 7 / 10.0::DOUBLE <= 2.0),
 m AS (SELECT blocked, source, node, min(cost) AS cost FROM r GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY blocked ORDER BY round(cost, 6), source, node) AS rank FROM m WHERE source <> node)
 SELECT blocked, source, node, round(cost, 6) AS cost, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 3""")
 
@@ -244,6 +245,49 @@ p AS (SELECT query, count(*) AS n, sum(sim) ** 2 / sum(sim * sim) AS n_eff, sum(
 SELECT query, n, round(n_eff, 6) AS n_eff, round(weighted_mean, 6) AS weighted_mean, round(weighted_median, 6) AS weighted_median, round(confidence, 6) AS confidence, round(best, 6) AS best, n_eff < 3 OR confidence < 0.9 AS abstain FROM p""")
 
 
+MEDOID_WEIGHTS = {"price": 0.4, "month": 0.2, "priority": 0.25, "event_cause": 0.15}
+
+
+def _medoids(spark, sf, k=12):
+    c = _cases(spark, sf)
+    found, _ = K.find_medoids(c, "event_id", RANGES, MEDOID_WEIGHTS, k, most_candidates=256)
+    return c, found
+
+
+def gower_medoids(spark, sf):
+    """Prototypes of the cases by k-medoids: support, median duration, share of planned cases and quality of each."""
+    c, found = _medoids(spark, sf)
+    near = K.nearest_medoids(c, "event_id", found, RANGES, MEDOID_WEIGHTS)
+    out = near.groupBy(F.col("medoid").alias("prototype")).agg(
+        F.count(F.lit(1)).alias("support"),
+        F.median("duration").alias("median_duration"),
+        r6(F.avg(F.col("planned").cast("double"))).alias("planned_rate"),
+        r6(F.avg(F.exp(-F.col("distance") / 0.5))).alias("quality"),
+        r6(F.sum("distance")).alias("cost"),
+    )
+    own = c.select(F.col("event_id").alias("prototype"), "priority", "event_cause", "price", "month")
+    return out.join(own, "prototype")
+
+
+def medoid_estimates(spark, sf):
+    """For each query its five nearest prototypes but itself: expected duration, effective sample size, confidence
+    and whether to abstain, by similarities e^(-2 distance)."""
+    c, found = _medoids(spark, sf)
+    medians = K.nearest_medoids(c, "event_id", found, RANGES, MEDOID_WEIGHTS).groupBy("medoid").agg(F.median("duration").alias("median_duration"))
+    near = K.nearest_medoids(c.where("event_id % 20 = 0"), "event_id", found, RANGES, MEDOID_WEIGHTS, k=5, but_itself=True)
+    sim = F.exp(-F.col("distance") / 0.5)
+    rows = near.withColumn("sim", sim).join(F.broadcast(medians), "medoid")
+    eff = F.sum("sim") * F.sum("sim") / F.sum(F.col("sim") * F.col("sim"))
+    out = rows.groupBy(F.col("event_id").alias("query")).agg(F.max_by("medoid", F.struct(-F.col("place"))).alias("prototype"), eff.alias("n_eff"), F.avg("sim").alias("mean_sim"), F.max("sim").alias("best"), (F.sum(F.col("sim") * F.col("median_duration")) / F.sum("sim")).alias("expected"))
+    confidence = F.col("n_eff") / (F.col("n_eff") + 2) * F.col("mean_sim") * F.col("best")
+    reason = F.when(F.col("best") < 0.30, "best").when(F.col("n_eff") < 3.0, "n_eff").when(confidence < 0.40, "confidence").otherwise("sufficient")
+    return out.select("query", "prototype", r6("n_eff").alias("n_eff"), r6("expected").alias("expected"), r6(confidence).alias("confidence"), reason.alias("evidence"), (reason != "sufficient").alias("abstain"))
+
+
+for query in (gower_medoids, medoid_estimates):
+    register(query.__name__, query)
+
+
 def embedding_cosine_topk(spark, sf):
     e = table(spark, sf, "embeddings")
     return V.cosine_topk(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", 5)
