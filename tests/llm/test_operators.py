@@ -91,6 +91,7 @@ def test_block_bounds_prune_without_loss(monkeypatch):
     row = {c: made.column(c)[0].as_py() for c in ("n", "lengths", "posting_doc", "posting_tf")} | {c: made.column(c)[0].values.to_numpy() for c in ("terms", "docs")}
     ids = made.column("ids")[0].values.to_numpy()
     terms = row["terms"]
+    order = np.argsort(ids)
     asked = [np.sort(rnd.choice(terms, 12, replace=False)) for _ in range(40)]
     weights = dict(zip(terms.tolist(), rnd.integers(1, 50_000, len(terms)).tolist()))
     queries = bm25.Queries(pa.table({"query_id": range(40), "terms": [a.tolist() for a in asked], "rarity": pa.array([[weights[int(x)] for x in a] for a in asked], pa.list_(pa.int32()))}))
@@ -99,13 +100,44 @@ def test_block_bounds_prune_without_loss(monkeypatch):
         monkeypatch.setattr(bm25, "COMMON", common)
         monkeypatch.setattr(bm25, "BLOCK_DOCS", block)
         monkeypatch.setattr(bm25, "TILE_CELLS", cells)
-        hit, doc, points = bm25.Shard(row, 40.0, 1.2, 0.75).search(queries, 5, ids)
+        hit, doc, points = bm25.Shard(row, 40.0, 1.2, 0.75).search(queries, 5, ids[order], np.argsort(order))
         return sorted(zip(queries.ids.to_numpy()[hit].tolist(), (-points).tolist(), ids[doc].tolist()))
 
     whole = found(2.0, 1024, 1 << 30)
     assert len(whole) == 200
     for common, block, cells in ((0.1, 8, 2000), (0.02, 1, 700), (0.5, 64, 10)):
         assert found(common, block, cells) == whole
+    # floors leave what goes before them, by score and then by id, and nothing else
+    places = {}
+    for hit in whole:
+        places.setdefault(hit[0], []).append(hit[1:])
+    queries.raise_floors({i: (-h[2][0], h[2][1]) for i, h in places.items()})
+    assert found(0.1, 8, 2000) == sorted((i, *x) for i, h in places.items() for x in h[:2])
+
+
+def test_ties_do_not_ship_more_hits_with_more_shards(spark, monkeypatch):
+    """1,200 equal texts: waves after the first send only what goes before the k-th hit, by id."""
+    df = spark.range(1200).selectExpr("id * 7919 % 1200 as doc_id", "'one stone river' as text").repartition(4)
+    shipped = []
+    searcher = bm25._searcher
+
+    def counted(block, k, mean_words, k1, b):
+        run = searcher(block, k, mean_words, k1, b)
+
+        def both(batches):
+            for batch in run(batches):
+                hits.add(len(batch.column(1).values))
+                yield batch
+
+        return both
+
+    monkeypatch.setattr(bm25, "_searcher", counted)
+    for shard_docs in (75, 19):
+        hits = spark.sparkContext.accumulator(0)
+        got = bm25.bm25_topk(df, df.where("doc_id = 5").withColumnRenamed("doc_id", "query_id"), k=10, shard_docs=shard_docs)
+        assert [r["doc_id"] for r in got.orderBy("rank").collect()] == list(range(10))
+        shipped.append(hits.value)
+    assert shipped[0] <= 160 and shipped[1] <= 200
 
 
 # --- 3
