@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.operators import boosting as B
+from siltstone.operators import forest as R
 from siltstone.operators import incidents as I
 from siltstone.operators import learning as L
+from siltstone.operators import scenarios as C
 from siltstone.operators import spatial as G
+from siltstone.operators import survival as V
 from siltstone.operators import temporal as M
 from siltstone.plans.catalogue import register
 from siltstone.plans.q_core import r6
+from siltstone.sources.scratch import written
 from siltstone.streaming import jobs as S
 
 
@@ -119,6 +123,36 @@ def driver_summary(spark, sf):
     return each.groupBy("feature").agg(r6(F.avg(F.abs("part"))).alias("mean_size"), r6(F.avg("part")).alias("mean_part"), r6(F.max(F.abs("part"))).alias("largest"))
 
 
+FOREST_FEATURES = ["price", "month", "urgent", "event_cause__mean", "corridor__mean"]
+
+
+def _forest(spark, sf):
+    """Shipments with T and event, and a survival forest fitted on three in four of them."""
+    rows = I.shipments(spark, sf).where("duration >= 0").withColumns({"T": F.col("duration"), "event": (~F.col("is_censored")).cast("int"), "month": F.month("start_ts").cast("double"), "urgent": F.col("priority").isin("1-URGENT", "2-HIGH").cast("double")})
+    for c in ("event_cause", "corridor"):
+        rows = B.target_means(rows, train(), c, F.log1p("duration"))
+    return rows, R.fit_forest(rows.where(train()), "event_id", "T", F.col("event") == 1, FOREST_FEATURES, trees=20)
+
+
+def survival_forest(spark, sf):
+    """Held-out shipments by cause: their mean risk, median time and how far apart the riskiest and safest tenth end."""
+    rows, forest = _forest(spark, sf)
+    out = rows.where(~train()).withColumn("said", forest.predict())
+    return out.groupBy("event_cause").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("said.risk")).alias("risk"), r6(F.avg("said.p50")).alias("p50"), r6(F.corr("said.risk", "T")).alias("corr_with_time"))
+
+
+def survival_forest_importance(spark, sf):
+    """The held-out concordance of the forest and of a proportional-hazards fit, and what each feature adds to the forest's."""
+    rows, forest = _forest(spark, sf)
+    held = written(rows.where(~train()).select("event_id", "T", "event", *FOREST_FEATURES), "held")
+    score = lambda x: float(V.concordance(x, "risk").first()["c_index"] or 0.5)
+    beta = C.cox_fit(rows.where(train()).withColumn("weight", F.lit(1.0)).withColumn("price", F.col("price") / 1e5), ["price", "urgent"])
+    cox = score(held.withColumn("risk", F.col("price") / 1e5 * beta["price"] + F.col("urgent") * beta["urgent"]))
+    whole = score(held.withColumn("risk", forest.predict()["risk"]))
+    found = [("forest", whole), ("proportional hazards", cox), *R.permutation_importance(held, forest, "event_id", score)]
+    return spark.createDataFrame(found, "name string, value double").select("name", r6("value").alias("value"))
+
+
 def prototype_clusters(spark, sf):
     out = L.prototypes(I.junctions(I.clicks(spark, sf)).withColumn("n", F.col("n").cast("double")), "junction", ["n", "mean_duration", "burden", "closure_rate"], 10)
     return out.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("is_medoid"), F.col("junction"))).alias("medoid"), r6(F.avg("burden")).alias("burden"))
@@ -135,7 +169,7 @@ def permutation_hotspots(spark, sf):
     return out.select("junction", r6("p_high").alias("p_high"), (F.col("p_high") < 0.05).alias("significant"))
 
 
-for query in (missingness_model, mahalanobis_drift, isolation_flags, aft_weibull, lognormal_aft, pca_burden, boosted_zone_risk, poisson_zone_counts, boosted_duration_quantiles, duration_drivers, driver_summary, prototype_clusters, rank_stability, permutation_hotspots):
+for query in (missingness_model, mahalanobis_drift, isolation_flags, aft_weibull, lognormal_aft, pca_burden, boosted_zone_risk, poisson_zone_counts, boosted_duration_quantiles, duration_drivers, driver_summary, survival_forest, survival_forest_importance, prototype_clusters, rank_stability, permutation_hotspots):
     register(query.__name__, query)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import expressions as X
 from siltstone.operators import bayes as B
+from siltstone.operators import crosszone as Z
 from siltstone.operators import incidents as I
 from siltstone.operators import pointprocess as P
 from siltstone.operators import temporal as M
@@ -206,6 +207,17 @@ def hawkes_fit(spark, sf):
 
 register("hawkes_fit", hawkes_fit)
 
+
+def cross_zone_fit(spark, sf):
+    """Excitation of each zone by itself and by its two neighbours in the ring of zones, fitted jointly."""
+    zones = [r[0] for r in I.clicks(spark, sf).select("zone").distinct().orderBy("zone").collect()]
+    ring = {z: sorted({zones[i - 1], zones[(i + 1) % len(zones)]} - {z}) for i, z in enumerate(zones)}
+    fit = Z.fit_cross_zone(I.clicks(spark, sf), ring, "zone", "t", F.col("trust"), betas=(0.05, 0.5, 5.0))
+    return fit.select("source_zone", "receiver_zone", *[r6(c).alias(c) for c in ("alpha", "se", "ci_low", "ci_high", "branching", "beta", "half_life_hours", "lr", "p_value")])
+
+
+register("cross_zone_fit", cross_zone_fit)
+
 # --- posteriors, calibration, metrics
 
 
