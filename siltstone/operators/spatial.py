@@ -131,3 +131,54 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 30) -> DataF
         if i % 4 == 3:  # the plan of a few rounds is small; longer ones are cut
             rank = written(rank, "rank")
     return rank
+
+
+def betweenness(edges: DataFrame, block: int = 1000, most: int = 1_000) -> DataFrame:
+    """node, betweenness: for each node the sum over pairs of other nodes of the share of their shortest ways, in steps
+    along a -> b, that lead through it, over the number of such ordered pairs.
+
+    Outwards, rounds of joins count the ways by source and distance; back, each distance hands what leads through it to the
+    one before. Sources are taken in blocks, so that what is written at once is bounded by block times nodes."""
+    edges = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    nodes = written(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct(), "nodes")
+    n = nodes.count()
+    blocks = max(1, -(-n // block))
+    parts = nodes.select("node", F.lit(0.0).alias("part"))
+    for k in range(blocks):
+        front = nodes.where(F.pmod(F.xxhash64("node"), F.lit(blocks)) == k).select(F.col("node").alias("source"), "node", F.lit(1.0).alias("ways"))
+        levels, reached = [written(front, "ways")], front.select("source", "node")
+        for _ in range(most):
+            ahead = levels[-1].join(edges, F.col("node") == F.col("a")).groupBy("source", F.col("b").alias("node")).agg(F.sum("ways").alias("ways"))
+            level = written(ahead.join(reached, ["source", "node"], "left_anti"), "ways")
+            if level.isEmpty():
+                break
+            levels.append(level)
+            reached = reached.unionByName(level.select("source", "node"))
+        through = levels[-1].withColumn("through", F.lit(0.0))
+        for level in reversed(levels[:-1]):
+            later = through.select("source", F.col("node").alias("b"), ((1 + F.col("through")) / F.col("ways")).alias("gain"))
+            handed = level.join(edges, F.col("node") == F.col("a")).join(later, ["source", "b"]).groupBy("source", "node").agg(F.sum(F.col("ways") * F.col("gain")).alias("through"))
+            through = written(level.join(handed, ["source", "node"], "left").na.fill(0.0, ["through"]), "through")
+            parts = parts.unionByName(through.where("source <> node").select("node", F.col("through").alias("part")))
+    return parts.groupBy("node").agg((F.sum("part") / max(1, (n - 1) * (n - 2))).alias("betweenness"))
+
+
+def eigenvector(edges: DataFrame, rounds: int = 15, steps: int = 5, tolerance: float = 1e-5) -> DataFrame:
+    """node, eigenvector: the leading eigenvector of the weighted edges a -> b over what comes in, of length 1. A step adds
+    a node's own value, so that alternating graphs settle too; a round of a few steps is scaled and written, and rounds
+    end when values have settled."""
+    edges = written(edges.groupBy("a", "b").agg(F.sum("weight").alias("weight")), "edges")
+    nodes = written(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct(), "nodes")
+    value = nodes.withColumn("x", F.lit(1.0 / max(1, nodes.count()) ** 0.5))
+    for _ in range(rounds):
+        new = value.withColumn("y", F.col("x"))
+        for _ in range(steps):
+            came = edges.join(new, F.col("a") == F.col("node")).groupBy(F.col("b").alias("to")).agg(F.sum(F.col("weight") * F.col("y")).alias("came"))
+            new = new.join(came, F.col("node") == F.col("to"), "left").select("node", "x", (F.col("y") + F.coalesce("came", F.lit(0.0))).alias("y"))
+        new = written(new, "eigen")
+        norm = new.agg(F.sqrt(F.sum(F.col("y") * F.col("y")))).first()[0] or 1.0
+        moved = new.agg(F.sum(F.abs(F.col("y") / norm - F.col("x")))).first()[0] or 0.0
+        value = new.select("node", (F.col("y") / norm).alias("x"))
+        if moved < tolerance:
+            break
+    return value.withColumnRenamed("x", "eigenvector")
