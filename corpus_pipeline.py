@@ -23,13 +23,19 @@ def _free(name: str, docs: DataFrame) -> str:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject (score of 0.3 or more)."""
+    """Documents that the quality classifier does not reject (score of 0.3 or more).
+
+    Null and empty texts are scored as empty ones; repeated rows and rows without an id are scored row by row, and very long
+    texts whole; an empty table stays empty. All columns stay."""
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
     return docs.where(quality.score_column(model, F.coalesce("text", F.lit(""))) >= 0.3)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without recurring lines; one of which nothing is left goes."""
+    """Documents without recurring lines; one of which nothing is left goes.
+
+    A null or empty text has no lines to lose and stays; repeated rows lose the lines that their first place keeps; of very
+    long texts every line counts; rows without an id are one document. An empty table stays empty. All columns stay."""
     lines, dropped = _free("lines", docs), _free("dropped", docs)
     clean = line_dedup.dedup_lines(docs, counts=(lines, dropped))
     gone = (F.col(dropped) > 0) & (F.regexp_count("text", F.lit(WORD)) == 0)
@@ -58,7 +64,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents placed in sequences of 2048 tokens."""
+    """Pieces of documents placed in sequences of 2048 tokens: op10's columns in place of the documents'.
+
+    A null or empty text is one end token; repeated rows and those without an id are packed as often as they come; very
+    long texts are cut into pieces; an empty table gives no pieces."""
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
@@ -75,7 +84,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each one's rows written and read again for the next."""
+    """All stages over `documents`, each one's rows written and read again for the next. Each stage says what becomes of
+    nulls, empty and very long texts, repeated rows and empty tables."""
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
