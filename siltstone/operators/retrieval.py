@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siltstone.sources.scratch import written
+
 
 def gower(numeric: Mapping[str, float], categorical: Sequence[str], weights: Mapping[str, float], a: str = "q", b: str = "c") -> Column:
     """Weighted Gower distance between struct columns a and b: numbers by their range, categories by equality,
@@ -71,12 +73,33 @@ def _in_blocks(queries: DataFrame, cases: DataFrame, key: str, query_block: int,
     return q.groupBy("q_block", "c_block").cogroup(c.groupBy("q_block", "c_block"))
 
 
-def best_cases(queries: DataFrame, cases: DataFrame, key: str, numeric: Mapping[str, float], categorical: Sequence[str], weights: Mapping[str, float], first_stage: str, value: str, k: int = 5, query_block: int = 2048, case_block: int = 16384) -> DataFrame:
+def _case_blocks(cases: DataFrame, key: str, number: str, size: int) -> tuple[DataFrame, pd.DataFrame]:
+    """cases with block, and the blocks' lowest and highest number, in order. Blocks are ranges of number and key, so they are
+    about even however many numbers are equal; one that holds cases without the number has no bounds. The bounds, a row
+    for about `size` cases, come to the driver."""
+    known = written(cases.where(F.col(key).isNotNull()), "cases")
+    ranged = known.repartitionByRange(max(1, -(-known.count() // size)), number, key)
+    placed = written(ranged.withColumn("block", F.spark_partition_id()), "case_blocks")
+    loose = F.count_if(F.col(number).isNull()) > 0
+    bounds = placed.groupBy("block").agg(F.when(~loose, F.min(number)).alias("low"), F.when(~loose, F.max(number)).alias("high"))
+    return placed, bounds.toPandas().sort_values("block", ignore_index=True)
+
+
+def best_cases(queries: DataFrame, cases: DataFrame, key: str, numeric: Mapping[str, float], categorical: Sequence[str], weights: Mapping[str, float], first_stage: str, value: str, k: int = 5, query_block: int = 2048, case_block: int = 8192) -> DataFrame:
     """query, case_id, sim, first_stage, value: a stated query set against all cases but the query itself.
 
-    Of each block of cases a query keeps its k best, and its k best of the first stage, before anything is
-    merged; so the k best of all and of the first stage are among the rows, and k cases over any threshold of
-    the first stage if there are so many."""
+    Cases lie in even blocks by the number with the greatest weight, which alone bounds a similarity. A query first
+    meets the block in which its number falls; its k-th similarities there, of all cases and of the first stage's, tell how
+    far away a better case can be, and it goes on to the blocks within that reach alone. Of each block it keeps its k
+    best, and its k best of the first stage, so that these are among the rows, and k cases over any threshold of the
+    first stage if there are so many. Queries or cases without the number meet every block.
+    """
+    number = max(numeric, key=lambda f: weights[f])
+    total = sum(weights[f] for f in (*numeric, *categorical))
+    placed, bounds = _case_blocks(cases, key, number, case_block)
+    bounded = bounds[bounds["low"].notna()]
+    loose = bounds.loc[bounds["low"].isna(), "block"].tolist()
+    blocks, low, high = bounded["block"].to_numpy(), bounded["low"].to_numpy(float), bounded["high"].to_numpy(float)
 
     def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         ids, out = c[key].to_numpy(), []
@@ -93,7 +116,47 @@ def best_cases(queries: DataFrame, cases: DataFrame, key: str, numeric: Mapping[
 
     kinds = {f.name: f.dataType.simpleString() for f in cases.schema}
     schema = f"query {kinds[key]}, case_id {kinds[key]}, sim double, {first_stage} {kinds[first_stage]}, {value} {kinds[value]}"
-    return _in_blocks(queries, cases, key, query_block, case_block).applyInPandas(run, schema)
+    if not len(bounds):
+        return queries.sparkSession.createDataFrame([], schema)
+
+    @F.pandas_udf("int")
+    def own(x: pd.Series) -> pd.Series:
+        at = np.minimum(np.searchsorted(high, x.to_numpy(float)), max(0, len(high) - 1))
+        return pd.Series(np.where(x.isna().to_numpy() | (len(blocks) == 0), bounds["block"].iloc[0], blocks[at] if len(blocks) else 0))
+
+    @F.pandas_udf("array<int>")
+    def others(x: pd.Series, floor: pd.Series, home: pd.Series) -> pd.Series:
+        out = []
+        for number_at, least, own_block in zip(x.to_numpy(float), floor.to_numpy(float), home, strict=True):
+            if np.isnan(number_at) or np.isnan(least):
+                near = blocks
+            else:  # similarities are rounded to 9 places
+                reach = (1 - least + 2e-9) * total / weights[number] * max(numeric[number], 1e-6)
+                reach = np.inf if reach >= max(numeric[number], 1e-6) else reach
+                near = blocks[np.searchsorted(high, number_at - reach) : np.searchsorted(low, number_at + reach, "right")]
+            out.append([b for b in (*loose, *near.tolist()) if b != own_block])
+        return pd.Series(out)
+
+    def meet(asked: DataFrame, fields: list[str]) -> DataFrame:
+        """asked, with block, against their blocks' cases; the queries of a block come in parts."""
+        # a task a block: a few megabytes of cases are work enough, which adaptive merging of small partitions cannot know
+        tasks = max(len(bounds), asked.sparkSession.sparkContext.defaultParallelism)
+        wide = asked.withColumn("part", F.pmod(F.xxhash64(key), F.count(F.lit(1)).over(W.partitionBy("block")).cast("long") / F.lit(query_block) + 1).cast("int"))
+        wide = written(wide.select(*fields, "block", "part"), "asked")
+        parts = wide.select(F.col("block").alias("block"), F.col("part").alias("part")).distinct()
+        met = placed.join(parts, "block").repartition(tasks, "block", "part").groupBy("block", "part")
+        return wide.repartition(tasks, "block", "part").groupBy("block", "part").cogroup(met).applyInPandas(lambda q, c: run(q.reset_index(drop=True), c.reset_index(drop=True)), schema)
+
+    # queries are often a part of the cases: columns get identities of their own
+    fields = list(dict.fromkeys([key, *numeric, *categorical]))
+    asked = written(queries.select(*[F.col(x).alias(x) for x in fields]).withColumn("block", own(F.col(number).cast("double"))), "queries")
+    near = written(meet(asked, fields), "near")
+    places = near.withColumns({"r": F.row_number().over(W.partitionBy("query").orderBy(F.desc("sim"))), "r1": F.when(F.col(first_stage), F.row_number().over(W.partitionBy("query", F.coalesce(first_stage, F.lit(False))).orderBy(F.desc("sim"))))})
+    floors = places.groupBy(F.col("query").alias("asked")).agg(F.max(F.when(F.col("r") == k, F.col("sim"))).alias("all"), F.max(F.when(F.col("r1") == k, F.col("sim"))).alias("first"))
+    # a query that has not found k of each goes everywhere
+    floor = F.when(F.col("all").isNotNull() & F.col("first").isNotNull(), F.least("all", "first"))
+    further = asked.join(floors, F.col(key) == F.col("asked"), "left").withColumn("block", F.explode(others(F.col(number).cast("double"), floor, "block")))
+    return near.unionByName(meet(further, fields))
 
 
 def similar_counts(queries: DataFrame, cases: DataFrame, key: str, numeric: Mapping[str, float], categorical: Sequence[str], weights: Mapping[str, float], least: float, query_block: int = 2048, case_block: int = 16384) -> DataFrame:

@@ -163,7 +163,7 @@ def betweenness(edges: DataFrame, block: int = 1000, most: int = 1_000) -> DataF
     return parts.groupBy("node").agg((F.sum("part") / max(1, (n - 1) * (n - 2))).alias("betweenness"))
 
 
-def eigenvector(edges: DataFrame, rounds: int = 15, steps: int = 5, tolerance: float = 1e-5) -> DataFrame:
+def eigenvector(edges: DataFrame, rounds: int = 8, steps: int = 5, tolerance: float = 1e-4) -> DataFrame:
     """node, eigenvector: the leading eigenvector of the weighted edges a -> b over what comes in, of length 1. A step adds
     a node's own value, so that alternating graphs settle too; a round of a few steps is scaled and written, and rounds
     end when values have settled."""

@@ -169,10 +169,28 @@ def permutation_hotspots(spark, sf):
     return out.select("junction", r6("p_high").alias("p_high"), (F.col("p_high") < 0.05).alias("significant"))
 
 
-for query in (missingness_model, mahalanobis_drift, isolation_flags, aft_weibull, lognormal_aft, pca_burden, boosted_zone_risk, poisson_zone_counts, boosted_duration_quantiles, duration_drivers, driver_summary, survival_forest, survival_forest_importance, prototype_clusters, rank_stability, permutation_hotspots):
+for query in (missingness_model, isolation_flags, aft_weibull, pca_burden, boosted_zone_risk, poisson_zone_counts, boosted_duration_quantiles, duration_drivers, driver_summary, survival_forest, survival_forest_importance, prototype_clusters, rank_stability, permutation_hotspots):
     register(query.__name__, query)
 
 
+ROWS_SQL = f"""{I.CLICKS_SQL}, x AS (SELECT event_id, event_cause, is_censored, duration AS a, CAST(k AS DOUBLE) AS b, CAST(hour(ts) AS DOUBLE) AS c FROM clicks)"""
+
+# the inverse of a symmetric matrix of three columns by its cofactors
+register("mahalanobis_drift", mahalanobis_drift, f"""WITH {ROWS_SQL},
+m AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, covar_samp(a, a) + 1e-6 AS aa, covar_samp(a, b) AS ab, covar_samp(a, c) AS ac, covar_samp(b, b) + 1e-6 AS bb, covar_samp(b, c) AS bc, covar_samp(c, c) + 1e-6 AS cc FROM x WHERE event_id % 4 <> 0),
+i AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM m),
+d AS (SELECT event_id, event_cause, sqrt(greatest(0, (a - ma) ** 2 * (bb * cc - bc * bc) + (b - mb) ** 2 * (aa * cc - ac * ac) + (c - mc) ** 2 * (aa * bb - ab * ab)
+  + 2 * (a - ma) * (b - mb) * (ac * bc - ab * cc) + 2 * (a - ma) * (c - mc) * (ab * bc - ac * bb) + 2 * (b - mb) * (c - mc) * (ab * ac - aa * bc)) / det) AS distance FROM x, i),
+q AS (SELECT quantile_cont(distance, 0.95) AS cut FROM d WHERE event_id % 4 <> 0)
+SELECT event_cause, count(*) AS n, count(*) FILTER (distance > cut) AS far, round(max(distance), 6) AS max_distance FROM d, q GROUP BY event_cause""")
+# least squares with two columns by their covariances
+register("lognormal_aft", lognormal_aft, f"""WITH {ROWS_SQL}, y AS (SELECT *, ln(a) AS y FROM x WHERE NOT is_censored AND a > 0),
+m AS (SELECT avg(y) AS my, avg(b) AS mb, avg(c) AS mc, covar_pop(b, b) AS bb, covar_pop(b, c) AS bc, covar_pop(c, c) AS cc, covar_pop(b, y) AS yb, covar_pop(c, y) AS yc FROM y),
+k AS (SELECT *, (yb * cc - yc * bc) / (bb * cc - bc * bc) AS kb, (yc * bb - yb * bc) / (bb * cc - bc * bc) AS kc FROM m),
+p AS (SELECT event_cause, y, my + kb * (b - mb) + kc * (c - mc) AS log_mean FROM y, k), e AS (SELECT round(sqrt(avg((y - log_mean) ** 2)), 6) AS sigma FROM p)
+SELECT event_cause, round(avg(log_mean), 6) AS log_mean, any_value(sigma) AS sigma FROM p, e GROUP BY event_cause""")
+
+
 # --- streams: a closed window is emitted once; the watermark never closes the last ones, which batch SQL leaves out too
 def _closed(column: str, size_us: int) -> str:
     return f"WHERE start_us + {size_us} <= (SELECT epoch_us(max(ts)) - 86400000000 FROM events)"

@@ -222,3 +222,30 @@ def test_hawkes_fit_reads_all_events_of_a_zone(spark):
     events = spark.range(201_000).selectExpr("'z' as zone", "id * 60000000 as t")
     out = pointprocess.fit_hawkes(events, "zone", "t", betas=[1.0]).collect()
     assert [r["n"] for r in out] == [201_000]
+
+
+def test_similar_cases_without_the_number_and_with_ties(spark):
+    """Cases and queries without the number that blocks go by, and many equal numbers: as by brute force."""
+    import random
+
+    rnd = random.Random(11)
+    rows = [(i, None if rnd.random() < 0.1 else float(rnd.choice([5, 5, 5, rnd.randrange(100)])), rnd.choice("abc"), rnd.random() < 0.3, float(i)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, x double, g string, first boolean, v double").repartition(3)
+    ranges, weights = {"x": 100.0}, {"x": 0.6, "g": 0.4}
+
+    def sim(a, b):
+        total = weight = 0.0
+        for f, p, q in (("x", a[1], b[1]), ("g", a[2], b[2])):
+            if p is not None and q is not None:
+                weight += weights[f]
+                total += weights[f] * (min(1.0, abs(p - q) / 100.0) if f == "x" else float(p != q))
+        return round(1 - (total / weight if weight else 1.0), 9)
+
+    found = V.best_cases(df.where("id % 9 = 0"), df, "id", ranges, ["g"], weights, "first", "v", k=3, query_block=7, case_block=30).collect()
+    got = {}
+    for r in found:
+        got.setdefault(r["query"], set()).add((-r["sim"], r["case_id"]))
+    for a in rows[::9]:
+        every = sorted((-sim(a, b), b[0]) for b in rows if b[0] != a[0])
+        first = sorted((-sim(a, b), b[0]) for b in rows if b[0] != a[0] and b[3])
+        assert set(every[:3]) <= got[a[0]] and set(first[:3]) <= got[a[0]]
