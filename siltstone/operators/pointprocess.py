@@ -77,17 +77,33 @@ def _sorted_sums(betas: np.ndarray):
     """Rows in order of time, one run of a key after the other, with A of each rate over the earlier rows of the
     run in the same part; ties count in the order in which they come."""
 
+    def within(h: np.ndarray, start: np.ndarray, at: float) -> np.ndarray:
+        """Sums before each of some times of one key, from those at a time before them. Blocks of time are so short that no
+        exponent in them leaves the range of a double."""
+        out = np.empty((len(h), len(betas)))
+        for b, beta in enumerate(betas):
+            block = np.floor((h - at) * beta / 300.0)
+            edges = np.flatnonzero(np.diff(block, prepend=-1.0, append=np.inf))
+            carry, since = start[b], at
+            for x, y in zip(edges, edges[1:]):
+                grown = np.exp(beta * (h[x:y] - h[x]))
+                into = carry * np.exp(-beta * (h[x] - since))
+                before = np.cumsum(grown) - grown
+                out[x:y, b] = (into + before) / grown
+                carry, since = out[y - 1, b] + 1, h[y - 1]
+        return out
+
     def run(frames):
         part, last_key, last_h, a = TaskContext.get().partitionId(), object(), 0.0, np.zeros(len(betas))
         for frame in frames:
-            keys, h = frame["key"].tolist(), frame["h"].to_numpy()
+            keys, h = frame["key"].to_numpy(object), frame["h"].to_numpy()
             sums = np.empty((len(h), len(betas)))
-            decay = np.exp(-np.maximum(np.diff(h, prepend=last_h), 0.0)[:, None] * betas)
-            for i, key in enumerate(keys):
+            edges = np.flatnonzero(np.append(np.append(True, keys[1:] != keys[:-1]), True)) if len(h) else []
+            for x, y in zip(edges, edges[1:]):
                 # a key's first row here starts at 0; what came in earlier parts is added later
-                a = decay[i] * (a + 1) if key == last_key else np.zeros(len(betas))
-                sums[i], last_key = a, key
-            last_h = h[-1] if len(h) else last_h
+                start, at = (a, last_h) if keys[x] == last_key else (np.zeros(len(betas)), h[x])
+                sums[x:y] = within(h[x:y], start, at)
+                a, last_key, last_h = sums[y - 1] + 1, keys[x], h[y - 1]
             yield pd.DataFrame({"part": part, "key": keys, "h": h, "sums": list(sums)})
 
     return run
@@ -124,29 +140,49 @@ def fit_hawkes(events: DataFrame, key: str, t: str, betas: Sequence[float] = tup
     carry = F.broadcast(spark.createDataFrame(carried, "key string, part int, start double, carried array<double>").withColumnRenamed("key", "k").withColumnRenamed("part", "p"))
     whole = local.join(carry, F.col("key").eqNullSafe(F.col("k")) & (F.col("part") == F.col("p")))
     a = F.array(*[F.col("sums")[b] + F.col("carried")[b] * F.exp(-float(rate) * (F.col("h") - F.col("start"))) for b, rate in enumerate(rates)])
-    whole = written(whole.select("key", "h", F.posexplode(a).alias("b", "a")), "hawkes_sums")
-
-    def totals(x: dict, y: dict, *expressions: Column) -> dict:
-        """By key, sums over its rows of expressions of what x and y have for the key and rate: one row a sum."""
-        given = spark.createDataFrame([(k, b, float(x[k][b]), float(y[k][b])) for k in x for b in range(len(rates))], "k string, rate int, x double, y double")
-        joined = whole.join(F.broadcast(given), F.col("key").eqNullSafe(F.col("k")) & (F.col("b") == F.col("rate")))
-        found = {k: np.zeros((len(expressions), len(rates))) for k in x}
-        for r in joined.groupBy("key", "b").agg(*[F.sum(e) for e in expressions]).collect():
-            found[r[0]][:, r[1]] = r[2:]
-        return found
+    whole = written(whole.select("key", "h", a.alias("a")), "hawkes_sums")
+
+    def totals(x: dict, y: dict, expressions) -> dict:
+        """By key, sums over its rows of expressions of x and y, which are given by key and rate, of the kernel sums and of
+        the hours. Batches are summed where they are; a row for each sum leaves a task."""
+        given = spark.sparkContext.broadcast({k: (x[k], y[k]) for k in x})
+
+        def run(batches):
+            import pyarrow as pa
+
+            sums: dict = {}
+            for batch in batches:
+                keys, h = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
+                a = batch.column(2).flatten().to_numpy().reshape(len(h), -1)
+                edges = np.flatnonzero(np.append(np.append(True, keys[1:] != keys[:-1]), True)) if len(h) else []
+                for i, j in zip(edges, edges[1:]):
+                    if keys[i] in given.value:
+                        found = expressions(*given.value[keys[i]], a[i:j], h[i:j, None])
+                        sums[keys[i]] = sums.get(keys[i], 0.0) + np.array([e.sum(axis=0) for e in found])
+            for k, v in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([k] * v.size, pa.string()), pa.array(np.arange(v.size, dtype=np.int32)), pa.array(v.ravel())], names=["key", "slot", "value"])
+
+        out: dict = {}
+        for k, slot, value in whole.mapInArrow(run, "key string, slot int, value double").groupBy("key", "slot").agg(F.sum("value")).collect():
+            out.setdefault(k, {})[slot] = value
+        return {k: np.array([v[i] for i in range(len(v))]).reshape(-1, len(rates)) for k, v in out.items()}
 
     every = {k: np.full(len(rates), hi) for k, (_, hi, _) in spans.items()}
     span = {k: max(hi - lo, 1e-9) for k, (lo, hi, _) in spans.items()}
-    reach = {k: g[0] / rates for k, g in totals(every, {k: rates for k in spans}, 1 - F.exp(-F.col("y") * (F.col("x") - F.col("h")))).items()}
+    reach = {k: g[0] / rates for k, g in totals(every, {k: rates for k in spans}, lambda x, y, a, h: [1 - np.exp(-y * (x - h))]).items()}
     count = {k: n for k, (_, _, n) in spans.items()}
-    rate = F.col("x") + F.col("y") * F.col("a")
+
+    def parts(mu, alpha, a, h):
+        rate = mu + alpha * a
+        return [np.log(rate), a / rate, 1 / rate, (a / rate) ** 2, a / rate / rate, 1 / rate / rate]
+
     # how fast the rate of an event grows with alpha, as mu falls with it
     grows = {k: reach[k] / span[k] for k in spans}
     alpha, low, high = {k: np.zeros(len(rates)) for k in spans}, {k: np.zeros(len(rates)) for k in spans}, {k: count[k] / np.maximum(reach[k], 1e-12) for k in spans}
     top, going = {}, dict.fromkeys(spans)
     for _ in range(rounds):
         mu = {k: (count[k] - alpha[k] * reach[k]) / span[k] for k in going}
-        sums = totals(mu, {k: alpha[k] for k in going}, F.log(rate), F.col("a") / rate, 1 / rate, (F.col("a") / rate) ** 2, F.col("a") / rate / rate, 1 / rate / rate)
+        sums = totals(mu, {k: alpha[k] for k in going}, parts)
         for k, (log, a, one, aa, a1, one2) in sums.items():
             g, x = grows[k], alpha[k]
             slope, bend = a - g * one, np.maximum(aa - 2 * g * a1 + g * g * one2, 1e-300)
