@@ -174,3 +174,12 @@ def gaussian_entropy(sd: Column) -> Column:
 
 def gaussian_kl(m1: Column, s1: Column, m0: Column, s0: Column) -> Column:
     return clip(F.log(s0 / s1) + (s1 * s1 + (m1 - m0) * (m1 - m0)) / (2 * s0 * s0) - 0.5, 0.0, 1e6)
+
+
+def log_gamma(x, log=F.log):
+    """The logarithm of the gamma function of a positive column (or, with numpy's log, array): Stirling's series eight
+    places further up, where it is right to some 12 digits."""
+    y = x + 8.0
+    series = 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y) - 1 / (1680 * y * y * y * y * y * y * y)
+    down = log(x) + log(x + 1.0) + log(x + 2.0) + log(x + 3.0) + log(x + 4.0) + log(x + 5.0) + log(x + 6.0) + log(x + 7.0)
+    return (y - 0.5) * log(y) - y + 0.5 * math.log(2 * math.pi) + series - down

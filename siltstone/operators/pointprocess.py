@@ -40,6 +40,22 @@ def kernel_sum(events: DataFrame, key: str, t: str, mark: Column, beta: float) -
     return out.withColumn("A", F.exp(-beta * F.col("from_start")) * total).drop("block", "from_start", "grown", "own", "earlier1", "earlier2")
 
 
+def grid_intensity(events: DataFrame, key: str, t: str, mark: Column, beta: float, hours: int) -> DataFrame:
+    """key, hour, A: on every hour from the first to the one after the last, the sum over the key's events of the `hours`
+    hours before it of mark * exp(-beta * hours since).
+
+    Events are summed by hour, each decayed to its hour's end, so that windows run over the grid and have `hours` rows."""
+    at = F.col(t) / F.lit(float(HOUR))
+    hour = F.floor(at)
+    sums = events.withColumn("hour", hour).groupBy(key, "hour").agg(F.sum(mark * F.exp(-beta * (F.col("hour") + 1 - at))).alias("m"))
+    span = sums.agg(F.min("hour").alias("low"), (F.max("hour") + 1).alias("high"))
+    grid = sums.select(key).distinct().crossJoin(F.broadcast(span)).select(key, F.explode(F.sequence("low", "high")).alias("hour"))
+    before = W.partitionBy(key).orderBy("hour").rowsBetween(-hours, -1)
+    cells = grid.join(sums, [key, "hour"], "left").withColumn("cells", F.collect_list(F.struct("hour", F.coalesce("m", F.lit(0.0)).alias("m"))).over(before))
+    decayed = F.aggregate("cells", F.lit(0.0), lambda total, c: total + c["m"] * F.exp(-beta * (F.col("hour") - 1 - c["hour"])))
+    return cells.select(key, "hour", decayed.alias("A"))
+
+
 def hawkes_likelihood(kernel: DataFrame, key: str, mu: float, alpha: float, beta: float) -> DataFrame:
     """key, n, span and log-likelihoods of the marked Hawkes and the Poisson model, and the test between them.
 

@@ -46,6 +46,23 @@ def value_ranks(df: DataFrame, value: str) -> DataFrame:
     return ranged.withColumn("within", F.coalesce(F.sum("n").over(within), F.lit(0))).join(F.broadcast(parts), "part").select(value, "n", (F.col("before") + F.col("within")).alias("below"), "part")
 
 
+def running_sums(df: DataFrame, order: str, columns: Sequence[str], *, descending: bool = False, part: str | None = None) -> DataFrame:
+    """df, one row for each value of order, with the columns summed over that row and all before it.
+
+    Rows are dealt by ranges; sums over the ranges, of which there are as many as tasks, turn the sums within a range into
+    sums over everything, so that no task sees more than its range. A written table that is dealt already names the column
+    that numbers its ranges upwards."""
+    if part is None:
+        df = written(df.repartitionByRange(order).withColumn("part__", F.spark_partition_id()), "running")
+    by = part or "part__"
+    turned = F.desc if descending else F.asc
+    before = W.orderBy(turned(by)).rowsBetween(W.unboundedPreceding, -1)
+    parts = df.groupBy(by).agg(*[F.sum(c).alias(c) for c in columns]).select(by, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}__before") for c in columns])
+    within = W.partitionBy(by).orderBy(turned(order)).rowsBetween(W.unboundedPreceding, 0)
+    summed = df.withColumns({c: F.sum(c).over(within) for c in columns}).join(F.broadcast(parts), by)
+    return summed.select(*[(F.col(c) + F.col(f"{c}__before")).alias(c) if c in columns else F.col(c) for c in df.columns if c != "part__"])
+
+
 def fallback_lookup(levels: Sequence[tuple[str, DataFrame, Sequence[str]]], queries: DataFrame, values: Sequence[str], constants: Mapping[str, float], support: str = "n", least: int = 5) -> DataFrame:
     """queries with values from the first level that has enough support, and that level's name.
 

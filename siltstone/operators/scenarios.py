@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siltstone.operators.relational import running_sums
+from siltstone.sources.scratch import written
+
 
 def hashed_normal(*keys: Column | str, seed: int = 42) -> Column:
     """A standard normal number that depends on the keys and the seed alone, so that every rerun draws it again."""
@@ -76,7 +79,7 @@ def renormalised(parts: Mapping[str, float]) -> Column:
 def cox_fit(rows: DataFrame, numeric: Sequence[str], rounds: int = 8) -> dict[str, float]:
     """Coefficients of a weighted proportional-hazards model (Breslow ties) of columns T, event, weight.
 
-    Each round sums the risk sets of distinct times with windows from the latest time down, after summing rows by
+    Each round sums the risk sets of distinct times from the latest time down, by ranges of time, after summing rows by
     time; only a gradient and a matrix of the number of columns squared reach the driver."""
     beta = np.zeros(len(numeric))
     pairs = [(i, j) for i in range(len(numeric)) for j in range(i, len(numeric))]
@@ -86,9 +89,8 @@ def cox_fit(rows: DataFrame, numeric: Sequence[str], rounds: int = 8) -> dict[st
         d = F.when(F.col("event") == 1, F.col("weight")).otherwise(0.0)
         sums = [F.sum("r").alias("s")] + [F.sum(F.col("r") * F.col(c)).alias(f"s{i}") for i, c in enumerate(numeric)] + [F.sum(F.col("r") * F.col(numeric[i]) * F.col(numeric[j])).alias(f"s{i}_{j}") for i, j in pairs]
         times = r.groupBy("T").agg(F.sum(d).alias("d"), *[F.sum(d * F.col(c)).alias(f"d{i}") for i, c in enumerate(numeric)], *sums)
-        later = W.orderBy(F.desc("T")).rowsBetween(W.unboundedPreceding, 0)
         names = ["s", *[f"s{i}" for i in range(len(numeric))], *[f"s{i}_{j}" for i, j in pairs]]
-        risk = times.select("d", *[f"d{i}" for i in range(len(numeric))], *[F.sum(x).over(later).alias(x) for x in names]).where("d > 0")
+        risk = running_sums(written(times, "times"), "T", names, descending=True).where("d > 0")
         got = risk.agg(*[F.sum(F.col(f"d{i}") - F.col("d") * F.col(f"s{i}") / F.col("s")).alias(f"g{i}") for i in range(len(numeric))], *[F.sum(F.col("d") * (F.col(f"s{i}_{j}") / F.col("s") - F.col(f"s{i}") * F.col(f"s{j}") / (F.col("s") * F.col("s")))).alias(f"h{i}_{j}") for i, j in pairs]).first()
         gradient = np.array([got[f"g{i}"] for i in range(len(numeric))])
         information = np.zeros((len(numeric), len(numeric)))

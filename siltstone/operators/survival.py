@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.functions.expressions import clip
-from siltstone.operators.relational import quantile_bins, value_ranks
+from siltstone.operators.relational import quantile_bins, running_sums, value_ranks
 from siltstone.sources.scratch import written
 
 
@@ -123,6 +123,7 @@ def concordance(rows: DataFrame, risk: str) -> DataFrame:
     after = W.partitionBy("part").orderBy("T").rowsBetween(1, W.unboundedFollowing)
     across = lower.withColumn("later", F.coalesce(F.sum("lower").over(after), F.lit(0))).agg(F.coalesce(F.sum(F.col("events") * F.col("later")), F.lit(0.0)).alias("across"))
     totals = by_time.groupBy("T").agg(F.sum("n").alias("n"), F.sum("events").alias("events"))
-    usable = totals.withColumn("later", F.coalesce(F.sum("n").over(W.orderBy("T").rowsBetween(1, W.unboundedFollowing)), F.lit(0))).agg(F.coalesce(F.sum(F.col("events") * F.col("later")), F.lit(0.0)).alias("usable"))
+    from_here = running_sums(totals.withColumn("later", F.col("n")), "T", ["later"], descending=True).withColumn("later", F.col("later") - F.col("n"))
+    usable = from_here.agg(F.coalesce(F.sum(F.col("events") * F.col("later")), F.lit(0.0)).alias("usable"))
     both = usable.crossJoin(F.broadcast(within)).crossJoin(F.broadcast(across))
     return both.select(F.col("usable").cast("long").alias("usable"), F.when(F.col("usable") > 0, (F.col("within") + F.col("across")) / F.col("usable")).alias("c_index"))
