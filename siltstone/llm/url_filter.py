@@ -1,7 +1,7 @@
 """URL filters: a Bloom filter cascade decides membership in a list exactly, without joining the corpus.
 
-The universe is every key by which the corpus's URLs can match the list (host suffixes with path prefixes). Level 0 encodes the
-listed keys; level 1 encodes the keys of the universe that level 0 takes wrongly; level 2 the listed keys that
+The universe is every key by which the corpus's URLs can match the list: first their hosts' suffixes, then for listed hosts
+the lengths of that host's rules, then the paths' prefixes of these lengths. Level 0 encodes the listed keys; level 1 encodes the keys of the universe that level 0 takes wrongly; level 2 the listed keys that
 level 1 takes wrongly; and so on until no error is left. A key of the universe is listed exactly if the first
 level that refuses it has an odd number, or, where no level refuses it, if the number of levels is odd. The
 cascade's size follows the list, not the corpus: level 0's error rate is chosen from both counts so that each
@@ -13,15 +13,15 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import materialize
 
-#: A broadcast filter may have so many bits at most (128 MB); a longer list needs more executors' memory, so it is refused.
+#: A broadcast filter may have so many bits at most (128 MB); a longer list is split by hashes into cascades of its parts.
 MOST_BITS = 1 << 30
 #: Bits of a word, and words of a filter that come to the driver in one row.
 WORD_BITS, CHUNK_WORDS = 32, 1024
@@ -58,6 +58,10 @@ class Cascade:
             open_ &= ~refused
         return answer
 
+    def listed_digests(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Whether keys are listed, from their two digests."""
+        return self.listed([level_hashes(one, two, k) for k in range(len(self.levels))]) if self.levels else np.zeros(len(one), bool)
+
 
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
     x = x ^ np.uint64((seed * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
@@ -105,27 +109,61 @@ def _bits_of(keys: DataFrame, level: int, bits: int, hashes: int) -> np.ndarray:
 
 def _size(n: int, rate: float) -> tuple[int, int]:
     bits = max(64, math.ceil(-n * math.log(rate) / math.log(2) ** 2))
-    if bits > MOST_BITS:
-        raise ValueError(f"a level of {n} keys needs {bits} bits; {MOST_BITS} are allowed to be broadcast")
     return bits, max(1, round(bits / max(1, n) * math.log(2))) if n else 1
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, *, most_levels: int = 64) -> Cascade:
-    """The cascade for `listed` over `universe`; both have a column key and may hold repeated keys.
+def _first_rate(n: int, others: int) -> float:
+    """The error rate of level 0 that leaves about as many wrong keys as the list has, or fewer."""
+    return min(0.5, max(1e-6, math.sqrt(0.5) * n / max(1, others)))
+
 
-    Keys are told apart by two 64-bit digests together. Null keys are left out. An empty list gives a cascade
+def build_cascades(listed: DataFrame, universe: DataFrame, *, most_bits: int = MOST_BITS) -> list:
+    """Broadcast cascades for `listed` over `universe`, one for each part of the keys by their first digest; both have a column
+    key and may hold repeated keys.
+
+    There are as many parts as keep each filter within most_bits, so that a task holds one such filter, whatever the list's
+    length. Keys are told apart by two 64-bit digests together. Null keys are left out. An empty list gives one cascade
     without levels, which lists nothing.
     """
     spark = universe.sparkSession
     inside = materialize(listed.where(F.col("key").isNotNull()).select(*digests(F.col("key"))).distinct(), "listed")
     n = inside.count()
     if not n:
-        return Cascade()
+        return [spark.sparkContext.broadcast(Cascade())]
     all_keys = universe.where(F.col("key").isNotNull()).select(*digests(F.col("key")))
     total = all_keys.agg(F.approx_count_distinct(F.struct("one", "two"))).first()[0]
+    parts = -(-_size(n, _first_rate(n, total - n))[0] // most_bits)
+    if parts == 1:
+        return [spark.sparkContext.broadcast(_cascade(inside, all_keys, n, total))]
+    sizes = {r["part"]: r["n"] for r in inside.groupBy(_part(parts).alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    out = []
+    for p in range(parts):
+        mine, theirs = (side.where(_part(parts) == p) for side in (inside, all_keys))
+        found = _cascade(mine, theirs, sizes[p], max(sizes[p], total // parts)) if p in sizes else Cascade()
+        out.append(spark.sparkContext.broadcast(found))
+    return out
+
+
+def _part(parts: int) -> Column:
+    return F.pmod("one", F.lit(parts))
+
+
+def build_cascade(listed: DataFrame, universe: DataFrame, *, most_levels: int = 64) -> Cascade:
+    """The one cascade for `listed` over `universe`, as long as it comes out; see build_cascades."""
+    inside = materialize(listed.where(F.col("key").isNotNull()).select(*digests(F.col("key"))).distinct(), "listed")
+    n = inside.count()
+    if not n:
+        return Cascade()
+    all_keys = universe.where(F.col("key").isNotNull()).select(*digests(F.col("key")))
+    return _cascade(inside, all_keys, n, all_keys.agg(F.approx_count_distinct(F.struct("one", "two"))).first()[0], most_levels)
+
+
+def _cascade(inside: DataFrame, all_keys: DataFrame, n: int, total: int, most_levels: int = 64) -> Cascade:
+    """The cascade for n distinct digests over those of a universe of some total."""
+    spark = inside.sparkSession
     cascade, sides, counts = Cascade(), [inside, all_keys], [n, max(1, total - n)]
     for k in range(most_levels):
-        rate = 0.5 if k else min(0.5, max(1e-6, math.sqrt(0.5) * n / counts[1]))
+        rate = 0.5 if k else _first_rate(n, counts[1])
         bits, hashes = _size(counts[k % 2], rate)
         cascade.levels.append(Level(bits, hashes, _bits_of(sides[k % 2], k, bits, hashes)))
         taken = _tested(spark, sides[1 - k % 2], cascade.levels[-1], k).distinct()
@@ -161,62 +199,99 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
 
 
-def candidate_keys(host: Column, path: Column, labels: list[int], lengths: list[int]) -> Column:
-    """The rules that could fit, longest first: suffixes of the host with as many labels as rule hosts have, with
-    the path's prefixes of the lengths that rule paths have. The list alone bounds their number."""
-    suffixes = F.array_compact(F.array(*[F.when(F.size(F.split(host, r"\.", n + 1)) > n, F.substring_index(host, ".", -n)).when(F.size(F.split(host, r"\.")) == n, host) for n in labels]))
-    prefixes = F.filter(F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths]), lambda p: p.isNotNull())
-    pairs = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(h, p))))
-    return F.when((host == "") | (F.size(prefixes) == 0), F.array().cast("array<string>")).otherwise(F.array_distinct(pairs))
+def keep_listed(rows: DataFrame, column: str, cascades: list) -> DataFrame:
+    """rows with those elements of a column, an array of strings, that the cascades list, in their order.
+
+    One cascade is asked where the rows are. Of several, each sees the keys of its part, and what they list is brought
+    together by row; a row's keys are few."""
+    if len(cascades) == 1:
+        shared = cascades[0]
+        at, width = rows.columns.index(column), len(rows.columns)
+
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
 
+            for batch in batches:
+                lists, one, two = batch.column(at), *(batch.column(width + k).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for k in (0, 1))
+                keep = shared.value.listed_digests(one, two)
+                row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=batch.num_rows))])
+                kept = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), lists.flatten().filter(pa.array(keep))).cast(lists.type)
+                yield pa.RecordBatch.from_arrays([kept if k == at else batch.column(k) for k in range(width)], names=batch.schema.names[:width])
 
-def judge_urls(pages: DataFrame, rules: DataFrame, *, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+        hashed = rows.select("*", F.transform(column, lambda k: F.xxhash64(k)).alias("one__"), F.transform(column, lambda k: F.xxhash64(k, F.lit("second"))).alias("two__"))
+        return hashed.mapInArrow(run, rows.schema)
+    numbered = materialize(rows.withColumn("row__", F.monotonically_increasing_id()), "rows")
+    long = numbered.select("row__", F.posexplode(column).alias("at", "key")).select("row__", "at", "key", *digests(F.col("key")))
+
+    def asked(shared):
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            for batch in batches:
+                one, two = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for k in (3, 4))
+                yield batch.filter(pa.array(shared.value.listed_digests(one, two)))
+
+        return run
+
+    found = reduce(DataFrame.unionByName, [long.where(_part(len(cascades)) == p).mapInArrow(asked(shared), long.schema) for p, shared in enumerate(cascades)])
+    kept = found.groupBy("row__").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "key"))), lambda x: x["key"]).alias("kept__"))
+    none = F.array().cast("array<string>")
+    return numbered.join(kept, "row__", "left").select(*[F.coalesce("kept__", none).alias(c) if c == column else F.col(c) for c in rows.columns])
+
+
+def host_suffixes(host: Column, labels: list[int]) -> Column:
+    """The host's suffixes with as many labels as rule hosts have, the longest first."""
+    split = F.split(host, r"\.")
+    found = F.array_compact(F.array(*[F.when(F.size(split) > n, F.substring_index(host, ".", -n)).when(F.size(split) == n, host) for n in labels]))
+    return F.when(host == "", F.array().cast("array<string>")).otherwise(found)
+
+
+def candidates(pages: DataFrame, rules: DataFrame, id_col: str, url_col: str, most_bits: int) -> DataFrame:
+    """page_id, host, path and keys, written: the host's listed suffixes with the path's prefixes of the lengths which that
+    suffix's own rules have. Other hosts have no keys, however many rules and lengths there are."""
+    lengths = [r[0] for r in rules.select("n").distinct().orderBy(F.desc("n")).collect()]
+    labels = [r[0] for r in rules.select(F.size(F.split("rule_host", r"\.")).alias("n")).distinct().orderBy(F.desc("n")).collect()]
+    none = F.array().cast("array<string>")
+    host, path = url_parts(F.coalesce(F.col(url_col), F.lit("")))
+    urls = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
+    urls = materialize(urls.withColumn("keys", host_suffixes(F.col("host"), labels) if labels else none), "hosts")
+    suffixes = urls.select(F.explode("keys").alias("key"))
+    urls = materialize(keep_listed(urls, "keys", build_cascades(rules.select(F.col("rule_host").alias("key")), suffixes, most_bits=most_bits)), "listed_hosts")
+    place = lambda n, h: F.concat(n.cast("string"), F.lit(" "), h)
+    every = F.array(*[F.lit(n) for n in lengths]).cast("array<int>")
+    seen = urls.select(F.explode("keys").alias("seen")).distinct()
+    places = seen.select(F.explode(F.transform(every, lambda n: place(n, F.col("seen")))).alias("key"))
+    has_length = build_cascades(rules.select(place(F.col("n"), F.col("rule_host")).alias("key")), places, most_bits=most_bits)
+    fits = F.filter(every, lambda n: n <= F.length("path"))
+    urls = urls.withColumn("keys", F.flatten(F.transform("keys", lambda h: F.transform(fits, lambda n: place(n, h)))))
+    urls = keep_listed(urls, "keys", has_length)
+    length = lambda k: F.substring_index(k, " ", 1)
+    key = lambda k: F.concat(F.substr(k, F.length(length(k)) + 2), F.substr(F.col("path"), F.lit(1), length(k).cast("int")))
+    return materialize(urls.withColumn("keys", F.array_distinct(F.transform("keys", key))), "keys")
+
+
+def judge_urls(pages: DataFrame, rules: DataFrame, *, default: str = "allow", id_col: str = "page_id", url_col: str = "url", most_bits: int = MOST_BITS) -> DataFrame:
     """page_id, host, path, rule, verdict for every row of pages; rules has host, path and verdict.
 
     A rule fits its host and all subdomains where the URL's path starts with the rule's path; the longest
     (host and path together) wins. URLs that no rule fits get `default`, as nothing lists them. Verdicts are
-    decided by two cascades over the corpus's keys: one tells which keys are rules, one which of them block.
-    Null URLs and those without :// have an empty host and path and fit no rule. Repeated rows are judged row
-    by row; a rule that is listed twice must not contradict itself (blocking wins). An empty list gives every URL
-    `default`, an empty table no rows; very long URLs are judged whole. The rules' distinct path lengths and numbers
-    of labels are collected, nothing else of them.
+    decided by cascades over the corpus's keys: which suffixes are rules' hosts, which lengths their paths have, which keys are
+    rules, and which rules block. Null URLs and those without :// have an empty host and path and fit no rule. Repeated rows
+    are judged row by row; a rule that is listed twice must not contradict itself (blocking wins). An empty list gives every
+    URL `default`, an empty table no rows; very long URLs are judged whole. The rules' distinct path lengths and numbers
+    of labels are collected, nothing else of them; a list of any length is split so that no filter exceeds most_bits.
     """
-    spark = pages.sparkSession
-    clean = rules.where(F.col("host").isNotNull()).select(F.concat(F.lower("host"), F.coalesce("path", F.lit("/"))).alias("key"), F.length(F.coalesce("path", F.lit("/"))).alias("n"), "verdict")
-    lengths = [r[0] for r in clean.select("n").distinct().orderBy(F.desc("n")).collect()]
-    labels = [r[0] for r in clean.select(F.size(F.split(F.substring_index("key", "/", 1), r"\.")).alias("n")).distinct().orderBy(F.desc("n")).collect()]
-    host, path = url_parts(F.coalesce(F.col(url_col), F.lit("")))
-    urls = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    urls = urls.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), labels, lengths) if lengths else F.array().cast("array<string>"))
-    universe = urls.select(F.explode("keys").alias("key"))
-    is_rule = build_cascade(clean.select("key"), universe)
-    blocks = build_cascade(clean.where(F.col("verdict") == "block").select("key"), clean.select("key"))
-    shared = spark.sparkContext.broadcast((is_rule, blocks))
-    keyed = urls.select("page_id", "host", "path", "keys", F.transform("keys", lambda k: F.xxhash64(k)).alias("one"), F.transform("keys", lambda k: F.xxhash64(k, F.lit("second"))).alias("two"))
-
-    def run(frames: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        def listed(cascade: Cascade, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-            if not cascade.levels:
-                return np.zeros(len(one), bool)
-            return cascade.listed([level_hashes(one, two, k) for k in range(len(cascade.levels))])
-
-        is_rule, blocks = shared.value
-        for batch in frames:
-            keys, one, two = (batch.column(k).flatten() for k in (3, 4, 5))
-            one, two = (x.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for x in (one, two))
-            row = np.repeat(np.arange(batch.num_rows), batch.column(3).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-            hit = np.flatnonzero(listed(is_rule, one, two))
-            size = pa.compute.utf8_length(keys.take(pa.array(hit))).to_numpy(zero_copy_only=False) if len(hit) else hit
-            order = np.lexsort((-size, row[hit]))
-            rows, first = np.unique(row[hit][order], return_index=True)
-            best = hit[order][first]
-            rule = np.full(batch.num_rows, None, object)
-            verdict = np.full(batch.num_rows, default, object)
-            rule[rows] = keys.take(pa.array(best)).to_pylist() if len(best) else []
-            verdict[rows] = np.where(listed(blocks, one[best], two[best]), "block", "allow")
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=["page_id", "host", "path", "rule", "verdict"])
-
-    schema = T.StructType([T.StructField("page_id", keyed.schema["page_id"].dataType), *[T.StructField(c, T.StringType()) for c in ("host", "path", "rule", "verdict")]])
-    return keyed.mapInArrow(run, schema)
+    rule_host, rule_path = F.lower("host"), F.coalesce("path", F.lit("/"))
+    clean = rules.where(F.col("host").isNotNull()).select(rule_host.alias("rule_host"), F.concat(rule_host, rule_path).alias("key"), F.length(rule_path).alias("n"), "verdict")
+    urls = candidates(pages, clean, id_col, url_col, most_bits)
+    is_rule = build_cascades(clean.select("key"), urls.select(F.explode("keys").alias("key")), most_bits=most_bits)
+    blocks = build_cascades(clean.where(F.col("verdict") == "block").select("key"), clean.select("key"), most_bits=most_bits)
+    found = keep_listed(urls, "keys", is_rule)
+    # of equally long ones the first, whose host is longest
+    best = F.array_max(F.transform("keys", lambda k, i: F.struct(F.length(k).alias("n"), (-i).alias("place"), k.alias("key"))))["key"]
+    ruled = found.select("page_id", "host", "path", F.array_compact(F.array(best)).alias("rule"))
+    rule = F.get("rule", F.lit(0))
+    blocked = keep_listed(ruled.withColumn("blocked", F.col("rule")), "blocked", blocks)
+    verdict = F.when(rule.isNull(), F.lit(default)).when(F.size("blocked") > 0, F.lit("block")).otherwise(F.lit("allow"))
+    return blocked.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"))
