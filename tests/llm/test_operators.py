@@ -440,8 +440,8 @@ def test_url_cascade(spark):
 
 def test_url_list_of_many_lengths_and_parts(spark):
     """Keys follow a host's own rules, however many lengths the list has; a list beyond the largest filter is split."""
-    rules = [(f"h{i}.com", "/" + "x" * i, "block" if i % 3 else "allow") for i in range(150)] + [("h7.com", "/" + "x" * 20, "allow"), ("com", "/" + "x" * 90, "block")]
-    urls = [(i, f"https://www.h{i % 170}.com/" + "x" * (i * 7 % 160) + "?q") for i in range(400)]
+    rules = [(f"h{i}.com", "/" + "x" * i, "block" if i % 3 else "allow") for i in range(100)] + [("h7.com", "/" + "x" * 20, "allow"), ("com", "/" + "x" * 90, "block")]
+    urls = [(i, f"https://www.h{i % 110}.com/" + "x" * (i * 7 % 160) + "?q") for i in range(400)]
     pages, table = spark.createDataFrame(urls, "page_id long, url string").repartition(3), spark.createDataFrame(rules, "host string, path string, verdict string")
     for most_bits in (1 << 30, 64):
         assert listed(url_filter.judge_urls(pages, table, most_bits=most_bits), "page_id", "host", "path", "rule", "verdict") == brute_urls(urls, rules)
@@ -450,7 +450,7 @@ def test_url_list_of_many_lengths_and_parts(spark):
     for r in url_filter.candidates(pages, keys, "page_id", "url", 1 << 30).collect():
         assert len(r["keys"]) <= own[r["host"].removeprefix("www.")] + own["com"]
     split = url_filter.build_cascades(keys.select("key"), keys.select(F.concat("key", F.lit("y")).alias("key")), most_bits=64)
-    assert len(split) > 2 and all(level.bits <= 128 for c in split for level in c.value.levels)
+    assert len(split) >= 2 and all(level.bits <= 128 for c in split for level in c.value.levels)
 
 
 def test_very_long_urls(spark):
