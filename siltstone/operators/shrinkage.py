@@ -141,3 +141,43 @@ def shrunk_rates(events: DataFrame, key: str, group: str, t: str, mark: Column,
         (F.col("alpha") / F.col("beta")).alias("branching"), (F.col("mu") + F.col("alpha") * F.col("now")).alias("intensity"), "fragility", F.least("fragility", F.lit(100.0)).alias("practical"),
         F.coalesce("low", 0.3 * F.col("fragility")).alias("low"), F.coalesce("high", 3 * F.col("fragility")).alias("high"), (F.col("mu") >= RELIABLE * F.col("n") / F.col("span")).alias("reliable"),
     )
+
+
+def near_events(events: DataFrame, near: DataFrame, place: str, sigma: float) -> DataFrame:
+    """One row for each event and place that it reaches: centre, the event's columns, near_weight = exp(-km / sigma), and own:
+    whether it happened there. near holds centre, place and km, one row a pair."""
+    pairs = near.select("centre", F.col(place).alias("near_place"), "km")
+    joined = events.join(pairs, F.col(place) == F.col("near_place")).drop("near_place")
+    return joined.withColumn("near_weight", F.exp(-F.col("km") / sigma)).withColumn("own", (F.col("centre") == F.col(place)).cast("int")).drop("km")
+
+
+def likelihood_ratio(events: DataFrame, key: str, t: str, mark: Column, rates: DataFrame, own: Column | None = None) -> DataFrame:
+    """key, ll, ll_poisson, lr, p_value: fitted rates (key, beta, mu, alpha, n, span, i1) against a constant rate.
+
+    lr is twice the difference, not below 0. Least squares is not the likelihood's top, so the test errs towards the
+    constant rate. p_value is chi square's with 2 degrees of freedom, e^(-lr / 2). A key without events of its own has 0
+    and 1."""
+    known = events.where(F.col(key).isNotNull() & F.col(t).isNotNull())
+    times = known.groupBy(key, t).agg(F.sum(F.lit(1) if own is None else own).alias("c"), F.sum(mark).alias("m"))
+    logs = []
+    for r in rates.select("beta").distinct().orderBy("beta").collect():
+        own_rates = rates.where(F.col("beta") == r["beta"]).select(key, "mu", "alpha")
+        k = kernel_sum(times.join(own_rates.select(key), key, "left_semi"), key, t, F.col("m"), r["beta"]).join(own_rates, key)
+        logs.append(k.where("c > 0").groupBy(key).agg(F.sum(F.col("c") * F.log(F.col("mu") + F.col("alpha") * F.col("A"))).alias("logs")))
+    if not logs:
+        return rates.select(key, *[F.lit(v).alias(c) for c, v in (("ll", 0.0), ("ll_poisson", 0.0), ("lr", 0.0), ("p_value", 1.0))])
+    both = rates.join(reduce(DataFrame.unionByName, logs), key, "left")
+    n, span = F.col("n"), F.col("span")
+    ll = F.coalesce("logs", F.lit(0.0)) - F.when(n > 0, F.col("mu") * span + F.col("alpha") * F.col("i1")).otherwise(0.0)
+    poisson = F.when(n > 0, n * F.log(n / span) - n).otherwise(0.0)
+    lr = F.greatest(F.lit(0.0), 2 * (ll - poisson))
+    return both.select(key, ll.alias("ll"), poisson.alias("ll_poisson"), lr.alias("lr"), F.exp(-lr / 2).alias("p_value"))
+
+
+def local_rates(events: DataFrame, key: str, t: str, mark: Column, betas: Sequence[float], own: Column | None = None) -> DataFrame:
+    """For each key its own best decay rate with mu, alpha, n, span, i1 and branching, and the test against a constant rate."""
+    totals = kernel_moments(events, key, t, mark, betas, own).groupBy(key, "beta").agg(*[F.sum(c).alias(c) for c in SUMS])
+    fits = least_squares(totals)
+    best = fits.groupBy(key).agg(F.min_by(F.struct("beta", "mu", "alpha", "n", "span", "i1"), F.struct(-F.round("gain", 9), "beta")).alias("best"))
+    rates = written(best.select(key, "best.*"), "local_rates")
+    return rates.withColumn("branching", F.col("alpha") / F.col("beta")).join(likelihood_ratio(events, key, t, mark, rates, own), key)

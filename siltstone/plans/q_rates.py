@@ -74,3 +74,26 @@ def junction_fragility(spark, sf):
 
 SOURCE = f"{I.CLICKS_SQL}, src AS (SELECT junction AS key, CAST(zone AS VARCHAR) AS grp, t / 3600000000.0::DOUBLE AS h, 1 AS own, trust AS m FROM clicks)"
 register("junction_fragility", junction_fragility, f"{rates_sql(SOURCE, BETAS, 60, 40, 10.0)} SELECT key AS junction, grp AS zone, n, level, reliable, {ROUNDED} FROM result")
+
+
+SIGMA, REACH = 2.0, 6.0  # km; beyond REACH an event's weight is below 5 %
+
+
+def spatial_excitation(spark, sf):
+    """For each junction the rate of its own events as excited by all events within 6 km, weighted by distance, and the test
+    against a constant rate."""
+    c = I.clicks(spark, sf)
+    places = I.junctions(c).select("junction", "lat", "lon")
+    near = G.within_radius(places.withColumnRenamed("junction", "centre"), places, REACH, "centre", "junction").withColumnRenamed("near_junction", "junction")
+    rows = H.near_events(c.select("junction", "t"), near, "junction", SIGMA)
+    out = H.local_rates(rows, "centre", "t", F.col("near_weight"), BETAS, F.col("own"))
+    preferred = (F.round("p_value", 6) < 0.05) & (F.col("alpha") > 0)
+    return out.select(F.col("centre").alias("junction"), F.col("n").cast("long").alias("n"), "beta", preferred.alias("excited"), *[r6(x).alias(x) for x in ("mu", "alpha", "branching", "p_value")], *[F.round(x, 4).alias(x) for x in ("ll", "ll_poisson", "lr")])
+
+
+NEAR = f"""{I.JUNCTIONS_SQL}, d AS (SELECT a.junction AS centre, b.junction, 2 * 6371 * asin(sqrt(least(1.0, sin(radians(b.lat - a.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2))) AS km FROM junctions a, junctions b),
+src AS (SELECT d.centre AS key, 'all' AS grp, t / 3600000000.0::DOUBLE AS h, CAST(d.centre = c.junction AS INTEGER) AS own, exp(-km / {SIGMA}::DOUBLE) AS m FROM clicks c JOIN d ON d.junction = c.junction AND km <= {REACH})"""
+register("spatial_excitation", spatial_excitation, f"""{rates_sql(NEAR, BETAS, 20, 1, reach=150)}, place AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY round(gain, 9) DESC, beta) AS place FROM gained), f AS (SELECT * FROM place WHERE place.place = 1),
+l AS (SELECT k.key, sum(k.c * ln(f.mu + f.alpha * k.A)) FILTER (k.c > 0) AS logs FROM kernel k JOIN f ON f.key = k.key AND f.beta = k.beta GROUP BY k.key),
+q AS (SELECT f.*, logs - mu * span - alpha * i1 AS ll, n * ln(n / span) - n AS ll_poisson FROM f JOIN l ON l.key = f.key), v AS (SELECT *, greatest(0, 2 * (ll - ll_poisson)) AS lr FROM q)
+SELECT key AS junction, CAST(n AS BIGINT) AS n, beta, round(exp(-lr / 2), 6) < 0.05 AND alpha > 0 AS excited, round(mu, 6) AS mu, round(alpha, 6) AS alpha, round(alpha / beta, 6) AS branching, round(exp(-lr / 2), 6) AS p_value, round(ll, 4) AS ll, round(ll_poisson, 4) AS ll_poisson, round(lr, 4) AS lr FROM v""")
