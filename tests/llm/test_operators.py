@@ -407,6 +407,18 @@ def test_pii_finds_planted_spans_beyond_the_base(spark):
     assert sum(got[i]["n_spans"] > 2 * (i % 3 == 0) for i in decoys) <= 0.05 * len(decoys)
 
 
+def test_pii_has_no_longest_candidate(spark):
+    """Secrets and spelled addresses of any length are found, as the short ones beside them are."""
+    rows, want = [], {}
+    for i in range(300):
+        secret, spelled = ("0123456789abcdef" * 40)[i % 16 :][: 40 if i % 3 else 500], "u" * (5 if i % 3 else 90) + f"{i} [at] mail [dot] org"
+        given, kind, value = ('token = "', "secret", secret) if i % 2 else ("mail ", "email", spelled)
+        rows.append((i, f"the river {given}{value}{'"' if i % 2 else ''} of stone"))
+        want[i] = f"{kind}:{10 + len(given)}:{10 + len(given) + len(value)}"
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert all(want[i] in got[i].split(",") for i in want)
+
+
 def test_many_matches_in_one_text_are_placed(spark):
     text = "😀 mail a.b@c.example.org now " * 20_000
     spans = spark.createDataFrame([(text,), ("",), ("x",)], "text string").select(pii.located(F.col("text"), pii.EMAIL).alias("s")).collect()
