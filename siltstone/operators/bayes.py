@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.functions.expressions import clip
-from siltstone.operators.relational import fallback_lookup
+from siltstone.operators.relational import exact_quantiles, fallback_lookup, quantile_bins, value_ranks
 
 
 def forgetting(age_days: Column, half_life: float = 30.0) -> Column:
@@ -25,6 +25,26 @@ def weighted_moments(rows: DataFrame, keys: Sequence[str], x: Column, w: Column,
     return sums.select(*keys, "n", (F.col("sw") * F.col("sw") / F.col("sww")).alias("n_eff"), mean.alias("mean"), F.greatest(F.lit(floor), F.col("swxx") / F.col("sw") - mean * mean).alias("variance"))
 
 
+def trimmed_moments(rows: DataFrame, x: str, w: str, trim: float = 0.05, floor: float = 1e-6) -> DataFrame:
+    """One row: n, mean and variance, both weighted by w, of the rows that are left when the share `trim`, and one row at
+    least, of each end is cut off by x.
+
+    Rows of equal x are one cell, of whose weight the part of its rows that stay counts, so that ties are cut alike whatever
+    their order. With fewer than 4 rows, or 2 that stay, nothing is cut. Rows without x or w go; without rows mean and
+    variance are null."""
+    known = rows.where(F.col(x).isNotNull() & F.col(w).isNotNull() & ~F.isnan(x))
+    cells = known.groupBy(x).agg(F.sum(w).alias("w")).join(value_ranks(known, x).drop("part"), x)
+    total = known.agg(F.count(F.lit(1)).alias("total"))
+    cut = F.greatest(F.lit(1), F.floor(F.col("total") * F.lit(trim)))
+    cut = F.when((F.col("total") < 4) | (F.col("total") - 2 * cut < 2), 0).otherwise(cut)
+    kept = F.greatest(F.lit(0), F.least(F.col("below") + F.col("n"), F.col("total") - F.col("cut")) - F.greatest(F.col("below"), F.col("cut")))
+    left = cells.crossJoin(F.broadcast(total)).withColumn("cut", cut).withColumn("kept", kept).withColumn("share", F.col("w") * F.col("kept") / F.col("n"))
+    sums = left.agg(F.coalesce(F.sum("kept"), F.lit(0)).alias("n"), F.sum("share").alias("sw"), F.sum(F.col("share") * F.col(x)).alias("swx"), F.sum(F.col("share") * F.col(x) * F.col(x)).alias("swxx"))
+    mean = F.col("swx") / F.col("sw")
+    spread = F.col("swxx") / F.col("sw") - mean * mean
+    return sums.where("n = 0 or sw <> 0").select("n", mean.alias("mean"), F.when(spread.isNotNull(), F.greatest(F.lit(floor), spread)).alias("variance"))
+
+
 def normal_posterior(prior: DataFrame, prior_keys: Sequence[str], feedback: DataFrame, x: Column, w: Column, strata: Sequence[str], least: int = 3) -> DataFrame:
     """For each stratum of the feedback: its prior from the first supported level, and the normal posterior.
 
@@ -52,6 +72,35 @@ def prequential(rows: DataFrame, keys: Sequence[str], order: Sequence[str], x: s
     return out.withColumn("covered", F.abs(F.col(x) - F.col("predictive_mean")) <= half)
 
 
+def sharpness_curve(rows: DataFrame, width: str, covered: str, bins: int = 20) -> DataFrame:
+    """bin, n, interval_width, empirical_coverage: the share of covered rows by bins of equal numbers of rows, from narrow
+    to wide intervals. There are at most `bins`, one for five rows, and three at least; equal edges are one. Rows without width or
+    verdict go; an empty table gives no rows."""
+    known = rows.where(F.col(width).isNotNull() & F.col(covered).isNotNull())
+    counts = known.groupBy(width).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(covered).cast("int")).alias("hits"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    edges = exact_quantiles(known, width, min(bins, max(3, total // 5)))
+    numbered = counts.withColumn("bin", quantile_bins(F.col(width), F.array(*[F.lit(e) for e in edges])) if edges else F.lit(1))
+    return numbered.groupBy("bin").agg(F.sum("n").alias("n"), (F.sum(F.col(width) * F.col("n")) / F.sum("n")).alias("interval_width"), (F.sum("hits") / F.sum("n")).alias("empirical_coverage"))
+
+
+def forecast_quality(rows: DataFrame, x: str, mean: str, predictive_sd: str, posterior_sd: str, crps: Column, level_z: float = 1.959964) -> DataFrame:
+    """metric, value: coverage of 95 % intervals with and without the spread of observations, their widths, CRPS, mean spreads,
+    coverage per width and distance from 95 %."""
+    p, q, miss = F.col(predictive_sd), F.col(posterior_sd), F.abs(F.col(x) - F.col(mean))
+    known = rows.where(miss.isNotNull() & p.isNotNull()).withColumn("width", 2 * level_z * p)
+    a = known.agg(
+        F.avg((miss <= level_z * p).cast("double")).alias("coverage"), F.avg((miss <= level_z * q).cast("double")).alias("coverage_param"), F.avg("width").alias("width"), F.avg(crps).alias("crps"),
+        F.avg(p).alias("predictive"), F.avg(q).alias("posterior"), F.avg(F.sqrt(F.greatest(p * p - q * q, F.lit(0.0)))).alias("observation"),
+    )
+    median = exact_quantiles(known, "width", 2)
+    values = {
+        "coverage_95": F.col("coverage"), "coverage_95_param_only": F.col("coverage_param"), "coverage_delta": F.col("coverage") - F.col("coverage_param"), "mean_sharpness": F.col("width"), "median_sharpness": F.lit(median[1] if median else None).cast("double"),
+        "crps": F.col("crps"), "mean_predictive_sd": F.col("predictive"), "mean_posterior_sd": F.col("posterior"), "mean_observation_sd": F.col("observation"), "sharpness_efficiency": F.when(F.col("width") > 0, F.col("coverage") / F.col("width")), "coverage_penalty": F.abs(F.col("coverage") - 0.95),
+    }
+    return a.select(F.inline(F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in values.items()])))
+
+
 def calibration_bins(rows: DataFrame, p: str, y: str, bins: int = 10, closed_last: bool = True) -> DataFrame:
     """bin, n, mean_p and rate for equal bins of p; p = 1 is in the last bin, or left out."""
     b = F.floor(F.col(p) * bins).cast("int")

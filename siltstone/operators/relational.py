@@ -46,6 +46,21 @@ def value_ranks(df: DataFrame, value: str) -> DataFrame:
     return ranged.withColumn("within", F.coalesce(F.sum("n").over(within), F.lit(0))).join(F.broadcast(parts), "part").select(value, "n", (F.col("before") + F.col("within")).alias("below"), "part")
 
 
+def exact_quantiles(df: DataFrame, value: str, steps: int) -> list[float]:
+    """The values at 0, 1/steps, 2/steps, ... of the way through the sorted rows, between two rows in proportion; none
+    without rows. Each range of values finds the places that lie in it; steps + 1 numbers reach the driver."""
+    ranks = value_ranks(df, value)
+    rows = ranks.agg(F.sum("n")).first()[0]
+    if not rows:
+        return []
+    places = [divmod((rows - 1) * i, steps) for i in range(steps + 1)]
+    wanted = sorted({at for at, _ in places} | {min(at + 1, rows - 1) for at, _ in places})
+    asked = df.sparkSession.createDataFrame([(at,) for at in wanted], "at long")
+    hits = ranks.join(F.broadcast(asked), (F.col("at") >= F.col("below")) & (F.col("at") < F.col("below") + F.col("n")))
+    found = {r["at"]: float(r[value]) for r in hits.select("at", value).collect()}
+    return [found[at] + (found[min(at + 1, rows - 1)] - found[at]) * (rest / steps) for at, rest in places]
+
+
 def running_sums(df: DataFrame, order: str, columns: Sequence[str], *, descending: bool = False, part: str | None = None) -> DataFrame:
     """df, one row for each value of order, with the columns summed over that row and all before it.
 

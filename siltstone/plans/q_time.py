@@ -259,6 +259,54 @@ SELECT event_cause, count(*) AS n, round(avg(CASE WHEN abs(x - pm) <= 1.959964 *
   round(avg(greatest(0, least(1e6, ln(1 / s) + (s * s + (pm - 2) ** 2) / 2 - 0.5))), 6) AS kl FROM r GROUP BY event_cause""")
 
 
+def _forecasts(spark, sf):
+    rows = B.prequential(I.clicks(spark, sf).withColumn("x", F.log1p("duration")), ["event_cause", "corridor"], ["t", "event_id"], "x", 2.0, 0.8)
+    return rows.withColumn("predictive_sd", F.sqrt("predictive_variance")).withColumn("posterior_sd", F.sqrt(0.8 * (1 / (1 + F.col("n_before"))))).withColumn("width", 3.919928 * F.col("predictive_sd"))
+
+
+FORECASTS_SQL = f"""{I.CLICKS_SQL}, x AS (SELECT *, ln(1 + duration) AS x FROM clicks),
+b AS (SELECT *, count(*) OVER w AS nb, coalesce(sum(x) OVER w, 0) AS tb FROM x WINDOW w AS (PARTITION BY event_cause, corridor ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+p AS (SELECT *, (2.0 + tb) / (1 + nb) AS pm, sqrt(0.8 * (1 + 1.0::DOUBLE / (1 + nb))) AS s, sqrt(0.8 * (1.0::DOUBLE / (1 + nb))) AS posterior FROM b),
+f AS (SELECT *, 3.919928 * s AS width, abs(x - pm) <= 1.959964 * s AS covered, (x - pm) / s AS z, 1 / (1 + abs((x - pm) / s) / sqrt(2) * 0.5) AS u FROM p)"""
+
+
+def sharpness_curve(spark, sf):
+    """Coverage of the forecasts' intervals by bins of their width."""
+    return B.sharpness_curve(_forecasts(spark, sf), "width", "covered").select(F.col("bin").cast("long").alias("bin"), "n", r6("interval_width").alias("interval_width"), r6("empirical_coverage").alias("empirical_coverage"))
+
+
+register("sharpness_curve", sharpness_curve, f"""WITH {FORECASTS_SQL}, l AS (SELECT list(width ORDER BY width) AS l, count(*) AS n, least(20, greatest(3, count(*) // 5)) AS bins FROM f),
+e AS (SELECT list_distinct(list_transform(range(0, bins + 1), lambda i: l[CAST((n - 1) * i // bins + 1 AS BIGINT)] + (l[CAST(least((n - 1) * i // bins + 2, n) AS BIGINT)] - l[CAST((n - 1) * i // bins + 1 AS BIGINT)]) * (((n - 1) * i % bins) / bins::DOUBLE))) AS edges FROM l)
+SELECT CAST(greatest(1, len(list_filter(edges, lambda v: v < width))) AS BIGINT) AS bin, count(*) AS n, round(avg(width), 6) AS interval_width, round(avg(CAST(covered AS INTEGER)), 6) AS empirical_coverage FROM f, e GROUP BY 1""")
+
+
+def forecast_quality(spark, sf):
+    """Calibration and sharpness of the forecasts in one table."""
+    crps = X.gaussian_crps(F.col("x"), F.col("predictive_mean"), F.col("predictive_sd"))
+    out = B.forecast_quality(_forecasts(spark, sf).drop("width"), "x", "predictive_mean", "predictive_sd", "posterior_sd", crps)
+    return out.select("metric", F.round("value", 5).alias("value"))
+
+
+register("forecast_quality", forecast_quality, f"""WITH {FORECASTS_SQL}, r AS (SELECT *, u * exp(-z * z / 2 + ((((((((0.17087277 * u - 0.82215223) * u + 1.48851587) * u - 1.13520398) * u + 0.27886807) * u - 0.18628806) * u + 0.09678418) * u + 0.37409196) * u + 1.00002368) * u - 1.26551223) / 2 AS tail FROM f),
+a AS (SELECT avg(CAST(covered AS INTEGER)) AS c, avg(CAST(abs(x - pm) <= 1.959964 * posterior AS INTEGER)) AS cp, avg(width) AS w, quantile_cont(width, 0.5) AS med, avg({CRPS_SQL}) AS crps, avg(s) AS p, avg(posterior) AS q, avg(sqrt(greatest(s * s - posterior * posterior, 0))) AS o FROM r)
+SELECT metric, round(value, 5) AS value FROM (SELECT unnest(['coverage_95', 'coverage_95_param_only', 'coverage_delta', 'mean_sharpness', 'median_sharpness', 'crps', 'mean_predictive_sd', 'mean_posterior_sd', 'mean_observation_sd', 'sharpness_efficiency', 'coverage_penalty']) AS metric,
+unnest([c, cp, c - cp, w, med, crps, p, q, o, c / w, abs(c - 0.95)]) AS value FROM a)""")
+
+
+def trimmed_prior(spark, sf):
+    """The prior of all log durations without the outer 5 % at each end, weighted by trust, beside the plain one."""
+    c = I.clicks(spark, sf).withColumn("x", F.log1p("duration"))
+    plain = B.weighted_moments(c, [], F.col("x"), F.col("trust")).select(F.lit("plain").alias("prior"), "n", "mean", "variance")
+    cut = B.trimmed_moments(c, "x", "trust").select(F.lit("trimmed").alias("prior"), "n", "mean", "variance")
+    return plain.unionByName(cut).select("prior", "n", r6("mean").alias("mean"), r6("variance").alias("variance"))
+
+
+register("trimmed_prior", trimmed_prior, f"""WITH {I.CLICKS_SQL}, x AS (SELECT ln(1 + duration) AS x, trust AS w FROM clicks), v AS (SELECT x, count(*) AS n, sum(w) AS w FROM x GROUP BY x), r AS (SELECT *, coalesce(sum(n) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(n) OVER () AS total FROM v),
+k AS (SELECT x, kept, w * kept / n AS w FROM (SELECT *, greatest(0, least(below + n, total - greatest(1, floor(total * 0.05::DOUBLE))) - greatest(below, greatest(1, floor(total * 0.05::DOUBLE)))) AS kept FROM r))
+SELECT 'plain' AS prior, count(*) AS n, round(sum(w * x) / sum(w), 6) AS mean, round(greatest(1e-6, sum(w * x * x) / sum(w) - (sum(w * x) / sum(w)) ** 2), 6) AS variance FROM x
+UNION ALL SELECT 'trimmed', CAST(sum(kept) AS BIGINT), round(sum(w * x) / sum(w), 6), round(greatest(1e-6, sum(w * x * x) / sum(w) - (sum(w * x) / sum(w)) ** 2), 6) FROM k""")
+
+
 def _scored(spark, sf):
     c = I.clicks(spark, sf)
     return c.withColumn("p", F.round(X.clip(F.col("trust") * 0.6 + F.when(F.col("duration") > HIGH, 0.35).otherwise(0.05), 0.0, 1.0), 4)).withColumn("y", F.col("duration") > HIGH + F.col("k") / 10)
