@@ -130,3 +130,22 @@ def leaks(rows: DataFrame, known: dict[str, Column], at: Column, used: Sequence[
     audit = each.groupBy("feature").agg(F.count("known").alias("n"), late.alias("late"), F.greatest(F.lit(0), F.coalesce(F.max(F.datediff("known", "at")), F.lit(0))).alias("longest_delay"))
     verdict = F.when(~F.col("feature").isin(*used), "unused").when(F.col("late") > 0, "leak").otherwise("ok")
     return audit.withColumn("verdict", verdict)
+
+
+def averaging_weights(scores: DataFrame, tau: float = 1.0, eps: float = 1e-8) -> DataFrame:
+    """family, model, score, z, weight, confident for a table of models' scores (lower is better; family, model, score).
+
+    Models are compared within their family alone: z is the distance from the median over 1.4826 times the median absolute
+    distance, and weights are proportional to exp(-z / tau). A family with fewer than two valid scores is not confident and
+    has no weights; a model without a score keeps its row. Scores are a report's few rows."""
+    valid = scores.where(F.col("score").isNotNull() & ~F.isnan("score"))
+    median = valid.groupBy("family").agg(F.percentile("score", 0.5).alias("median"), F.count(F.lit(1)).alias("models"))
+    apart = valid.join(median, "family").withColumn("distance", F.abs(F.col("score") - F.col("median")))
+    scale = apart.groupBy("family").agg(F.percentile("distance", 0.5).alias("mad"))
+    z = apart.join(scale, "family").where("models > 1").withColumn("z", (F.col("score") - F.col("median")) / (1.4826 * F.col("mad") + eps))
+    low = z.groupBy("family").agg(F.min("z").alias("low"))
+    grown = z.join(low, "family").withColumn("grown", F.exp(-(F.col("z") - F.col("low")) / tau))
+    total = grown.groupBy("family").agg(F.sum("grown").alias("total"))
+    weighed = grown.join(total, "family").select("family", "model", "z", (F.col("grown") / F.col("total")).alias("weight"))
+    confident = F.coalesce(F.col("models") > 1, F.lit(False)).alias("confident")
+    return scores.join(weighed, ["family", "model"], "left").join(median.select("family", "models"), "family", "left").select("family", "model", "score", "z", "weight", confident)

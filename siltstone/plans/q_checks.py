@@ -9,6 +9,7 @@ from siltstone.operators import allocation as A
 from siltstone.operators import bayes as B
 from siltstone.operators import incidents as I
 from siltstone.operators import relational as R
+from siltstone.operators import reports as T
 from siltstone.operators import spatial as G
 from siltstone.operators import temporal as M
 from siltstone.plans import q_time  # noqa: F401  (its SQL is built on below)
@@ -134,3 +135,36 @@ g(scenario, o, w) AS (VALUES ('base', 0, 0), ('officers+2', 2, 0), ('tow+1', 0,
 e AS (SELECT scenario, o, w, mean_duration * ln(1 + burden) AS weight, least(0.9, 1 - exp(-(units * 0.18::DOUBLE + closure_rate * 0.25::DOUBLE))) AS e0, least(0.9, 1 - exp(-((units + o) * 0.18::DOUBLE + (closure_rate + w) * 0.25::DOUBLE))) AS e1 FROM u, g),
 t AS (SELECT scenario, o + w AS units, sum(weight * (e1 - e0)) AS saved, sum(weight * greatest(0, 0.9 - e0)) AS most, count(*) FILTER (WHERE e1 - e0 > 0.01) AS sites_improved FROM e GROUP BY ALL)
 SELECT scenario, round(saved, 6) AS minutes_saved, round(CASE WHEN most > 1e-9 THEN saved / most * 100 ELSE 0 END, 6) AS percent_of_reducible, sites_improved, round(CASE WHEN units > 0 AND most > 1e-9 THEN saved / most * 100 / units ELSE 0 END, 6) AS percent_per_unit FROM t""")
+
+
+LEVELS = {"everything": [], "cause": ["event_cause"], "cause_corridor": ["event_cause", "corridor"]}
+
+
+def model_averaging(spark, sf):
+    """Weights of competing models by their scores on the last quarter of the time: log durations by CRPS, closures by Brier
+    score, each at several levels of detail, and one model of high impact that has no rival."""
+    c = I.early(I.clicks(spark, sf), 0.75).withColumns({"x": F.log1p("duration"), "high": (F.col("duration") > q_time.HIGH).cast("double"), "shut": F.col("closure").cast("double")})
+    late, scored = c.where("not early"), []
+    for name, keys in LEVELS.items():
+        fit = c.where("early").groupBy(*keys).agg(F.avg("x").alias("m"), F.greatest(F.coalesce(F.stddev_pop("x"), F.lit(0.0)), F.lit(0.05)).alias("s"), F.avg("shut").alias("p"), F.avg("high").alias("q"))
+        both = late.join(fit, keys) if keys else late.crossJoin(F.broadcast(fit))
+        rules = {"duration": X.gaussian_crps(F.col("x"), F.col("m"), F.col("s")), "closure": F.pow(F.col("shut") - F.col("p"), 2), **({} if keys else {"impact": F.pow(F.col("high") - F.col("q"), 2)})}
+        means = both.agg(*[F.avg(rule).alias(family) for family, rule in rules.items()])
+        scored.append(means.select(F.inline(F.array(*[F.struct(F.lit(family).alias("family"), F.lit(name).alias("model"), F.round(family, 5).alias("score")) for family in rules]))))
+    out = T.averaging_weights(scored[0].unionByName(scored[1]).unionByName(scored[2]))
+    return out.select("family", "model", "score", F.round("z", 4).alias("z"), F.round("weight", 4).alias("weight"), "confident")
+
+
+def _level_sql(name: str, keys: list[str]) -> str:
+    on, by = (f"JOIN fit_{name} f USING ({', '.join(keys)})", f"GROUP BY {', '.join(keys)}") if keys else (f", fit_{name} f", "")
+    return f"""fit_{name} AS (SELECT {', '.join([*keys, ''])}avg(x) AS m, greatest(coalesce(stddev_pop(x), 0), 0.05) AS s, avg(shut) AS p, avg(high) AS q FROM c WHERE early {by}),
+both_{name} AS (SELECT x, shut, high, m, s, p, q, (x - m) / s AS z, 1 / (1 + abs((x - m) / s) / sqrt(2) * 0.5) AS u FROM c {on} WHERE NOT early),
+score_{name} AS (SELECT avg({q_time.CRPS_SQL}) AS duration, avg((shut - p) ** 2) AS closure, avg((high - q) ** 2) AS impact FROM (SELECT *, u * exp(-z * z / 2 + ((((((((0.17087277 * u - 0.82215223) * u + 1.48851587) * u - 1.13520398) * u + 0.27886807) * u - 0.18628806) * u + 0.09678418) * u + 0.37409196) * u + 1.00002368) * u - 1.26551223) / 2 AS tail FROM both_{name}))"""
+
+
+register("model_averaging", model_averaging, f"""WITH {I.CLICKS_SQL}, c AS (SELECT *, ln(1 + duration) AS x, CAST(duration > {q_time.HIGH} AS INTEGER) AS high, CAST(closure AS INTEGER) AS shut, {I.early_sql(0.75)} AS early FROM clicks),
+{", ".join(_level_sql(n, k) for n, k in LEVELS.items())},
+scores AS ({" UNION ALL ".join(f"SELECT '{family}' AS family, '{n}' AS model, round({family}, 5) AS score FROM score_{n}" for n, k in LEVELS.items() for family in ("duration", "closure", "impact") if not k or family != "impact")}),
+m AS (SELECT family, median(score) AS med, count(*) AS models FROM scores GROUP BY family), a AS (SELECT s.*, models, score - med AS d, median(abs(score - med)) OVER (PARTITION BY family) AS mad FROM scores s JOIN m USING (family)),
+z AS (SELECT *, CASE WHEN models > 1 THEN d / (1.4826::DOUBLE * mad + 1e-8) END AS z FROM a), w AS (SELECT *, exp(-(z - min(z) OVER (PARTITION BY family))) AS g FROM z)
+SELECT family, model, score, round(z, 4) AS z, round(g / sum(g) OVER (PARTITION BY family), 4) AS weight, models > 1 AS confident FROM w""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.operators import bayes as B
 from siltstone.operators.relational import exact_quantiles
+from siltstone.operators.reports import averaging_weights
 
 
 def frame(spark, x, w):
@@ -60,3 +61,12 @@ def test_forecast_quality_by_hand(spark):
     assert got["mean_sharpness"] == pytest.approx(2 * 1.959964 * 4 / 3) and got["median_sharpness"] == pytest.approx(2 * 1.959964)
     assert got["sharpness_efficiency"] == pytest.approx(got["coverage_95"] / got["mean_sharpness"]) and got["crps"] == 0.25
     assert all(v is None for v in (r["value"] for r in B.forecast_quality(df.where("p > 99"), "x", "mean", "p", "q", F.lit(0.25)).collect()))
+
+
+def test_models_are_weighed_within_their_family(spark):
+    df = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 2.0), ("a", "z", 5.0), ("a", "none", None), ("b", "alone", 3.0), ("c", "lost", None)], "family string, model string, score double")
+    got = {r["model"]: r for r in averaging_weights(df).collect()}
+    z = np.array([-1.0, 0.0, 3.0]) / (1.4826 + 1e-8)
+    w = np.exp(-z) / np.exp(-z).sum()
+    assert [got[m]["weight"] for m in "xyz"] == pytest.approx(w.tolist()) and all(got[m]["confident"] for m in "xyz")
+    assert all(got[m]["weight"] is None for m in ("none", "alone", "lost")) and not got["alone"]["confident"] and not got["lost"]["confident"]
