@@ -2,7 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from siltstone.operators import reports as P
+from siltstone.operators import temporal as M
 
 
 def test_components_of_long_paths_settle_in_few_rounds(spark, monkeypatch):
@@ -22,3 +25,17 @@ def test_components_of_long_paths_settle_in_few_rounds(spark, monkeypatch):
     got = {r["n"]: r["component"] for r in P.components(df, "a", "b", nodes, "n").collect()}
     assert got == want and len(made) <= 16
     assert P.components(df.limit(0), "a", "b", nodes, "n").where("n <> component").isEmpty()
+
+
+def test_lookback_without_frames_that_are_walked_for_every_row(spark):
+    rnd = random.Random(2)
+    rows = [(rnd.choice(["a", "b", None]), rnd.choice([None, *range(0, 40)]), rnd.choice([None, 0.5, 0.25, 2.0])) for _ in range(400)]
+    df = spark.createDataFrame([(i, k, None if t is None else t * M.HOUR // 2, m) for i, (k, t, m) in enumerate(rows)], "i long, k string, t long, m double").repartition(5)
+    out = M.lookback(df, ["k"], "t", (1, 6), F.col("m"))
+    assert "RangeFrame, -3600000000" not in out._jdf.queryExecution().toString()
+    got = {r["i"]: r for r in out.collect()}
+    assert len(got) == len(rows)
+    for i, (k, t, _) in enumerate(rows):
+        for h in (1, 6):
+            near = [m for key, s, m in rows if key == k and (s is None if t is None else s is not None and t - 2 * h <= s < t)]
+            assert got[i][f"count_{h}h"] == len(near) and abs(got[i][f"mark_{h}h"] - sum(m or 0 for m in near)) < 1e-9
