@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from siltstone.operators import reports as P
+from siltstone.operators import retrieval as V
 from siltstone.operators import temporal as M
 
 
@@ -39,3 +40,39 @@ def test_lookback_without_frames_that_are_walked_for_every_row(spark):
         for h in (1, 6):
             near = [m for key, s, m in rows if key == k and (s is None if t is None else s is not None and t - 2 * h <= s < t)]
             assert got[i][f"count_{h}h"] == len(near) and abs(got[i][f"mark_{h}h"] - sum(m or 0 for m in near)) < 1e-9
+
+
+CASE = ({"x": 100.0, "m": 11.0}, ["g"], {"x": 0.5, "m": 0.2, "g": 0.3})
+
+
+def _similar_cases(spark, n=1200):
+    rnd = random.Random(3)
+    rows = [(i, round(rnd.uniform(0, 100), 2) if rnd.random() > 0.01 else None, float(rnd.randint(1, 4)), rnd.choice(["a", "b", None]), float(i)) for i in range(n)]
+    rows += [(n + i, *rows[7][1:]) for i in range(40)]  # copies
+    df = spark.createDataFrame(rows, "id long, x double, m double, g string, v double").withColumn("first", F.col("g") == "a")
+
+    def sim(a, b):
+        total = weight = 0.0
+        for f, at in (("x", 1), ("m", 2), ("g", 3)):
+            if a[at] is not None and b[at] is not None:
+                weight += CASE[2][f]
+                total += CASE[2][f] * (min(1.0, abs(a[at] - b[at]) / CASE[0][f]) if f in CASE[0] else float(a[at] != b[at]))
+        return round(1 - total / weight, 9)
+
+    return rows, df, sim
+
+
+def test_queries_go_on_only_where_a_case_of_either_stage_can_be_better(spark, monkeypatch):
+    rows, df, sim = _similar_cases(spark)
+    asked, keep = [], V.written
+    monkeypatch.setattr(V, "written", lambda df, name: (out := keep(df, name), asked.append(out.count()) if name == "asked" else None)[0])
+    numbered = df.where("x is not null")
+    queries = numbered.where("g = 'b' and id % 7 = 0")
+    found = V.best_cases(queries, numbered, "id", *CASE, "first", "v", k=3, query_block=50, case_block=100).collect()
+    # two blocks of twelve hold what may be near; going by the best of the first stage alone, nearly all would be met
+    assert asked[1] <= 3 * asked[0]
+    for q in (r for r in rows if r[1] is not None and r[3] == "b" and r[0] % 7 == 0):
+        for stage in (lambda r: True, lambda r: r[3] == "a"):
+            want = sorted((-sim(q, r), r[0]) for r in rows if r[1] is not None and r[0] != q[0] and stage(r))[:3]
+            got = sorted((-r["sim"], r["case_id"]) for r in found if r["query"] == q[0] and stage(rows[r["case_id"]]))[:3]
+            assert got == want
