@@ -76,3 +76,39 @@ def test_queries_go_on_only_where_a_case_of_either_stage_can_be_better(spark, mo
             want = sorted((-sim(q, r), r[0]) for r in rows if r[1] is not None and r[0] != q[0] and stage(r))[:3]
             got = sorted((-r["sim"], r["case_id"]) for r in found if r["query"] == q[0] and stage(rows[r["case_id"]]))[:3]
             assert got == want
+
+
+def test_counts_of_similar_cases_come_from_cells_of_distinct_cases(spark, monkeypatch):
+    rows, df, sim = _similar_cases(spark, 500)
+    sizes, keep = {}, V.written
+    monkeypatch.setattr(V, "written", lambda df, name: (out := keep(df, name), sizes.update({name: out.count()}))[0])
+    for least in (0.55, 0.9):
+        got = {r["query"]: r for r in V.similar_counts(df.where("id % 5 = 2"), df, "id", *CASE, least, query_block=40, case_block=100).collect()}
+        assert sizes["alike"] == len({r[1:4] for r in rows}) < len(rows)
+        for q in rows[2::5]:
+            near = [s for s in (sim(q, r) for r in rows if r[0] != q[0]) if s >= least]
+            assert (got[q[0]]["n"] if q[0] in got else 0) == len(near)
+            assert not near or abs(got[q[0]]["mean_sim"] - sum(near) / len(near)) < 2e-9
+
+
+def test_cosines_are_products_of_blocks(spark):
+    rnd = random.Random(4)
+    rows = [(i, [float(rnd.randint(-3, 3)) for _ in range(4)]) for i in range(150)]
+    rows += [(150 + i, rows[i][1]) for i in range(60)] + [(900, [0.0] * 4), (901, None)]
+    df = spark.createDataFrame(rows, "id long, v array<float>").repartition(3)
+    out = V.cosine_topk(df.where("id % 7 = 0"), df, "id", "v", 4, query_block=10, block=50)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    got = {}
+    for r in sorted(out.collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["query"], []).append((r["id"], r["cosine"]))
+
+    def cosine(a, b):
+        if not a or not b or not any(a) or not any(b):
+            return None
+        return round(sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5, 6)
+
+    for i, v in rows:
+        if i % 7 == 0 and v and any(v):
+            all_ = [(j, cosine(v, w)) for j, w in rows if j != i]
+            assert got[i] == sorted((x for x in all_ if x[1] is not None), key=lambda x: (-x[1], x[0]))[:4]
