@@ -6,6 +6,8 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -166,7 +168,12 @@ def likelihood_ratio(events: DataFrame, key: str, t: str, mark: Column, rates: D
         logs.append(k.where("c > 0").groupBy(key).agg(F.sum(F.col("c") * F.log(F.col("mu") + F.col("alpha") * F.col("A"))).alias("logs")))
     if not logs:
         return rates.select(key, *[F.lit(v).alias(c) for c, v in (("ll", 0.0), ("ll_poisson", 0.0), ("lr", 0.0), ("p_value", 1.0))])
-    both = rates.join(reduce(DataFrame.unionByName, logs), key, "left")
+    return _against_constant(rates, key, reduce(DataFrame.unionByName, logs))
+
+
+def _against_constant(rates: DataFrame, key: str, logs: DataFrame) -> DataFrame:
+    """likelihood_ratio's columns, from the sums of the logarithms of the rates at the events (key, logs)."""
+    both = rates.join(logs, key, "left")
     n, span = F.col("n"), F.col("span")
     ll = F.coalesce("logs", F.lit(0.0)) - F.when(n > 0, F.col("mu") * span + F.col("alpha") * F.col("i1")).otherwise(0.0)
     poisson = F.when(n > 0, n * F.log(n / span) - n).otherwise(0.0)
@@ -181,3 +188,118 @@ def local_rates(events: DataFrame, key: str, t: str, mark: Column, betas: Sequen
     best = fits.groupBy(key).agg(F.min_by(F.struct("beta", "mu", "alpha", "n", "span", "i1"), F.struct(-F.round("gain", 9), "beta")).alias("best"))
     rates = written(best.select(key, "best.*"), "local_rates")
     return rates.withColumn("branching", F.col("alpha") / F.col("beta")).join(likelihood_ratio(events, key, t, mark, rates, own), key)
+
+
+def _site_sums(betas: Sequence[float], km: float, sigma: float, side: tuple[float, float], place: str, lows: np.ndarray, ends: np.ndarray):
+    """For applyInPandas over a tile's block of time, events beside the kernels that come in from earlier blocks: for each of
+    the tile's own sites the integrals of A and of A^2 over the block, and for each event there A at its time, where A
+    is the sum by rate over earlier events within km of e^(-distance / sigma) times the kernel."""
+
+    def run(key: tuple, e: pd.DataFrame, came: pd.DataFrame) -> pd.DataFrame:
+        tile, block = (int(key[0]), int(key[1])), int(key[2])
+        low, end = lows[block], ends[block]
+        e = e.sort_values("h", kind="stable")
+        points = pd.concat([came[["lat", "lon"]], e[["lat", "lon"]]]).drop_duplicates(ignore_index=True)
+        number = {p: i for i, p in enumerate(points.itertuples(index=False, name=None))}
+        at = np.array([number[p] for p in zip(e["lat"], e["lon"])], int)
+        carry = np.zeros((len(points), len(betas)))
+        carry[[number[p] for p in zip(came["lat"], came["lon"])]] = np.stack(came["carry"].to_list()) if len(came) else np.zeros((0, len(betas)))
+        lat, lon = points["lat"].to_numpy(float), points["lon"].to_numpy(float)
+        own = np.flatnonzero((np.floor(lat / side[0]) == tile[0]) & (np.floor(lon / side[1]) == tile[1]))
+        h, places = e["h"].to_numpy(float), e[place].to_numpy()
+        sites, found = [], []
+        for i in own:
+            hav = np.sin(np.radians(lat - lat[i]) / 2) ** 2 + np.cos(np.radians(lat[i])) * np.cos(np.radians(lat)) * np.sin(np.radians(lon - lon[i]) / 2) ** 2
+            away = 2 * 6371 * np.arcsin(np.sqrt(np.minimum(1.0, hav)))
+            weight = np.where(away <= km, np.exp(-away / sigma), 0.0)
+            near = np.flatnonzero(weight[at] > 0)
+            mine = np.flatnonzero(at == i)
+            first = np.flatnonzero(np.diff(h[near], prepend=-np.inf))
+            times, marks = h[near][first], np.add.reduceat(weight[at[near]], first) if len(near) else np.zeros(0)
+            into, sums = weight @ carry, np.zeros((2, len(betas)))
+            before = np.zeros((len(times), len(betas)))
+            gaps = np.diff(np.append(times, end))
+            for b, beta in enumerate(betas):
+                # in spans of time so short that no exponent leaves the range of a double
+                cuts = np.append(np.flatnonzero(np.diff(np.floor((times - low) * beta / 300.0), prepend=-1.0)), len(times))
+                held, since = into[b], low
+                for x, y in zip(cuts, cuts[1:]):
+                    grown = np.exp(beta * (times[x:y] - times[x]))
+                    gained = marks[x:y] * grown
+                    before[x:y, b] = (held * np.exp(-beta * (times[x] - since)) + np.cumsum(gained) - gained) / grown
+                    held, since = before[y - 1, b] + marks[y - 1], times[y - 1]
+                a, dt = np.append(into[b], before[:, b] + marks), np.append((times[0] if len(times) else end) - low, gaps)
+                sums[:, b] = (a * (1 - np.exp(-beta * dt))).sum() / beta, (a * a * (1 - np.exp(-2 * beta * dt))).sum() / (2 * beta)
+            sites.append((lat[i], lon[i], sums[0].tolist(), sums[1].tolist()))
+            if len(mine):
+                found += [(None, None, None, None, *x) for x in zip(places[mine].tolist(), before[np.searchsorted(times, h[mine])].tolist(), strict=True)]
+        return pd.DataFrame([(*x, None, None) for x in sites] + found, columns=["lat", "lon", "i1", "i2", place, "a"], dtype=object)
+
+    return run
+
+
+def nearby_rates(events: DataFrame, places: DataFrame, place: str, t: str, km: float, sigma: float, betas: Sequence[float], block_rows: int = 100_000) -> DataFrame:
+    """local_rates for each place and all events within km, weighted by e^(-distance / sigma), without a row for each event
+    and place that it reaches.
+
+    Places at one point share what they receive. Events are dealt by tiles a few times as wide as km, each with a margin, and
+    by ranges of time; what a range leaves at a point is carried on to the next. A task walks one tile's range: it adds
+    the integrals by point, which belong to all places there, and the kernel sum at each event, from which the sums and
+    likelihoods of its place follow. places (place, lat, lon) has a row a place; bounds of the ranges come to the driver."""
+    kind = events.schema[place].dataType.simpleString()
+    side, margin = (4 * km / 111.0, 4 * km / (111.0 * 0.2)), (km / 111.0, km / (111.0 * 0.2))
+    spots = places.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(F.col(place).alias(place), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+    known = events.where(F.col(t).isNotNull()).select(F.col(place).alias(place), (F.col(t) / F.lit(3_600_000_000.0)).alias("h")).join(spots, place)
+    counted = events.where(F.col(t).isNotNull() & F.col(place).isNotNull()).count()
+    ranged = written(known.repartitionByRange(max(1, -(-counted // block_rows)), "h").withColumn("block", F.spark_partition_id()), "near_events")
+    bounds = ranged.groupBy("block").agg(F.min("h").alias("low"), F.max("h").alias("high")).orderBy("block").toPandas()
+    if not len(bounds):
+        return local_rates(ranged.withColumn("t", F.col("h").cast("long")), place, "t", F.lit(1.0), betas)
+    order = {int(b): i for i, b in enumerate(bounds["block"])}
+    lows = bounds["low"].to_numpy(float)
+    ends = np.append(lows[1:], bounds["high"].iloc[-1])
+    span = float(ends[-1] - lows[0])
+    numbers = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
+    ends_at = F.array(*[F.lit(float(x)) for x in ends])
+    cells = [F.array_distinct(F.array(*[F.floor((F.col(c) + i * m) / s).cast("int") for i in (-1, 0, 1)])) for c, m, s in zip(("lat", "lon"), margin, side)]
+
+    def tiled(df: DataFrame) -> DataFrame:
+        return df.withColumn("tile_lat", F.explode(cells[0])).withColumn("tile_lon", F.explode(cells[1]))
+
+    rows = ranged.withColumn("block", numbers[F.col("block")])
+    left = rows.groupBy("lat", "lon", "block").agg(F.array(*[F.sum(F.exp(-float(b) * (ends_at[F.col("block")] - F.col("h")))) for b in betas]).alias("left"))
+    rates, steps = np.array(betas, float), ends - lows
+
+    def carried(frame: pd.DataFrame) -> pd.DataFrame:
+        """What of earlier blocks' events is left at each point at each block's start."""
+        out, now = [], {}
+        blocks = dict(list(frame.groupby("block")))
+        for block in range(len(lows)):
+            if now:
+                points = list(now)
+                out.append(pd.DataFrame({"tile_lat": frame["tile_lat"].iloc[0], "tile_lon": frame["tile_lon"].iloc[0], "block": block, "lat": [p[0] for p in points], "lon": [p[1] for p in points], "carry": list(now.values())}))
+            now = {p: c * np.exp(-rates * steps[block]) for p, c in now.items()}
+            if block in blocks:
+                part = blocks[block]
+                for p, x in zip(zip(part["lat"], part["lon"]), part["left"]):
+                    now[p] = now.get(p, 0.0) + np.asarray(x)
+        return pd.concat(out) if out else pd.DataFrame(columns=["tile_lat", "tile_lon", "block", "lat", "lon", "carry"], dtype=object)
+
+    came = tiled(left).groupBy("tile_lat", "tile_lon").applyInPandas(carried, "tile_lat int, tile_lon int, block int, lat double, lon double, carry array<double>")
+    by = ["tile_lat", "tile_lon", "block"]
+    tasks = max(len(lows), events.sparkSession.sparkContext.defaultParallelism)
+    here, there = (df.repartition(tasks, *by).groupBy(*by) for df in (tiled(rows), came))
+    walk = _site_sums(betas, km, sigma, side, place, lows, ends)
+    walked = written(here.cogroup(there).applyInPandas(walk, f"lat double, lon double, i1 array<double>, i2 array<double>, {place} {kind}, a array<double>"), "near_sums")
+
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(b)).alias("beta")) for i, b in enumerate(betas)])).alias("rate")
+    seen = walked.where(F.col("a").isNotNull())
+    own = seen.groupBy(place).agg(F.count(F.lit(1)).cast("double").alias("n"), F.array(*[F.sum(F.col("a")[i]) for i in range(len(betas))]).alias("y"))
+    sites = walked.where(F.col("i1").isNotNull()).groupBy("lat", "lon").agg(*[F.array(*[F.sum(F.col(c)[i]) for i in range(len(betas))]).alias(c) for c in ("i1", "i2")])
+    sums = spots.join(sites, ["lat", "lon"]).join(own, place).select("*", each)
+    totals = sums.select(place, F.col("rate.beta").alias("beta"), F.col("rate.i").alias("i"), "n", F.lit(span).alias("span"), *[F.col(c)[F.col("rate.i")].alias(c) for c in ("i1", "i2", "y")])
+    best = least_squares(totals).groupBy(place).agg(F.min_by(F.struct("beta", "mu", "alpha", "n", "span", "i1", "i"), F.struct(-F.round("gain", 9), "beta")).alias("best"))
+    rates_of = written(best.select(place, "best.*"), "local_rates")
+    logs = seen.join(rates_of.select(place, "mu", "alpha", "i"), place).groupBy(place).agg(F.sum(F.log(F.col("mu") + F.col("alpha") * F.col("a")[F.col("i")])).alias("logs"))
+    rates_of = rates_of.drop("i")
+    return rates_of.withColumn("branching", F.col("alpha") / F.col("beta")).join(_against_constant(rates_of, place, logs), place)

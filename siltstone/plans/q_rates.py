@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from siltstone.operators import incidents as I
 from siltstone.operators import shrinkage as H
-from siltstone.operators import spatial as G
 from siltstone.plans.catalogue import register
 from siltstone.plans.q_core import r6
 
@@ -84,11 +83,9 @@ def spatial_excitation(spark, sf):
     against a constant rate."""
     c = I.clicks(spark, sf)
     places = I.junctions(c).select("junction", "lat", "lon")
-    near = G.within_radius(places.withColumnRenamed("junction", "centre"), places, REACH, "centre", "junction").withColumnRenamed("near_junction", "junction")
-    rows = H.near_events(c.select("junction", "t"), near, "junction", SIGMA)
-    out = H.local_rates(rows, "centre", "t", F.col("near_weight"), BETAS, F.col("own"))
+    out = H.nearby_rates(c.select("junction", "t"), places, "junction", "t", REACH, SIGMA, BETAS)
     preferred = (F.round("p_value", 6) < 0.05) & (F.col("alpha") > 0)
-    return out.select(F.col("centre").alias("junction"), F.col("n").cast("long").alias("n"), "beta", preferred.alias("excited"), *[r6(x).alias(x) for x in ("mu", "alpha", "branching", "p_value")], *[F.round(x, 4).alias(x) for x in ("ll", "ll_poisson", "lr")])
+    return out.select("junction", F.col("n").cast("long").alias("n"), "beta", preferred.alias("excited"), *[r6(x).alias(x) for x in ("mu", "alpha", "branching", "p_value")], *[F.round(x, 4).alias(x) for x in ("ll", "ll_poisson", "lr")])
 
 
 NEAR = f"""{I.JUNCTIONS_SQL}, d AS (SELECT a.junction AS centre, b.junction, 2 * 6371 * asin(sqrt(least(1.0, sin(radians(b.lat - a.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2))) AS km FROM junctions a, junctions b),

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from siltstone.operators import reports as P
 from siltstone.operators import retrieval as V
+from siltstone.operators import shrinkage as H
+from siltstone.operators import spatial as G
 from siltstone.operators import temporal as M
 
 
@@ -112,3 +114,29 @@ def test_cosines_are_products_of_blocks(spark):
         if i % 7 == 0 and v and any(v):
             all_ = [(j, cosine(v, w)) for j, w in rows if j != i]
             assert got[i] == sorted((x for x in all_ if x[1] is not None), key=lambda x: (-x[1], x[0]))[:4]
+
+
+def test_nearby_rates_are_those_of_a_row_for_each_event_and_place_it_reaches(spark, monkeypatch):
+    rnd = random.Random(5)
+    spots = [(12 + rnd.randint(0, 30) * 0.02, 77 + rnd.randint(0, 30) * 0.03) for _ in range(25)]
+    places = spark.createDataFrame([(i, *spots[i % 25]) for i in range(40)], "p long, lat double, lon double")
+    events = spark.createDataFrame([(rnd.choice([None, *range(40)]), rnd.randint(0, 60 * 24) * 300_000_000) for _ in range(900)], "p long, t long")
+    pairs = G.within_radius(places.withColumnRenamed("p", "centre"), places, 6.0, "centre", "p").withColumnRenamed("near_p", "p")
+    rows = H.near_events(events, pairs, "p", 2.0)
+    want = {r["centre"]: r for r in H.local_rates(rows, "centre", "t", F.col("near_weight"), (0.2, 5.0), F.col("own")).collect()}
+    made, keep = {}, H.written
+    monkeypatch.setattr(H, "written", lambda df, name: (out := keep(df, name), made.update({name: out.count()}))[0])
+    for size in (100, 10_000):
+        got = {r["p"]: r for r in H.nearby_rates(events, places, "p", "t", 6.0, 2.0, (0.2, 5.0), block_rows=size).collect()}
+        assert set(got) == set(want) and made["near_events"] < rows.count() / 2
+        for p, r in want.items():
+            for c in ("beta", "mu", "alpha", "n", "span", "i1", "branching", "ll", "ll_poisson", "lr", "p_value"):
+                assert abs(got[p][c] - r[c]) <= 1e-7 * max(1.0, abs(r[c])), (p, c, got[p], r)
+    assert H.nearby_rates(events.limit(0), places, "p", "t", 6.0, 2.0, (0.2, 5.0)).count() == 0
+
+
+def test_clique_degrees_are_those_of_the_pairs(spark):
+    rnd = random.Random(6)
+    members = spark.createDataFrame([(rnd.choice([None, *range(60)]), rnd.choice(["a", "b", "c", "d", None])) for _ in range(150)], "k long, g string").repartition(3)
+    pairs = G.clique_edges(members, "k", "g").groupBy("a").agg(F.count(F.lit(1)).alias("degree"), F.max("b").alias("last"))
+    assert sorted(map(tuple, G.clique_degrees(members, "k", "g").collect())) == sorted(map(tuple, pairs.collect()))
