@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from siltstone.operators import medoids as K
 from siltstone.operators import reports as P
 from siltstone.operators import retrieval as V
 from siltstone.operators import shrinkage as H
@@ -140,3 +141,28 @@ def test_clique_degrees_are_those_of_the_pairs(spark):
     members = spark.createDataFrame([(rnd.choice([None, *range(60)]), rnd.choice(["a", "b", "c", "d", None])) for _ in range(150)], "k long, g string").repartition(3)
     pairs = G.clique_edges(members, "k", "g").groupBy("a").agg(F.count(F.lit(1)).alias("degree"), F.max("b").alias("last"))
     assert sorted(map(tuple, G.clique_degrees(members, "k", "g").collect())) == sorted(map(tuple, pairs.collect()))
+
+
+def test_nearest_of_many_places_at_few_points(spark, monkeypatch):
+    rnd = random.Random(7)
+    rows = [(s, i, float(rnd.randint(0, 5)), float(rnd.randint(0, 5))) for s in range(2) for i in range(150)] + [(2, 1, 0.0, 0.0)]
+    made, keep = {}, G.written
+    monkeypatch.setattr(G, "written", lambda df, name: (out := keep(df, name), made.update({name: out.count()}))[0], raising=False)
+    df = spark.createDataFrame(rows, "s int, p long, lat double, lon double")
+    got = {(r["s"], r["p"], r["rank"]): (r["neighbour"], r["d2"]) for r in G.nearest_neighbours(df, "p", 2, by=["s"]).collect()}
+    want = {}
+    for s, p, x, y in rows:
+        near = sorted(((x - b[2]) ** 2 + (y - b[3]) ** 2, b[1]) for b in rows if b[0] == s and b[1] != p)[:2]
+        want.update({(s, p, i): (q, d) for i, (d, q) in enumerate(near, 1)})
+    assert got == want and made["points"] <= 3 * 2 * 36 + 1
+
+
+def test_medoids_count_cases_with_the_same_features_once(spark, monkeypatch):
+    rows = [(i, float(i % 9), "ab"[i % 2]) for i in range(300)]
+    made, keep = {}, K.written
+    monkeypatch.setattr(K, "written", lambda df, name: (out := keep(df, name), made.update({name: out.count()}))[0])
+    df = spark.createDataFrame(rows, "id long, x double, g string")
+    found, total = K.find_medoids(df, "id", {"x": 10.0}, {"x": 0.6, "g": 0.4}, 3)
+    held = [rows[i] for i in found["id"]]
+    assert made["alike"] == 18
+    assert total == sum(min(round((0.6 * abs(r[1] - m[1]) / 10 + 0.4 * (r[2] != m[2])) * K.WHOLE) for m in held) for r in rows)
