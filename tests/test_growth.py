@@ -1,5 +1,6 @@
 """Work that must not grow faster than its input: paths, series, copies and groups that are long, against brute force."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -166,3 +167,26 @@ def test_medoids_count_cases_with_the_same_features_once(spark, monkeypatch):
     held = [rows[i] for i in found["id"]]
     assert made["alike"] == 18
     assert total == sum(min(round((0.6 * abs(r[1] - m[1]) / 10 + 0.4 * (r[2] != m[2])) * K.WHOLE) for m in held) for r in rows)
+
+
+def test_pairs_within_a_radius_are_measured_by_point(spark, monkeypatch):
+    monkeypatch.setattr(G, "LISTED", 8, raising=False)
+    rnd = random.Random(8)
+    spots = [(12 + rnd.randint(0, 9) * 0.02, 77 + rnd.randint(0, 9) * 0.03) for _ in range(6)] + [(None, 77.0)]
+    rows = [(None if i == 5 else i, *spots[0 if i < 60 else i % 7]) for i in range(120)]
+    df = spark.createDataFrame([*rows, rows[7]], "p long, lat double, lon double").repartition(3)
+    out = G.within_radius(df.withColumnRenamed("p", "q"), df, 5.0, "q", "p")
+    want = []
+    for a in [*rows, rows[7]]:
+        for b in [*rows, rows[7]]:
+            if a[1] is not None and b[1] is not None:
+                hav = math.sin(math.radians(b[1] - a[1]) / 2) ** 2 + math.cos(math.radians(a[1])) * math.cos(math.radians(b[1])) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+                d = 2 * 6371 * math.asin(math.sqrt(min(1.0, hav)))
+                if d <= 5.0:
+                    want.append((a[0] is None, a[0] or 0, b[0] is None, b[0] or 0, round(d, 6)))
+    found = [(r["q"] is None, r["q"] or 0, r["near_p"] is None, r["near_p"] or 0, round(r["km"], 6)) for r in out.collect()]
+    assert sorted(found) == sorted(want)
+    # the join that measures has points, not keys, and the sixty keys of one are not one row's
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(p_keys" in plan and plan.index("Generate explode(q_keys") < plan.index("ASIN")
+    assert max(len(r["keys"]) for r in G._listed(df, "p", "x").select(F.col("x_keys").alias("keys")).collect()) < 40
