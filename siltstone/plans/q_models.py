@@ -129,6 +129,8 @@ FOREST_FEATURES = ["price", "month", "urgent", "event_cause__mean", "corridor__m
 def _forest(spark, sf):
     """Shipments with T and event, and a survival forest fitted on three in four of them."""
     rows = I.shipments(spark, sf).where("duration >= 0").withColumns({"T": F.col("duration"), "event": (~F.col("is_censored")).cast("int"), "month": F.month("start_ts").cast("double"), "urgent": F.col("priority").isin("1-URGENT", "2-HIGH").cast("double")})
+    # orders and their lines are joined once, not for every pass of the means, the forest and what is told of it
+    rows = written(rows.select("event_id", "T", "event", "duration", "event_cause", "corridor", "price", "month", "urgent"), "shipments")
     for c in ("event_cause", "corridor"):
         rows = B.target_means(rows, train(), c, F.log1p("duration"))
     return rows, R.fit_forest(rows.where(train()), "event_id", "T", F.col("event") == 1, FOREST_FEATURES, trees=20)

@@ -1,6 +1,7 @@
 """Work that must not grow faster than its input: paths, series, copies and groups that are long, against brute force."""
 
 import math
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -10,7 +11,11 @@ from siltstone.operators import reports as P
 from siltstone.operators import retrieval as V
 from siltstone.operators import shrinkage as H
 from siltstone.operators import spatial as G
+from siltstone.operators import survival as S
 from siltstone.operators import temporal as M
+from siltstone.plans import q_models as Q
+
+from .checks import DATA
 
 
 def test_components_of_long_paths_settle_in_few_rounds(spark, monkeypatch):
@@ -190,3 +195,18 @@ def test_pairs_within_a_radius_are_measured_by_point(spark, monkeypatch):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate explode(p_keys" in plan and plan.index("Generate explode(q_keys") < plan.index("ASIN")
     assert max(len(r["keys"]) for r in G._listed(df, "p", "x").select(F.col("x_keys").alias("keys")).collect()) < 40
+
+
+def test_risks_are_told_once_and_shipments_joined_once(spark):
+    told = spark.sparkContext.accumulator(0)
+
+    def risk(i):
+        told.add(1)
+        return float(i % 7)
+
+    rows = spark.range(90).withColumns({"T": F.col("id") % 5, "event": F.col("id") % 2, "risk": F.udf(risk, "double")("id")})
+    assert S.concordance(rows, "risk").first()["usable"] > 0
+    assert told.value == 90
+    if os.path.isdir(DATA):
+        files = Q._forest(spark, DATA)[0].inputFiles()
+        assert files and not any("lineitem" in f or "orders" in f for f in files)
