@@ -26,8 +26,9 @@ SUMS = ("n", "span", "i1", "i2", "y")
 
 def poisson_weight(*parts: Column) -> Column:
     """A weight with the Poisson law of mean 1, drawn from the MD5 digest of its parts."""
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("double") / 2.0**32
-    return reduce(lambda total, c: total + (u >= c).cast("int"), POISSON, F.lit(0))
+    # eight hexadecimal digits are in the order of the number that they write, so that they are compared as they are
+    digits = F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 8)
+    return reduce(lambda total, c: total + (digits >= f"{math.ceil(c * 2.0**32):08x}").cast("int"), [c for c in POISSON if math.ceil(c * 2.0**32) < 2**32], F.lit(0))
 
 
 def kernel_moments(events: DataFrame, key: str, t: str, mark: Column, betas: Sequence[float], own: Column | None = None) -> DataFrame:
@@ -39,25 +40,28 @@ def kernel_moments(events: DataFrame, key: str, t: str, mark: Column, betas: Seq
     all do where it is not given. Events at one time do not excite each other; rows without key or time go. Windows run
     within a key's block of time, and over its blocks, so that a long series is not one task's."""
     known = events.where(F.col(key).isNotNull() & F.col(t).isNotNull())
-    times = known.groupBy(key, t).agg(F.sum(F.lit(1) if own is None else own).alias("c"), F.sum(mark).alias("m"))
+    times = written(known.groupBy(key, t).agg(F.sum(F.lit(1) if own is None else own).alias("c"), F.sum(mark).alias("m")), "times")
     hour = F.col(t) / F.lit(3_600_000_000.0)
-    ends = known.agg(F.min(hour).alias("start"), F.max(hour).alias("stop"))
+    ends = times.agg(F.min(hour).alias("start"), F.max(hour).alias("stop"))
+    # what does not depend on the decay rate is found once: an event's block, and the time from it to the next and from the start
+    k = times.withColumn("hour", hour).withColumn("block", F.floor(F.col("hour") / BLOCK))
+    k = k.withColumn("next", F.lead("hour").over(W.partitionBy(key, "block").orderBy("hour")))
+    series = W.partitionBy(key).orderBy("block")
+    blocks = k.groupBy(key, "block").agg(F.min("hour").alias("low")).withColumns({"after": F.lead("low").over(series), "first": F.lag("low").over(series).isNull()})
+    k = k.join(blocks, [key, "block"]).crossJoin(F.broadcast(ends))
+    gap = F.coalesce("next", "after", "stop") - F.col("hour")
+    lead_in = F.when(F.col("first") & (F.col("hour") == F.col("low")), F.col("hour") - F.col("start")).otherwise(0.0)
+    spaced = written(k.select(key, t, "c", "m", F.col("block").alias("day"), gap.alias("dt"), lead_in.alias("lead_in"), (F.col("stop") - F.col("hour")).alias("left")), "spaced")
     out = []
     for beta in betas:
-        k = kernel_sum(times, key, t, F.col("m"), beta).withColumn("block", F.floor(F.col("h") / BLOCK))
-        k = k.withColumn("next", F.lead("h").over(W.partitionBy(key, "block").orderBy("h")))
-        series = W.partitionBy(key).orderBy("block")
-        blocks = k.groupBy(key, "block").agg(F.min("h").alias("low")).withColumns({"after": F.lead("low").over(series), "first": F.lag("low").over(series).isNull()})
-        k = k.join(blocks, [key, "block"]).crossJoin(F.broadcast(ends))
-        dt, grown = F.coalesce("next", "after", "stop") - F.col("h"), F.col("A") + F.col("m")
-        lead_in = F.when(F.col("first") & (F.col("h") == F.col("low")), F.col("h") - F.col("start")).otherwise(0.0)
-        sums = k.groupBy(key, "block").agg(
+        grown, dt = F.col("A") + F.col("m"), F.col("dt")
+        sums = kernel_sum(spaced, key, t, F.col("m"), beta).groupBy(key, F.col("day").alias("block")).agg(
             F.sum("c").cast("double").alias("n"),
-            F.sum(dt + lead_in).alias("span"),
+            F.sum(dt + F.col("lead_in")).alias("span"),
             F.sum(grown * (1 - F.exp(-beta * dt)) / beta).alias("i1"),
             F.sum(grown * grown * (1 - F.exp(-2 * beta * dt)) / (2 * beta)).alias("i2"),
             F.sum(F.col("c") * F.col("A")).alias("y"),
-            F.sum(F.col("m") * F.exp(-beta * (F.col("stop") - F.col("h")))).alias("now"),
+            F.sum(F.col("m") * F.exp(-beta * F.col("left"))).alias("now"),
         )
         out.append(sums.withColumn("beta", F.lit(float(beta))))
     return reduce(DataFrame.unionByName, out)
@@ -112,8 +116,10 @@ def shrunk_rates(events: DataFrame, key: str, group: str, t: str, mark: Column,
     best = gains.groupBy("group").agg(F.min_by("beta", F.struct(-F.round("fitted_gain", 9), -F.round("gain", 9), "beta")).alias("beta"))
     fits = written(fits.join(best, ["group", "beta"]).drop("gain"), "rates")
 
-    rows = moments.join(fits.where("fitted").select(key, "beta"), [key, "beta"]).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    rows = rows.withColumn("w", poisson_weight(F.col(key), F.col("block"), F.col("draw"))).where("w > 0")
+    # dealt by key, so that a refit's sums are made where its rows lie; a weight of 0 adds nothing and is not asked for twice
+    chosen = fits.where("fitted").select(key, F.col("beta").alias("chosen"))
+    rows = moments.join(chosen, key).where("beta = chosen").repartition(key).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    rows = rows.withColumn("w", poisson_weight(F.col(key), F.col("block"), F.col("draw")))
     refits = written(least_squares(rows.groupBy(key, "draw").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in SUMS])).select(key, "draw", "mu", "alpha"), "refits")
     variances = refits.groupBy(key).agg(*[F.greatest(F.coalesce(F.var_samp(x), F.lit(0.0)), F.lit(1e-12)).alias(f"{x}_var") for x in ("mu", "alpha")])
     held = fits.join(variances, key, "left")

@@ -1,5 +1,6 @@
 """Work that must not grow faster than its input: paths, series, copies and groups that are long, against brute force."""
 
+import hashlib
 import math
 import os
 import random
@@ -210,3 +211,22 @@ def test_risks_are_told_once_and_shipments_joined_once(spark):
     if os.path.isdir(DATA):
         files = Q._forest(spark, DATA)[0].inputFiles()
         assert files and not any("lineitem" in f or "orders" in f for f in files)
+
+
+def test_marks_are_told_once_whatever_the_decay_rates(spark):
+    told = spark.sparkContext.accumulator(0)
+
+    def mark(i):
+        told.add(1)
+        return 1.0 + i % 3
+
+    rows = spark.range(60).select((F.col("id") % 4).alias("k"), (F.col("id") * M.HOUR).alias("t"), F.udf(mark, "double")("id").alias("m"))
+    sums = H.kernel_moments(rows, "k", "t", F.col("m"), (0.2, 1.0, 5.0)).groupBy("beta").agg(F.sum("n").alias("n")).collect()
+    assert [r["n"] for r in sums] == [60.0] * 3 and told.value == 60
+
+
+def test_weights_are_those_of_the_digest_as_a_number(spark):
+    rows = spark.range(3000).select("id", H.poisson_weight(F.lit("k"), F.col("id"), F.lit(7)).alias("w")).collect()
+    for r in rows:
+        u = int(hashlib.md5(f"k|{r['id']}|7".encode()).hexdigest()[:8], 16) / 2.0**32
+        assert r["w"] == sum(u >= c for c in H.POISSON)
