@@ -221,7 +221,7 @@ def test_marks_are_told_once_whatever_the_decay_rates(spark):
         return 1.0 + i % 3
 
     rows = spark.range(60).select((F.col("id") % 4).alias("k"), (F.col("id") * M.HOUR).alias("t"), F.udf(mark, "double")("id").alias("m"))
-    sums = H.kernel_moments(rows, "k", "t", F.col("m"), (0.2, 1.0, 5.0)).groupBy("beta").agg(F.sum("n").alias("n")).collect()
+    sums = H.kernel_moments(rows, "k", "t", F.col("m"), (0.2, 1.0, 5.0)).groupBy("beta").agg(F.sum("n").alias("n"), F.sum("y")).collect()
     assert [r["n"] for r in sums] == [60.0] * 3 and told.value == 60
 
 
