@@ -73,3 +73,51 @@ def test_chi_square_tails():
 def test_empty(spark):
     df = spark.createDataFrame([], "event_id long, zone string, t long, m double")
     assert Z.fit_cross_zone(df, SOURCES, "zone", "t", F.col("m")).count() == 0
+
+
+def test_few_rounds_where_many_terms_are_none(spark, monkeypatch):
+    """Five zones of events drawn evenly: half of the terms lie at their bound, and Newton steps still end in a few rounds."""
+    rng = np.random.default_rng(5)
+    rows = [(i, int(rng.integers(5)), int(h * HOUR), 0.5) for i, h in enumerate(rng.uniform(0, 700, 1500))]
+    df = spark.createDataFrame(rows, "event_id long, zone long, t long, m double")
+    rounds, sums = [], Z._sums
+    monkeypatch.setattr(Z, "_sums", lambda *a: rounds.append(1) or sums(*a))
+    got = Z.fit_cross_zone(df, {z: [(z + 4) % 5, (z + 1) % 5] for z in range(5)}, "zone", "t", F.col("m"), betas=(0.05, 0.5, 5.0))
+    assert got.count() == 15 and got.where("alpha = 0").count() > 2
+    assert len(rounds) <= 15
+
+
+def test_sums_over_parts_batches_and_shared_times(spark):
+    """Each event counts, those of one time together, also where every batch has a few cells and each part its own range."""
+    rng = np.random.default_rng(6)
+    hours = np.sort(np.append(rng.uniform(0, 40, 90).round(), [5000.0, 5001.0]))
+    rows = [(int(rng.integers(3)), int(h * HOUR), float(rng.integers(1, 9)) if k % 5 else None) for k, h in enumerate(hours)]
+    listed, betas = {0: [0, 2], 1: [1, 0]}, (0.1, 9.0)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        df = spark.createDataFrame(rows, "zone int, t long, m double").repartition(3)
+        got = [(r["zone"], np.frombuffer(r["n"]), np.frombuffer(r["x"]).reshape(2, 2, -1)) for r in Z.kernel_vectors(df, listed, "t", F.col("m"), betas, rows[0][1]).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    found = sorted((z, *np.round(x[:, :, i].ravel(), 9)) for z, n, x in got for i in range(len(n)) for _ in range(int(n[i])))
+    want = sorted((v, *[round(sum((m or 0.0) * math.exp(-b * (t - s) / HOUR) for u, s, m in rows if u == w and s < t), 9) for b in betas for w in listed[v]]) for v, t, _ in rows if v in listed)
+    assert np.allclose(found, want, atol=1e-8) and len(found) == len(want)
+
+
+def test_bounded_steps_against_all_sets():
+    """The best of the solutions over every set of parameters that are left off their bound."""
+    rng = np.random.default_rng(7)
+    for size in (1, 2, 4, 4, 4):
+        h, g, room = rng.normal(size=(size + 2, size)), 3 * rng.normal(size=size), rng.uniform(0, 1, size) * (rng.random(size) < 0.7)
+        h = h.T @ h * np.outer(s := 10.0 ** rng.uniform(-3, 3, size), s)
+        best = -np.inf
+        for off in range(1 << size):
+            off = np.array([bool(off >> i & 1) for i in range(size)])
+            d = -room.copy()
+            if off.any():
+                d[off] = np.linalg.solve(h[np.ix_(off, off)], g[off] - h[np.ix_(off, ~off)] @ d[~off])
+            if (d >= -room - 1e-12).all():
+                best = max(best, g @ d - d @ h @ d / 2)
+        d = Z.bounded_step(h, g, room)
+        assert (d >= -room - 1e-9).all() and g @ d - d @ h @ d / 2 == pytest.approx(best, rel=1e-6, abs=1e-9)
