@@ -115,6 +115,36 @@ def test_block_bounds_prune_without_loss(monkeypatch):
     assert found(0.1, 8, 2000) == sorted((i, *x) for i, h in places.items() for x in h[:2])
 
 
+def test_blocks_meet_only_queries_that_want_them(monkeypatch):
+    """15 topics without common words: of 60 queries in a tile, a block's documents are multiplied with few."""
+
+    class Context:
+        get = staticmethod(lambda: Context)
+        partitionId = staticmethod(lambda: 0)
+
+    class Counted(np.ndarray):
+        def __array_ufunc__(self, ufunc, method, *inputs, **kwargs):
+            out = getattr(ufunc, method)(*[x.view(np.ndarray) if isinstance(x, Counted) else x for x in inputs], **kwargs)
+            cells.append(out.size if ufunc is np.matmul else 0)
+            return out
+
+    monkeypatch.setattr(bm25, "TaskContext", Context)
+    rnd, cells = np.random.default_rng(4), []
+    texts = [" ".join(f"t{i % 15}w{int(x)}" for x in rnd.integers(0, 12, 30)) for i in range(6000)]
+    (made,) = bm25._indexer(10_000, 1 << 30)(iter([pa.RecordBatch.from_arrays([pa.array(range(6000)), pa.array(texts)], names=["doc_id", "text"])]))
+    row = {c: made.column(c)[0].as_py() for c in ("n", "lengths", "posting_doc", "posting_tf")} | {c: made.column(c)[0].values.to_numpy() for c in ("terms", "docs")}
+    ids = made.column("ids")[0].values.to_numpy()
+    (asked,) = bm25._query_terms(iter([pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(texts[:60])], names=["query_id", "text"])]))
+    terms = asked.column(1).to_pylist()
+    queries = bm25.Queries(pa.table({"query_id": range(60), "terms": terms, "rarity": pa.array([[9] * len(t) for t in terms], pa.list_(pa.int32()))}))
+    shard = bm25.Shard(row, 30.0, 1.2, 0.75)
+    shard.matrix, shard.rows = shard.matrix.view(Counted), shard.rows.view(Counted)
+    order = np.argsort(ids)
+    hit, doc, _ = shard.search(queries, 5, ids[order], np.argsort(order))
+    assert len(hit) == 300 and (ids[doc] % 15 == queries.ids.to_numpy()[hit] % 15).all()
+    assert 0 < sum(cells) < 0.3 * 60 * 6000
+
+
 def test_ties_do_not_ship_more_hits_with_more_shards(spark, monkeypatch):
     """1,200 equal texts: waves after the first send only what goes before the k-th hit, by id."""
     df = spark.range(1200).selectExpr("id * 7919 % 1200 as doc_id", "'one stone river' as text").repartition(4)
