@@ -656,3 +656,20 @@ def test_pipeline_stages_over_awkward_rows(spark, docs, empty, tmp_path):
                 assert all({r[c] for r in out.select(f"`{c}`").distinct().collect()} <= {"clash"} for c in ("row_id", "dropped", "a.b") if c in start.columns)
             now = spark.read.schema(out.schema).parquet(path)
         assert (now.count() > 0) == (start is rows)
+
+
+def test_bm25_documents_of_like_words_stand_together(monkeypatch):
+    """Texts of two languages lie apart in a shard though their commonest words differ."""
+    class Context:
+        get = staticmethod(lambda: Context())
+        partitionId = staticmethod(lambda: 0)  # noqa: N815
+
+    monkeypatch.setattr(bm25, "TaskContext", Context)
+    rnd = np.random.default_rng(4)
+    texts = []
+    for i in range(400):
+        words = [f"{'ab'[i % 2]}{rnd.integers(0, 20)}" for _ in range(30)]
+        texts.append(" ".join([*words, *[words[int(rnd.integers(0, 30))]] * 9]))
+    (made,) = bm25._indexer(10_000, 1 << 30)(iter([pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(texts)], names=["doc_id", "text"])]))
+    kinds = [i % 2 for i in made.column(made.schema.get_field_index("ids"))[0].as_py()]
+    assert sum(a != b for a, b in zip(kinds, kinds[1:])) <= 8
